@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import langid, media, quality
+from nearfield.llm import langid, media, mixing, packing, quality
 from nearfield.llm.common import table
 from nearfield.llm.grams import held_out
 
@@ -19,6 +19,21 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Sequences of 2048 with the 49k word tokenizer, each source at its share of the tokens."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), vocabulary=49_408, capacity=2048, end=1)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.summary(*mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.select("doc_id", "text", "lang"))
@@ -31,6 +46,6 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op7_language_id, op8_quality)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op4_packing, op6_mixing, op7_language_id, op8_quality)}
 
 ORACLE_SQL: dict[str, str] = {}
