@@ -57,10 +57,21 @@ def shape(text: str) -> list[float]:
     ]
 
 
-def features(text: str | None, s: Settings) -> np.ndarray:
+def packed(text: str | None, s: Settings) -> bytes:
+    """Presence bits, then the statistics."""
     text = text or ""
-    seen = presence(text, s.longest, s.bits)
-    return np.concatenate([seen * np.float32(1 / np.sqrt(max(1, np.count_nonzero(seen)))), np.array(shape(text), np.float32), np.ones(1, np.float32)])
+    return np.packbits(presence(text, s.longest, s.bits)).tobytes() + np.array(shape(text), np.float32).tobytes()
+
+
+def unpacked(data: bytes, s: Settings) -> np.ndarray:
+    cut = (1 << s.bits) // 8
+    seen = np.unpackbits(np.frombuffer(data[:cut], np.uint8)).astype(np.float32)
+    seen *= np.float32(1 / np.sqrt(max(1, np.count_nonzero(seen))))
+    return np.concatenate([seen, np.frombuffer(data[cut:], np.float32), np.ones(1, np.float32)])
+
+
+def features(text: str | None, s: Settings) -> np.ndarray:
+    return unpacked(packed(text, s), s)
 
 
 @dataclass(frozen=True)
@@ -83,7 +94,7 @@ class Model:
 def _minimise(p: np.ndarray, u: np.ndarray, prior: float, s: Settings) -> np.ndarray:
     """Adam on the non-negative risk; where the part in max() is negative, a step is taken that raises it."""
     rng = np.random.default_rng(s.seed)
-    w, m, v, t = np.zeros(p.shape[1]), np.zeros(p.shape[1]), np.zeros(p.shape[1]), 0
+    w, m, v, t = *(np.zeros(p.shape[1], np.float32) for _ in range(3)), 0
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     n_batches = max(1, len(u) // s.batch)
     for _ in range(s.epochs):
@@ -96,7 +107,7 @@ def _minimise(p: np.ndarray, u: np.ndarray, prior: float, s: Settings) -> np.nda
             g = g + 1e-4 * w
             t += 1
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w = w - s.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+            w = (w - s.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
     return w
 
 
@@ -117,7 +128,13 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, negative: np.ndarray, s: S
     shapes = slice(len(mean) - SHAPES - 1, len(mean) - 1)
     scale[shapes] *= np.sqrt(len(mean) / SHAPES)
     mean[-1], scale[-1] = 0, 1
-    to = lambda x: (x - mean) * scale
+    mean, scale = mean.astype(np.float32), scale.astype(np.float32)
+
+    def to(x: np.ndarray) -> np.ndarray:
+        x -= mean  # in place: samples are the driver's largest arrays
+        x *= scale
+        return x
+
     p, u = to(positive), to(unlabelled)
     cut = max(1, len(p) * 7 // 10)
     back = p[cut:] if len(p) > cut else p
@@ -126,9 +143,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, negative: np.ndarray, s: S
     w = _minimise(p, u, prior, s)
     slope, offset = 1.0, 0.85  # without labelled negatives: the boundary scores 0.7
     if len(negative) >= 5:
-        z, y = np.concatenate([p @ w, to(negative) @ w]), np.repeat([1.0, 0.0], [len(p), len(negative)])
+        z, y = np.concatenate([p @ w, to(negative) @ w]).astype(float), np.repeat([1.0, 0.0], [len(p), len(negative)])
         weight = np.where(y == 1, 0.5 / len(p), 0.5 / len(negative))
-        spread = z.std() or 1.0
+        spread = float(z.std()) or 1.0
         a, b = 1.0, 0.0
         for _ in range(300):  # logistic regression on one balanced variable
             q = 1 / (1 + np.exp(-np.clip(a * z / spread + b, -30, 30)))
@@ -141,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
     """Learns from rows that are not held out; samples are taken by hash of the id, labels first, so only small tables are broadcast."""
 
     def make():
-        return lambda r: {"kind": r["kind"], "u": r["u"], "x": [features(t, s).tobytes() for t in r["text"]]}
+        return lambda r: {"kind": r["kind"], "u": r["u"], "x": [packed(t, s) for t in r["text"]]}
 
     def sample(rows: DataFrame, n: int, most: int) -> DataFrame:
         return rows.filter(F.col("u") < most / max(1, n))
@@ -156,7 +173,14 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
     free = sample(free, texts.count(), s.unlabelled).select(F.lit(2).alias("kind"), "u", "text")
     rows = texts.join(F.broadcast(chosen), "doc_id").select("kind", "u", "text").union(free)
     got = sorted(map_slices(rows, make, "kind int, u double, x binary").collect(), key=lambda r: (r.kind, r.u, bytes(r.x)))
-    of = lambda k: np.stack([np.frombuffer(r.x, np.float32) for r in got if r.kind == k]) if any(r.kind == k for r in got) else np.zeros((0, (1 << s.bits) + SHAPES + 1), np.float32)
+
+    def of(kind: int) -> np.ndarray:
+        rows = [r.x for r in got if r.kind == kind]
+        out = np.empty((len(rows), (1 << s.bits) + SHAPES + 1), np.float32)
+        for i, x in enumerate(rows):
+            out[i] = unpacked(bytes(x), s)
+        return out
+
     positive, unlabelled, negative = of(1), of(2), of(0)
     return fit(positive, unlabelled, negative, s) if len(positive) and len(unlabelled) else None
 
