@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import langid, media, mixing, packing, quality
+from nearfield.llm import langid, media, mixing, packing, pii, quality
 from nearfield.llm.common import table
 from nearfield.llm.grams import held_out
 
@@ -46,6 +46,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op4_packing, op6_mixing, op7_language_id, op8_quality)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), "demonstration key")
+
+
+QUERIES = {f.__name__: f for f in (op1_media_columns, op4_packing, op6_mixing, op7_language_id, op8_quality, op10_pii)}
 
 ORACLE_SQL: dict[str, str] = {}
