@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import jaccard, langid, linededup, media, mixing, packing, pii, quality
+from nearfield.llm import jaccard, langid, linededup, media, mixing, packing, pii, quality, substring
 from nearfield.llm.common import table
 from nearfield.llm.grams import held_out
 
@@ -38,6 +38,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.summary(*mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
 
@@ -58,6 +62,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), "demonstration key")
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_line_dedup, op3_ngram_jaccard_join, op4_packing, op6_mixing, op7_language_id, op8_quality, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_line_dedup, op3_ngram_jaccard_join, op4_packing, op5_substring_dedup, op6_mixing, op7_language_id, op8_quality, op10_pii)}
 
 ORACLE_SQL: dict[str, str] = {}
