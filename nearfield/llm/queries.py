@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import jaccard, langid, linededup, media, mixing, packing, pii, quality, substring
+from nearfield.llm import jaccard, langid, linededup, media, mixing, neardup, packing, pii, quality, substring
 from nearfield.llm.common import table
 from nearfield.llm.grams import held_out
 
@@ -58,10 +58,14 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), "demonstration key")
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_line_dedup, op3_ngram_jaccard_join, op4_packing, op5_substring_dedup, op6_mixing, op7_language_id, op8_quality, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_line_dedup, op3_ngram_jaccard_join, op4_packing, op5_substring_dedup, op6_mixing, op7_language_id, op8_quality, op9_embedding_near_dedup, op10_pii)}
 
 ORACLE_SQL: dict[str, str] = {}
