@@ -5,7 +5,7 @@ bounded sample of each cell, into cells that overlap: each node goes to its near
 too large are split again. In each cell a graph is built: a node's nearest candidates, thinned by robust pruning
 (a candidate goes if a kept one is nearer to it, by a factor, than the node), and the reverse edges. A node's
 adjacency lists from all of its cells are united. Every node then searches each of its cells: a greedy beam from the
-medoid, which expands on through all nodes within a margin of the threshold. Hits are verified by the cosine in
+medoids, which expands on through all nodes within a margin of the threshold. Hits are verified by the cosine in
 double precision. A pair that lies in several cells counts in the least of them, so a task returns sums and roots,
 never pairs. An audit compares some nodes' links with brute force over all nodes; below the required recall the beam
 and the overlap are raised.
@@ -39,10 +39,13 @@ class Settings:
     levels: int = 8
     candidates: int = 48
     degree: int = 24
+    #: Edges to arbitrary nodes of the cell, and medoids at which a search starts.
+    far: int = 3
+    medoids: int = 24
     alpha: float = 1.2
     beam: int = 24
     margin: float = 0.04
-    audit: int = 64
+    audit: int = 256
     recall: float = 0.97
 
 
@@ -86,17 +89,24 @@ def prune(x: np.ndarray, s: Settings) -> list[np.ndarray]:
         out += [near[i][kept[i]] for i in range(len(near))]
     source = np.repeat(np.arange(n), [len(o) for o in out])
     target = np.concatenate(out)
+    # far edges and a ring, so that a tight group whose members are all each other's nearest can be reached
+    far = np.random.default_rng(n).integers(0, n, (n, s.far))
+    ring = np.roll(np.arange(n), 1)
+    source = np.concatenate([source, np.repeat(np.arange(n), s.far), np.arange(n)])
+    target = np.concatenate([target, far.ravel(), ring])
+    stay = source != target
+    source, target = source[stay], target[stay]
     a, b = np.concatenate([source, target]), np.concatenate([target, source])
     order = np.argsort(a, kind="stable")
     return [np.unique(p) for p in np.split(b[order], np.searchsorted(a[order], np.arange(1, n)))]
 
 
-def search(x: np.ndarray, edges: list[np.ndarray], query: int, start: int, s: Settings) -> np.ndarray:
+def search(x: np.ndarray, edges: list[np.ndarray], query: int, start: np.ndarray, s: Settings) -> np.ndarray:
     """The rows met whose similarity to the query row is within the margin of the threshold."""
     q = x[query]
     seen = np.zeros(len(x), bool)
     seen[start] = True
-    ids, sims, done = [start], [float(x[start] @ q)], [False]
+    ids, sims, done = start.tolist(), (x[start] @ q).tolist(), [False] * len(start)
     reach = s.threshold - s.margin
     while True:
         order = np.argsort(np.array(sims))[::-1]
@@ -201,10 +211,10 @@ def _search(s: Settings):
             at = np.searchsorted(node, e := e.values.to_numpy())
             at = np.minimum(at, len(node) - 1)
             edges.append(at[node[at] == e])
-        medoid = int((x @ x.mean(axis=0)).argmax())
+        medoids = np.unique((centroids(x, s.medoids, 4) @ x.T).argmax(axis=1))
         a, b = [], []
         for q in range(len(node)):
-            hit = search(x, edges, q, medoid, s)
+            hit = search(x, edges, q, medoids, s)
             a.append(np.full(len(hit), q))
             b.append(hit)
         i, j = np.concatenate(a), np.concatenate(b)
