@@ -14,45 +14,103 @@ Null texts are empty; every row gives at least its end token. Null sources are a
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import map_slices, spill
 
-#: Encoded words that a worker keeps; the cache is emptied beyond.
-CACHE = 400_000
-_cache: dict[tuple[str, str], dict[str, bytes]] = {}
-_tokenizers: dict[str, object] = {}
+#: Pieces of text that each of a worker's caches keeps at most twice: what was used since the older half was dropped, and that half.
+CACHE = 250_000
+#: Between these characters (printable ASCII and Latin-1 letters) case folding and composition are one to one, so that
+#: the tokenizer's own word pattern can be applied before it.
+PLAIN = re.compile("[!-~\u00c0-\u00ff]*")
+#: The pattern by which the tokenizer splits words.
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
-def encode(texts: list[str | None], path: str, end: int, wide: str) -> list[bytes]:
-    """Little-endian ids of every text and the end id. White space separates tokens, so pieces between spaces and
-    line feeds are encoded once and kept."""
-    if path not in _tokenizers:
+class _Recent(dict):
+    """A cache of two generations: what is asked for moves to the young one, and the old one is dropped when that is full."""
+
+    def __init__(self) -> None:
+        self.old: dict[str, bytes] = {}
+
+    def tidy(self) -> None:
+        if len(self) > CACHE:
+            self.old = dict(self)
+            self.clear()
+
+
+class Encoder:
+    """Ids of texts. White space separates tokens, so what stands between spaces and line feeds is encoded once and kept; so are
+    the words within, in lower case, where `folded` says that the tokenizer lowers case and splits by PARTS."""
+
+    def __init__(self, path: str, wide: str, folded: bool = True) -> None:
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-    cache = _cache.setdefault((path, wide), {})
-    parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-    new = list({p for x in parts for p in x if p not in cache})
-    if new:
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = list({p for x in parts for p in x})
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for p, e in zip(some, _tokenizers[path].encode_batch_fast(some, add_special_tokens=False), strict=True):
-                cache[p] = np.array(e.ids, wide).tobytes()
-    last = np.array([end], wide).tobytes()
-    get = cache.__getitem__
-    return [b"".join(map(get, x)) + last for x in parts]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.wide, self.folded = wide, folded
+        self.chunks, self.words = _Recent(), _Recent()
+        # byte-level alphabet: visible Latin-1 characters stand for themselves, the other bytes for characters from 256 on
+        seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in seen]
+        self.letters = {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """Plain words go to the tokenizer's model at once, their bytes spelt as its alphabet spells them."""
+        letters, model = self.letters, self.tokenizer.model.tokenize
+        return [np.array([t.id for t in model("".join([letters[b] for b in p.encode()]))], self.wide).tobytes() for p in parts]
+
+    def _direct(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.wide).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _fill(self, cache: _Recent, wanted: set[str], make) -> None:
+        new = []
+        for x in wanted:
+            if x not in cache:
+                if x in cache.old:
+                    cache[x] = cache.old[x]
+                else:
+                    new.append(x)
+        if new:
+            cache.update(zip(new, make(new), strict=True))
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        fast = [self.folded and bool(PLAIN.fullmatch(c)) and "<|" not in c for c in chunks]
+        parts = [PARTS.findall(c.lower()) if f else None for c, f in zip(chunks, fast, strict=True)]
+        self._fill(self.words, {p for x in parts if x for p in x}, self._parts)
+        get = self.words.__getitem__
+        slow = iter(self._direct([c for c, f in zip(chunks, fast, strict=True) if not f]))
+        return [b"".join(map(get, x)) if x is not None else next(slow) for x in parts]
+
+    def encode(self, texts: list[str | None], end: int) -> list[bytes]:
+        """Little-endian ids of every text and the end id."""
+        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        self._fill(self.chunks, {c for x in split for c in x}, self._chunks)
+        last = np.array([end], self.wide).tobytes()
+        get = self.chunks.__getitem__
+        out = [b"".join(map(get, x)) + last for x in split]
+        self.chunks.tidy()
+        self.words.tidy()
+        return out
+
+
+_encoders: dict[tuple, Encoder] = {}
+
+
+def encoder(*args) -> Encoder:
+    """This worker's encoder, which outlives tasks."""
+    if args not in _encoders:
+        _encoders[args] = Encoder(*args)
+    return _encoders[args]
 
 
 @dataclass(frozen=True)
@@ -130,11 +188,12 @@ class Plan:
         return out
 
 
-def pack(docs: DataFrame, path: str, vocabulary: int, capacity: int = 2048, end: int = 1, weights: dict | None = None, text: str = "text", source: str = "source", max_queues: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, path: str, vocabulary: int, capacity: int = 2048, end: int = 1, weights: dict | None = None, text: str = "text", source: str = "source", max_queues: int = 4096, folded: bool = True) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
     weights: tokens of each source for one of another; sources that it lacks come last. More than max_queues
     sources share queues by hash, which bounds the plan that the driver makes. Ids are stored as 16 bits if they fit.
+    folded: the tokenizer at path lowers case and splits by PARTS, as the 49k word tokenizer does.
     """
     wide = "<u2" if max(vocabulary, end + 1) <= 1 << 16 else "<u4"
     sources = docs.select(source).distinct().count()
@@ -145,7 +204,7 @@ def pack(docs: DataFrame, path: str, vocabulary: int, capacity: int = 2048, end:
         chunk, seen = TaskContext.get().partitionId(), {}
 
         def each(r: dict[str, list]) -> dict[str, list]:
-            ids = encode(r["text"], path, end, wide)
+            ids = encoder(path, wide, folded).encode(r["text"], end)
             n = [len(x) // int(wide[-1]) for x in ids]
             base = []
             for q, x in zip(r["queue"], n, strict=True):
