@@ -72,7 +72,8 @@ def slots(plan: DataFrame, block: int, shard: int, seed: str) -> DataFrame:
     first = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     p = p.withColumn("first", F.coalesce(F.sum("slots").over(first), F.lit(0))).withColumn("all", F.sum("slots").over(Window.partitionBy(F.lit(0)))).filter("slots > 0")
     runs = spill(p.select("*", F.explode(F.expr(f"sequence(0L, slots - 1, {STRIDE}L)")).alias("run")), "mix-runs")
-    s = runs.repartition("number", "run").withColumn("slot", F.explode(F.expr(f"sequence(run, least(run + {STRIDE - 1}, slots - 1))")))
+    # by number of partitions, as rows are few here and many below, which the planner can't see
+    s = runs.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), "number", "run").withColumn("slot", F.explode(F.expr(f"sequence(run, least(run + {STRIDE - 1}, slots - 1))")))
     s = s.withColumn("pass", F.expr("slot div blocks")).withColumn("turn", F.col("slot") - F.col("pass") * F.col("blocks"))
     partial = F.col("pass") == F.col("passes")
     s = s.withColumn("range", F.when(partial, F.col("whole")).otherwise(F.col("blocks")))
@@ -101,7 +102,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     parts = found.filter("size > 0").select("number", "start", "size", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"))
     at = F.col("block") * block
     parts = parts.withColumn("low", F.greatest("start", at) - at).withColumn("high", F.least(F.col("start") + F.col("size"), at + block) - at)
-    taken = slots(plan, block, shard, seed).join(parts, ["number", "block"]).withColumn("length", F.least("high", "words") - F.col("low")).filter("length > 0")
+    taken = slots(plan, block, shard, seed).join(parts.hint("merge"), ["number", "block"]).withColumn("length", F.least("high", "words") - F.col("low")).filter("length > 0")
     return found, taken.select("number", "start", "pass", "shard", "place", (at + F.col("low") - F.col("start")).alias("begin"), "length")
 
 
