@@ -175,6 +175,22 @@ def sketches(docs: DataFrame, s: Settings, text: str = "text") -> DataFrame:
 
 def join(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, class_id, n_links (other documents linked directly), class_size."""
+    return _join(docs, s, text).drop("th")
+
+
+def representatives(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> DataFrame:
+    """One row of docs for each class, that of the class's id. Rows without an id are freed of exact copies only."""
+    found = spill(_join(docs, s, text), "jaccard-found")
+    known = found.filter(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").agg(F.min("th").alias("th"))
+    stay = known.union(found.filter("doc_id is null and class_id is null").select("doc_id", "th").distinct())
+    stay = spill(stay.withColumnsRenamed({"doc_id": "doc_id_", "th": "th_"}), "jaccard-stay")
+    out = docs.withColumn("_th", F.xxhash64(text)).join(stay, F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("_th") == F.col("th_")), "left_semi")
+    if found.groupBy("doc_id", "th").count().filter("count > 1").head(1):  # repeated rows
+        out = out.dropDuplicates(["doc_id", "_th"])
+    return out.drop("_th")
+
+
+def _join(docs: DataFrame, s: Settings, text: str) -> DataFrame:
     each = spill(sketches(docs, s, text), "jaccard-sketches")
     classes = each.filter("grams > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "th", "sig")).alias("first"), F.min("doc_id").alias("least"), F.count("*").alias("weight"))
     classes = spill(classes.select("k1", "k2", "first.*", "least", "weight", F.monotonically_increasing_id().alias("node")), "jaccard-classes")
@@ -202,6 +218,6 @@ def join(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> DataF
     known = spill(known, "jaccard-known")
     whole = spill(known.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("weight").alias("class_size")), "jaccard-wholes")
     result = spill(known.join(whole, "component").select(F.col("k1").alias("k1_"), F.col("k2").alias("k2_"), "class_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "class_size"), "jaccard-result")
-    back = each.select("doc_id", "k1", "k2", "grams").join(result, (F.col("k1") == F.col("k1_")) & (F.col("k2") == F.col("k2_")), "left")
+    back = each.select("doc_id", "th", "k1", "k2", "grams").join(result, (F.col("k1") == F.col("k1_")) & (F.col("k2") == F.col("k2_")), "left")
     alone = F.col("grams") == 0
-    return back.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"), F.when(alone, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"))
+    return back.select("doc_id", "th", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"), F.when(alone, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"))

@@ -125,3 +125,9 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
         return each
 
     return map_slices(docs.select(*kept), make, schema)
+
+
+def accepted(docs: DataFrame, model: Model | None, least: float = 0.2, text: str = "text") -> DataFrame:
+    """The rows of docs whose language is known: not `und`, and some language scores at least `least`."""
+    rows = predict(docs.withColumnsRenamed({c: f"_{c}" for c in docs.columns if c in ("lang_pred", "score")}), model, text)
+    return rows.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).drop("lang_pred", "score").toDF(*docs.columns)

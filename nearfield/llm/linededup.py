@@ -79,3 +79,11 @@ def drop_lines(docs: DataFrame, s: Settings = Settings(), text: str = "text") ->
         *[F.when(F.col("gone").isNull(), F.col(text)).otherwise(kept).alias(text) if c == text else F.col(c) for c in docs.columns],
         F.when(F.col(text).isNull(), 0).otherwise(F.size("_lines")).alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_dropped"),
     )
+
+
+def filtered(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> DataFrame:
+    """The columns of docs: recurring lines are gone, and so are documents that lost all they had. n_chars, if there, follows."""
+    rows = drop_lines(docs, s, text).filter((F.col("n_dropped") == 0) | ~F.col(text).rlike(r"^\s*$"))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.select(*docs.columns)
