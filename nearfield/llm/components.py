@@ -9,39 +9,26 @@ from nearfield.llm.common import spill
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, component): the smallest id reachable from id, for every id of the edges (a, b).
+    """(id, component): the smallest id reachable from id, for every id of the edges (a, b); self-loops keep single vertices.
 
-    Alternating large-star and small-star steps: every vertex links its neighbours to the smallest of them,
-    which ends in stars after about log n rounds. Each round is a pair of shuffles of the edges and one
-    written table, so lineage stays short. Self-loops keep single vertices.
+    Contraction: every vertex takes the label of the least vertex next to it, and the edges between labels are the next
+    graph, until there are none. Ids in arbitrary order leave about a third of the vertices each time, so the number of
+    rounds grows with the logarithm of the graph's. The least vertex of a component keeps its label, so the last label
+    is the smallest id. Labels are joined from written tables, whose sizes are known, so small ones are broadcast and
+    large ones sorted, where skewed vertices are split.
     """
-    e = spill(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).distinct(), "cc")
-    loops = e.filter("a = b").select("a").distinct()
-    e = e.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    before = None
+    e = spill(edges.select(F.col("a").cast("long"), F.col("b").cast("long")), "cc")
+    label = None
     for _ in range(rounds):
-        e = spill(_star(_star(e, True), False), "cc")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    found = e.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    roots = e.select("b").distinct().select(F.col("b").alias("id"), F.col("b").alias("component"))
-    alone = loops.join(found.union(roots), loops.a == F.col("id"), "left_anti").select(F.col("a").alias("id"), F.col("a").alias("component"))
-    return spill(found.union(roots).union(alone).distinct(), "components")
-
-
-def _star(e: DataFrame, large: bool) -> DataFrame:
-    """e: edges (a, b) with a > b. Large star: link the larger neighbours of each vertex to its smallest
-    neighbour or itself; small star: link the smaller neighbours and the vertex itself to the smallest."""
-    if large:
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = spill(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "cc-least")
-        got = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        least = spill(e.groupBy("a").agg(F.min("b").alias("m")), "cc-least")
-        got = e.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        got = got.union(least.select("a", F.col("m").alias("b")))
-    return got.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        ends = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = spill(ends.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "cc-least")
+        if label is None:
+            label = least.select(F.col("a").alias("id"), F.col("m").alias("component"))
+        else:
+            step = least.select(F.col("a").alias("component"), "m")
+            label = label.join(step, "component", "left").select("id", F.coalesce("m", "component").alias("component"))
+        left = e.join(least.withColumnRenamed("m", "x"), "a").select("b", "x").join(least.select(F.col("a").alias("b"), F.col("m").alias("y")), "b")
+        e = spill(left.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc")
+        if not e.head(1):
+            return spill(label, "components")
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
