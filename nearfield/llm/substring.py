@@ -3,7 +3,8 @@
 A text's words are covered where a window of `window` consecutive words also starts elsewhere, in another document
 or in the same one. The reference is the whole corpus, indexed by anchors: of the word k-grams inside a window, the
 one with the least hash (the leftmost of equals) is its anchor, so equal windows have equal anchors at equal offsets.
-Each anchor that has several places makes a reference block: the places with the hashes of the windows around them.
+Anchors that have several places make up reference blocks: the places with the hashes of the windows around them, many
+anchors to a block.
 Texts that share no anchor with another place are done. In a block every place's run of windows is parsed greedily
 into factors: a factor goes on while the windows are known at another place of the block. A window that straddles two
 factors is looked up like any other, so nothing is missed at factor boundaries. Factors of at least one window are
@@ -173,7 +174,8 @@ def spans(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> tupl
     staged = spill(keyed.join(wanted, cond).select("c", "k1", "k2", "text", "marks").dropDuplicates(["c"]), "substring-texts")
     places = spill(_windows(staged, s), "substring-windows")
     run, schema = _parse(s)
-    cold = places.filter("not hot").select("anchor", "c", "first", "hashes").groupBy("anchor").applyInArrow(run, schema)
+    blocks = 16 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cold = places.filter("not hot").select(F.pmod("anchor", F.lit(blocks)).alias("block"), "c", "first", "hashes").groupBy("block").applyInArrow(run, schema)
     # 16 hexadecimal digits a window of a hot block
     hexed = places.filter("hot").select("anchor", "c", "first", F.posexplode(F.regexp_extract_all(F.hex("hashes"), F.lit(".{16}"), F.lit(0))).alias("at", "window"))
     hexed = hexed.select("anchor", "c", (F.col("first") + F.col("at")).alias("first"), F.xxhash64("anchor", "window").alias("window"))
