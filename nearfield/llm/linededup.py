@@ -70,20 +70,23 @@ def drop_lines(docs: DataFrame, s: Settings = Settings(), text: str = "text") ->
     docs = docs.drop("n_lines", "n_dropped")
     lines, forms = recurring(docs, s, text)
     gone = lines.join(forms, "form").filter("key <> first").groupBy("doc_id", "key").agg(F.collect_list("line").alias("gone"))
-    gone = spill(gone.select(F.col("doc_id").alias("doc_id_"), F.col("key").alias("key_"), "gone"), "line-gone")
-    rows = docs.withColumn("_key", F.xxhash64("doc_id", text))
-    rows = rows.join(gone, (F.col("_key") == F.col("key_")) & F.col("doc_id").eqNullSafe(F.col("doc_id_")), "left").withColumn("_lines", F.split(text, "\n", -1))
-    rows = rows.withColumn("_stay", F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "gone"))
-    kept = F.array_join(F.transform("_stay", lambda i: F.element_at("_lines", i + 1)), "\n")
+    gone = spill(gone.select(F.col("doc_id").alias("_nf_doc"), F.col("key").alias("_nf_id"), F.col("gone").alias("_nf_gone")), "line-gone")
+    rows = docs.withColumn("_nf_key", F.xxhash64("doc_id", text))
+    # both sides grow with the documents, so this is a merge join at every size
+    rows = rows.join(gone.hint("merge"), (F.col("_nf_key") == F.col("_nf_id")) & F.col("doc_id").eqNullSafe(F.col("_nf_doc")), "left").withColumn("_nf_lines", F.split(text, "\n", -1))
+    rows = rows.withColumn("_nf_stay", F.array_except(F.sequence(F.lit(0), F.size("_nf_lines") - 1), "_nf_gone"))
+    kept = F.array_join(F.transform("_nf_stay", lambda i: F.element_at("_nf_lines", i + 1)), "\n")
+    whole = F.col("_nf_gone").isNull()
     return rows.select(
-        *[F.when(F.col("gone").isNull(), F.col(text)).otherwise(kept).alias(text) if c == text else F.col(c) for c in docs.columns],
-        F.when(F.col(text).isNull(), 0).otherwise(F.size("_lines")).alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_dropped"),
+        *[F.when(whole, F.col(text)).otherwise(kept).alias(text) if c == text else F.col(c) for c in docs.columns],
+        F.when(F.col(text).isNull(), 0).otherwise(F.size("_nf_lines")).alias("n_lines"), F.when(whole, 0).otherwise(F.size("_nf_gone")).alias("n_dropped"),
     )
 
 
 def filtered(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> DataFrame:
     """The columns of docs: recurring lines are gone, and so are documents that lost all they had. n_chars, if there, follows."""
-    rows = drop_lines(docs, s, text).filter((F.col("n_dropped") == 0) | ~F.col(text).rlike(r"^\s*$"))
+    named = docs.withColumnsRenamed({c: f"_nf_{c}" for c in docs.columns if c in ("n_lines", "n_dropped")})
+    rows = drop_lines(named, s, text).filter((F.col("n_dropped") == 0) | ~F.col(text).rlike(r"^\s*$"))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    return rows.select(*named.columns).toDF(*docs.columns)
