@@ -183,11 +183,11 @@ def representatives(docs: DataFrame, s: Settings = Settings(), text: str = "text
     found = spill(_join(docs, s, text), "jaccard-found")
     known = found.filter(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").agg(F.min("th").alias("th"))
     stay = known.union(found.filter("doc_id is null and class_id is null").select("doc_id", "th").distinct())
-    stay = spill(stay.withColumnsRenamed({"doc_id": "doc_id_", "th": "th_"}), "jaccard-stay")
-    out = docs.withColumn("_th", F.xxhash64(text)).join(stay, F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("_th") == F.col("th_")), "left_semi")
+    stay = spill(stay.withColumnsRenamed({"doc_id": "_nf_doc", "th": "_nf_id"}), "jaccard-stay")
+    out = docs.withColumn("_nf_th", F.xxhash64(text)).join(stay.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_nf_doc")) & (F.col("_nf_th") == F.col("_nf_id")), "left_semi")
     if found.groupBy("doc_id", "th").count().filter("count > 1").head(1):  # repeated rows
-        out = out.dropDuplicates(["doc_id", "_th"])
-    return out.drop("_th")
+        out = out.dropDuplicates(["doc_id", "_nf_th"])
+    return out.drop("_nf_th")
 
 
 def _join(docs: DataFrame, s: Settings, text: str) -> DataFrame:

@@ -99,15 +99,16 @@ def parse(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def items(parsed: DataFrame) -> DataFrame:
-    """A row for each item, with the item's fields and digest (of references media:<digest>) as columns item_*."""
-    out = parsed.select(*[c for c in parsed.columns if c != "items"], F.explode("items").alias("item"))
-    fields = [F.col(f"item.{f}").alias(f"item_{f}") for f in ("position", "kind", "text", "reference", "caption")]
-    digest = F.regexp_extract("item.reference", r"^media:([0-9a-f]+)$", 1)
-    return out.select("*", *fields, F.nullif(digest, F.lit("")).alias("item_digest")).drop("item")
+    """A row for each item, with the item's fields and digest (of references media:<digest>) as columns item_*, which replace such names."""
+    out = parsed.select(*[c for c in parsed.columns if c != "items" and not c.startswith("item_")], F.explode("items").alias("_nf_item"))
+    fields = [F.col(f"_nf_item.{f}").alias(f"item_{f}") for f in ("position", "kind", "text", "reference", "caption")]
+    digest = F.regexp_extract("_nf_item.reference", r"^media:([0-9a-f]+)$", 1)
+    return out.select("*", *fields, F.nullif(digest, F.lit("")).alias("item_digest")).drop("_nf_item")
 
 
 def resolve(found: DataFrame, media: DataFrame) -> DataFrame:
-    """Left-join items with media (one row for each digest); what has no payload keeps nulls."""
+    """Left-join items with media (one row for each digest); what has no payload keeps nulls. Media's columns replace equal names."""
+    found = found.drop(*[c for c in media.columns if c != "item_digest"])
     return found.join(media, found.item_digest == media.digest, "left").drop("digest")
 
 

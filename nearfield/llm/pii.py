@@ -186,15 +186,15 @@ def pseudonym(m: Column, key: Column) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Replaces text by the text with pseudonyms and adds n_found and n_replaced (ints)."""
+    """Replaces text by the text with pseudonyms and adds n_found and n_replaced (ints), replacing columns of these names."""
     k = F.lit(key)
     found = F.when(F.col(text).rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    rows = docs.withColumn("_found", found)
-    rows = rows.withColumn("_new", F.when(F.size("_found") > 0, F.transform("_found", lambda m: pseudonym(m, k))))
+    rows = docs.withColumn("_nf_found", found)
+    rows = rows.withColumn("_nf_new", F.when(F.size("_nf_found") > 0, F.transform("_nf_found", lambda m: pseudonym(m, k))))
     between = F.split(text, ANY, -1)
-    put = F.array_join(F.zip_with(between, F.zip_with("_found", "_new", lambda m, n: F.coalesce(n, m)), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    put = F.array_join(F.zip_with(between, F.zip_with("_nf_found", "_nf_new", lambda m, n: F.coalesce(n, m)), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     return rows.withColumns({
-        text: F.when(F.size("_new") > 0, put).otherwise(F.col(text)),
-        "n_found": F.coalesce(F.nullif(F.size("_found"), F.lit(-1)), F.lit(0)),
-        "n_replaced": F.when(F.size("_new") > 0, F.size(F.filter("_new", lambda x: x.isNotNull()))).otherwise(0),
-    }).drop("_found", "_new")
+        text: F.when(F.size("_nf_new") > 0, put).otherwise(F.col(text)),
+        "n_found": F.coalesce(F.nullif(F.size("_nf_found"), F.lit(-1)), F.lit(0)),
+        "n_replaced": F.when(F.size("_nf_new") > 0, F.size(F.filter("_nf_new", lambda x: x.isNotNull()))).otherwise(0),
+    }).drop("_nf_found", "_nf_new")
