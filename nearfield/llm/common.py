@@ -41,8 +41,8 @@ def spill(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_slices(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
-    """mapInArrow over slices of SLICE rows: make() is called once a task and returns a function from
+def map_slices(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str, rows: int = SLICE) -> DataFrame:
+    """mapInArrow over slices of so many rows: make() is called once a task and returns a function from
     columns (lists of Python values) to columns of the schema."""
     out = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -52,8 +52,8 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dic
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
                 made = each({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in arrow], schema=arrow)
 

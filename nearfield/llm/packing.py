@@ -15,6 +15,7 @@ Null texts are empty; every row gives at least its end token. Null sources are a
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -22,14 +23,15 @@ from fractions import Fraction
 
 import numpy as np
 import regex
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import map_slices, spill
 
-#: Pieces of text that each of a worker's caches keeps at most twice: what was used since the older half was dropped, and that half.
-CACHE = 250_000
+#: Pieces of text between white space, and words in them, that a worker keeps; beyond, the older half of the words and all pieces go.
+PIECES, WORDS = 3_000_000, 300_000
 #: Between these characters (printable ASCII and Latin-1 letters) case folding and composition are one to one, so that
 #: the tokenizer's own word pattern can be applied before it.
 PLAIN = re.compile("[!-~\u00c0-\u00ff]*")
@@ -38,69 +40,131 @@ PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]
 
 
 class _Recent(dict):
-    """A cache of two generations: what is asked for moves to the young one, and the old one is dropped when that is full."""
+    """A cache of two generations: what is asked for moves to the young one, and the old one goes when that is full."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int, make) -> None:
+        self.most, self.make = most, make
         self.old: dict[str, bytes] = {}
 
-    def tidy(self) -> None:
-        if len(self) > CACHE:
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
+        self[key] = value
+        return value
 
 
 class Encoder:
-    """Ids of texts. White space separates tokens, so what stands between spaces and line feeds is encoded once and kept; so are
-    the words within, in lower case, where `folded` says that the tokenizer lowers case and splits by PARTS."""
+    """Ids of texts. White space separates tokens, so what stands between spaces and line feeds is encoded once and kept, under a
+    64-bit hash and its length; so are the words within, in lower case, where `folded` says that the tokenizer lowers case
+    and splits by PARTS."""
 
     def __init__(self, path: str, wide: str, folded: bool = True) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.wide, self.folded = wide, folded
-        self.chunks, self.words = _Recent(), _Recent()
+        self.wide, self.width, self.folded = wide, int(wide[-1]), folded
+        self.words = _Recent(WORDS, self._word)
+        self._forget()
+        self.pack = struct.Struct("<H" if wide == "<u2" else "<I").pack
         # byte-level alphabet: visible Latin-1 characters stand for themselves, the other bytes for characters from 256 on
         seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in seen]
         self.letters = {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    def _parts(self, parts: list[str]) -> list[bytes]:
-        """Plain words go to the tokenizer's model at once, their bytes spelt as its alphabet spells them."""
-        letters, model = self.letters, self.tokenizer.model.tokenize
-        return [np.array([t.id for t in model("".join([letters[b] for b in p.encode()]))], self.wide).tobytes() for p in parts]
-
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.wide).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _fill(self, cache: _Recent, wanted: set[str], make) -> None:
-        new = []
-        for x in wanted:
-            if x not in cache:
-                if x in cache.old:
-                    cache[x] = cache.old[x]
-                else:
-                    new.append(x)
-        if new:
-            cache.update(zip(new, make(new), strict=True))
-
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        fast = [self.folded and bool(PLAIN.fullmatch(c)) and "<|" not in c for c in chunks]
-        parts = [PARTS.findall(c.lower()) if f else None for c, f in zip(chunks, fast, strict=True)]
-        self._fill(self.words, {p for x in parts if x for p in x}, self._parts)
-        get = self.words.__getitem__
-        slow = iter(self._direct([c for c, f in zip(chunks, fast, strict=True) if not f]))
-        return [b"".join(map(get, x)) if x is not None else next(slow) for x in parts]
+    def _forget(self) -> None:
+        # pieces by rising hash: hash, length in bytes, place and number of ids in the pool
+        self.keys, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.begins, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.pool = np.zeros(0, self.wide)
+
+    def _known(self, keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether each of the rising keys is kept."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return (self.keys[at] == keys) & (self.sizes[at] == sizes)
+
+    def _keep(self, keys: np.ndarray, sizes: np.ndarray, ids: list[bytes]) -> None:
+        counts = np.array([len(x) for x in ids], np.int32) // self.width
+        begins = len(self.pool) + np.cumsum(counts, dtype=np.int64) - counts
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), self.wide)])
+        at = np.searchsorted(self.keys, keys)
+        for name, new in (("keys", keys), ("sizes", sizes), ("begins", begins), ("counts", counts)):
+            setattr(self, name, np.insert(getattr(self, name), at, new))
+
+    def _ids(self, ids) -> bytes:
+        return b"".join(map(self.pack, ids))
+
+    def _word(self, word: str) -> bytes:
+        """A plain word goes to the tokenizer's model at once, its bytes spelt as its alphabet spells them."""
+        spelt = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+        return self._ids([t.id for t in self.tokenizer.model.tokenize(spelt)])
+
+    def _piece(self, piece: str) -> bytes:
+        if self.folded and "<|" not in piece and PLAIN.fullmatch(piece):
+            low = piece.lower()
+            if low.isalpha():
+                return self.words[low]
+            return b"".join([self.words[p] for p in PARTS.findall(low)])
+        return self._ids(self.tokenizer.encode(piece, add_special_tokens=False).ids)
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """Little-endian ids of every text and the end id."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        self._fill(self.chunks, {c for x in split for c in x}, self._chunks)
-        last = np.array([end], self.wide).tobytes()
-        get = self.chunks.__getitem__
-        out = [b"".join(map(get, x)) + last for x in split]
-        self.chunks.tidy()
-        self.words.tidy()
-        return out
+        out: list[bytes] = []
+        some: list[bytes] = []
+        size, last = 0, self.pack(end)
+        for t in texts:
+            some.append((t or "").encode())
+            size += len(some[-1])
+            if size >= 4_000_000:
+                out += self._batch(some, last)
+                some, size = [], 0
+        return out + (self._batch(some, last) if some else [])
+
+    def _batch(self, texts: list[bytes], last: bytes) -> list[bytes]:
+        """Finds the pieces by arrays, looks each distinct one up once, and lays their ids out by arrays."""
+        data = b"\n".join(texts) + b"\n"
+        codes = np.frombuffer(data, np.uint8)
+        ends = np.flatnonzero((codes == 32) | (codes == 10))
+        starts = np.r_[0, ends[:-1] + 1]
+        full = ends > starts
+        starts, ends = starts[full], ends[full]
+        size = ends - starts
+        bounds = np.cumsum([len(t) + 1 for t in texts])
+        if not len(starts):
+            return [last] * len(texts)
+        # a hash of each piece: a random number for each byte and place, added up; capitals count as small letters
+        table = _TABLE if not self.folded or b"<|" in data else _FOLDED
+        row = np.repeat(starts, size)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        values = table[np.minimum(at, PLACES - 1), codes[row + at]]
+        h = np.add.reduceat(values, np.r_[0, np.cumsum(size)[:-1]])
+        for i in np.flatnonzero(size >= PLACES):
+            h[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]])
+        keys, first, which = np.unique(h, return_index=True, return_inverse=True)
+        sizes = size[first].astype(np.int32)
+        if len(self.keys) + len(keys) > PIECES:
+            self._forget()
+        new = ~self._known(keys, sizes)
+        at = first[new]
+        self._keep(keys[new], sizes[new], [self._piece(data[a:b].decode()) for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+        at = np.searchsorted(self.keys, keys)
+        n = self.counts[at][which].astype(np.int64)
+        where = np.cumsum(n)
+        ids = self.pool[np.repeat(self.begins[at][which] - (where - n), n) + np.arange(where[-1])]
+        cut = np.r_[0, np.r_[0, where][np.searchsorted(starts, bounds)]].tolist()
+        return [ids[a:b].tobytes() + last for a, b in zip(cut, cut[1:], strict=False)]
+
+
+#: Places of a piece that the hash tells apart; longer pieces are hashed as a whole.
+PLACES = 48
+_TABLE = np.random.default_rng(11).integers(0, 1 << 64, (PLACES, 256), np.uint64)
+_FOLDED = _TABLE.copy()
+_FOLDED[:, 65:91] = _TABLE[:, 97:123]
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -214,7 +278,7 @@ def pack(docs: DataFrame, path: str, vocabulary: int, capacity: int = 2048, end:
 
         return each
 
-    stored = spill(map_slices(rows, tokenise, "doc_id long, source string, queue string, chunk int, base long, n long, ids binary"), "pack-ids")
+    stored = spill(map_slices(rows, tokenise, "doc_id long, source string, queue string, chunk int, base long, n long, ids binary", rows=1024), "pack-ids")
     sums = spill(stored.groupBy("chunk", "queue").agg(F.sum("n").alias("n")), "pack-sums")
     before = Window.partitionBy("queue").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     totals = sorted(((r[0], int(r[1])) for r in sums.groupBy("queue").agg(F.sum("n")).collect()), key=lambda x: (x[0] is None, x[0] or ""))  # at most max_queues
