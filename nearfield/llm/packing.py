@@ -1,12 +1,12 @@
 """Mixture-controlled packing of token ids into sequences of fixed length.
 
-Each source is a queue. Deficit round-robin gives every queue its target share of each window and carries what
-rounding leaves over to the next window: after y tokens of a phase, the queues up to number s have together
-got floor(y * share of these queues), so every window holds each source within one token of its share, no matter
-which task packs it. This closed form replaces a walk through the windows, which would be sequential: a document's
-pieces follow from its place in its queue alone, and deficits carry across windows and partitions.
-A phase ends when a queue runs empty; the others then share by their weights. By default shares are those of the
-tokens themselves, so that all queues end together.
+Each source is a queue. Deficit round-robin serves the queue whose deficit is largest: token c of a queue that gives q
+tokens is due at (c + 1/2) / q, and the stream takes tokens in the order in which they are due. So any stretch of the
+stream, and every window, holds each source at its target share within a few tokens at most, and what rounding leaves
+over carries to the next window. How many tokens each queue has given before a window has a closed form but for a few
+tokens, so a document's pieces follow from its place in its queue, and deficits carry across windows and partitions
+without a walk through the windows. A phase ends when a queue runs empty; the others then share by their weights. By
+default shares are those of the tokens themselves, so that all queues end together.
 
 What remains at the end is cut into sequences whose lengths are powers of two, so nothing is padded.
 Null texts are empty; every row gives at least its end token. Null sources are a source of their own.
@@ -181,8 +181,8 @@ def encoder(*args) -> Encoder:
 class Phase:
     start: int  # tokens in earlier phases
     length: int
-    upto: tuple[int, ...]  # tokens of the queues before number s, for s up to their number
-    taken: tuple[int, ...]  # tokens of each queue in earlier phases
+    give: tuple[int, ...]  # tokens of each queue in this phase
+    taken: tuple[int, ...]  # and in earlier ones
 
 
 def phases(totals: Sequence[int], weights: Sequence[float] | None = None) -> list[Phase]:
@@ -195,20 +195,48 @@ def phases(totals: Sequence[int], weights: Sequence[float] | None = None) -> lis
             w = [Fraction(x) for x in left]
         reach = min(left[i] / w[i] for i in on)
         give = [min(left[i], int(w[i] * reach)) if i in on else 0 for i in range(len(left))]
-        upto = [0]
-        for x in give:
-            upto.append(upto[-1] + x)
-        out.append(Phase(at, upto[-1], tuple(upto), tuple(t - x for t, x in zip(totals, left, strict=True))))
-        at += upto[-1]
+        out.append(Phase(at, sum(give), tuple(give), tuple(t - x for t, x in zip(totals, left, strict=True))))
+        at += sum(give)
         left = [x - g for x, g in zip(left, give, strict=True)]
     return out
 
 
-@dataclass(frozen=True)
 class Plan:
-    phases: list[Phase]
-    total: int
-    capacity: int
+    """Where the tokens of the queues go."""
+
+    def __init__(self, phases: list[Phase], total: int, capacity: int) -> None:
+        self.phases, self.total, self.capacity = phases, total, capacity
+        self.cuts: dict[int, list[int]] = {}
+
+    def given(self, x: int) -> list[int]:
+        """How many tokens of each queue are among the first x of the stream."""
+        if x in self.cuts:
+            return self.cuts[x]
+        if len(self.cuts) > 20_000:
+            self.cuts.clear()
+        p = next((p for p in self.phases if x <= p.start + p.length), None)
+        if p is None:
+            return [0] * (len(self.phases[0].give) if self.phases else 0)
+        y, length = x - p.start, p.length
+        c = [(2 * q * y + length) // (2 * length) for q in p.give]
+        # exact ranks: the few tokens about the cut change places until those before it are due first
+        last = [((2 * n - 1) << 64) // q if n else -1 for n, q in zip(c, p.give, strict=True)]
+        new = [((2 * n + 1) << 64) // q if n < q else 1 << 80 for n, q in zip(c, p.give, strict=True)]
+        over = sum(c) - y
+        while True:
+            drop = max(range(len(c)), key=lambda t: (last[t], t)) if over > 0 or over == 0 else None
+            take = min(range(len(c)), key=lambda t: (new[t], t)) if over <= 0 else None
+            if over == 0 and (last[drop], drop) < (new[take], take):
+                break
+            for t, step in ((drop, -1), (take, 1)):
+                if t is not None:
+                    c[t] += step
+                    over += step
+                    q = p.give[t]
+                    last[t] = ((2 * c[t] - 1) << 64) // q if c[t] else -1
+                    new[t] = ((2 * c[t] + 1) << 64) // q if c[t] < q else 1 << 80
+        self.cuts[x] = out = [n + b for n, b in zip(c, p.taken, strict=True)]
+        return out
 
     def window(self, x: int) -> tuple[int, int, int]:
         """Number, start and end of the sequence that holds token x of all."""
@@ -225,30 +253,19 @@ class Plan:
     def pieces(self, queue: int, first: int, n: int) -> list[tuple[int, int, int, int]]:
         """(start in the document, length, sequence, offset) for the n tokens of a queue from number first on."""
         out, u, end = [], first, first + n
-        for p in self.phases:
-            lo, hi = p.upto[queue], p.upto[queue + 1]
-            taken = p.taken[queue]
-            if not hi - lo or u >= taken + hi - lo:
+        p = next(p for p in self.phases if p.taken[queue] <= first < p.taken[queue] + p.give[queue])
+        at = p.start + min(p.length - 1, (first - p.taken[queue]) * p.length // p.give[queue])
+        while u < end:
+            number, lo, hi = self.window(at)
+            before, after = self.given(lo), self.given(hi)
+            if before[queue] > u:
+                at = lo - 1
                 continue
-            if u >= end:
-                break
-            stop = min(end, taken + hi - lo) - taken
-            a = u - taken
-            number, w0, w1 = self.window(p.start + min(p.length - 1, a * p.length // (hi - lo)))
-            while True:
-                y0, y1 = max(w0, p.start) - p.start, min(w1, p.start + p.length) - p.start
-                b0, b1 = lo * y0 // p.length, lo * y1 // p.length
-                c0, c1 = hi * y0 // p.length - b0, hi * y1 // p.length - b1
-                if c0 > a:
-                    number, w0, w1 = self.window(w0 - 1)
-                    continue
-                if c1 > a:
-                    size = min(stop, c1) - a
-                    out.append((u - first, size, number, p.start + y0 - w0 + b1 - b0 + a - c0))
-                    a, u = a + size, u + size
-                    if a >= stop:
-                        break
-                number, w0, w1 = self.window(w1)
+            if after[queue] > u:
+                size = min(end, after[queue]) - u
+                out.append((u - first, size, number, sum(after[:queue]) - sum(before[:queue]) + u - before[queue]))
+                u += size
+            at = hi
         return out
 
 
