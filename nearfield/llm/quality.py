@@ -118,7 +118,7 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     for cut in np.quantile(positive, np.linspace(0, 0.9, 46)):
         share_p, share_u = (positive >= cut).mean(), (unlabelled >= cut).mean()
         best = min(best, (share_u + np.sqrt(np.log(20) / (2 * n_u))) / max(1e-9, share_p - np.sqrt(np.log(20) / (2 * n_p)))) if share_p > 0.1 else best
-    return float(min(0.98, max(0.05, best)))
+    return float(min(0.95, max(0.05, best)))
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, negative: np.ndarray, s: Settings) -> Model:
@@ -126,7 +126,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, negative: np.ndarray, s: S
     scale = 1 / np.where(deviation > 1e-6, np.maximum(deviation, 0.01), 1)
     mean, scale = mean.copy(), scale / np.sqrt(len(mean))
     shapes = slice(len(mean) - SHAPES - 1, len(mean) - 1)
-    scale[shapes] *= np.sqrt(len(mean) / SHAPES)
+    scale[shapes] *= 1.5 * np.sqrt(len(mean) / SHAPES)  # few and telling, against thousands of n-grams
     mean[-1], scale[-1] = 0, 1
     mean, scale = mean.astype(np.float32), scale.astype(np.float32)
 
