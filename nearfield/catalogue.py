@@ -537,6 +537,36 @@ def two_level_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivf.assign(b, ivf.two_level(c, c))
 
 
+@query(
+    f"WITH {BASE}{_TWO}, f AS (SELECT qid, s FROM (SELECT qid, bucket_id AS s, row_number() OVER (PARTITION BY qid ORDER BY {l2_sql('centroid', 'q')}, bucket_id) AS r FROM q, c1) WHERE r <= 5), "
+    f"p AS (SELECT qid, bucket_id, d, row_number() OVER (PARTITION BY qid ORDER BY d, bucket_id) AS r FROM (SELECT q.qid, c.bucket_id, {l2_sql('c.centroid', 'q.q')} AS d FROM q JOIN f USING (qid) JOIN c ON c.bucket_id // 10 = f.s)) "
+    "SELECT qid, r AS rank, bucket_id, round(d, 6) + 0.0 AS distance FROM p WHERE r <= 6"
+)
+def two_level_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = centroids(spark, sf_dir)
+    out = ivf.two_level_route(asked(spark, sf_dir), c, c, 6, 0.5)
+    return rounded(out.select("qid", F.col("order").alias("rank"), "bucket_id", "distance"))
+
+
+@query(f"WITH {BASE}{_CENTROIDS}{_near_sql(1)}, m AS (SELECT a.bucket_id, base.id, vector FROM a JOIN base USING (id)) SELECT bucket_id, src, dst, round(d, 6) + 0.0 AS distance FROM (SELECT x.bucket_id, x.id AS src, y.id AS dst, {l2_sql('x.vector', 'y.vector')} AS d, row_number() OVER (PARTITION BY x.id ORDER BY {l2_sql('x.vector', 'y.vector')}, y.id) AS r FROM m x JOIN m y ON x.bucket_id = y.bucket_id AND x.id <> y.id) WHERE r <= 4")
+def ivf_bucket_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, c = base(spark, sf_dir), centroids(spark, sf_dir)
+    return rounded(ivf.bucket_edges(b, ivf.assign(b, c), 4))
+
+
+@query(f"WITH {BASE}{_CENTROIDS}{_near_sql(1)}{_ROUTE} SELECT r3.qid, count(DISTINCT r3.bucket_id) AS buckets, count(a.id) AS rows FROM r3 LEFT JOIN a USING (bucket_id) GROUP BY r3.qid")
+def search_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, q = both(spark, sf_dir)
+    c = centroids(spark, sf_dir)
+    return ivf.probe_stats(ivf.assign(b, c), ivf.route(q, c, 3))
+
+
+@query(f"WITH {BASE} SELECT count(*) AS rows, count(*) * (8 + 4 * 64) AS bytes FROM base")
+def memory_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = index_module.create("flat", '{"dim": 64}')
+    return base(spark, sf_dir).agg(F.count("*").alias("rows")).withColumn("bytes", F.col("rows") * i.estimate_memory(1))
+
+
 @query(f"WITH {BASE}, st AS (SELECT label::BIGINT AS bucket_id, arg_min(vector, id) AS v FROM base GROUP BY label), a AS (SELECT id, vector, bucket_id FROM (SELECT id, vector, bucket_id, row_number() OVER (PARTITION BY id ORDER BY {l2_sql('vector', 'v')}, bucket_id) AS r FROM base, st) WHERE r = 1) SELECT bucket_id, round(sum(x), 5) + 0.0 AS total FROM (SELECT bucket_id, pos, avg(x) AS x FROM (SELECT bucket_id, unnest(range(1, 65)) AS pos, unnest(vector)::DOUBLE AS x FROM a) GROUP BY ALL) GROUP BY bucket_id")
 def kmeans_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = base(spark, sf_dir)
@@ -666,6 +696,16 @@ def pq_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(index_module.coded_knn(b, Q.fit_product(b, 8, 64), q, 10, factor=4.0))
 
 
+@query()
+def pq_code_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Between codes, and from a query to codes, by tables."""
+    b, q = both(spark, sf_dir)
+    m = Q.fit_product(b, 8, 32)
+    codes = store.checkpointed(b.select("id", m.encode(F.col("vector")).alias("code")))
+    pairs = codes.join(codes.select((F.col("id") - 1).alias("id"), F.col("code").alias("next")), "id")
+    return pairs.select("id", F.round(m.between(F.col("code"), F.col("next")), 6).alias("between"), F.round(m.lookup(F.col("code"), q.first().q), 6).alias("to_query"))
+
+
 @query()
 def pqfs_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, q = both(spark, sf_dir)
@@ -747,6 +787,15 @@ def degree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degree_stats(graph.exact_edges(base(spark, sf_dir), 5))
 
 
+@query(f"WITH {BASE}, {_edges_sql(5).replace('e AS', 'e0 AS', 1)} SELECT src + 1000 AS src, dst + 1000 AS dst, round(d, 6) + 0.0 AS distance FROM e0 WHERE src % 3 <> 0 AND dst % 3 <> 0")
+def build_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges carried by source ids to an index with other ids and fewer rows."""
+    b = base(spark, sf_dir)
+    name = F.concat(F.lit("doc-"), F.col("id")).alias("source_id")
+    cache = graph.export_cache(graph.exact_edges(b, 5), b.select("id", name))
+    return rounded(graph.import_cache(cache, b.filter("id % 3 <> 0").select((F.col("id") + 1000).alias("id"), name)))
+
+
 @query()
 def descent_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(graph.descent(base(spark, sf_dir), 8, 4))

@@ -118,6 +118,42 @@ class Product:
         return run(codes)
 
 
+    def table(self, metric: str = "l2") -> np.ndarray:
+        """parts x centres x centres distances between centroids (products for ip)."""
+        c = self.centroids
+        if metric == "l2":
+            return ((c[:, :, None] - c[:, None]) ** 2).sum(axis=3)
+        return np.einsum("pad,pbd->pab", c, c)
+
+    def between(self, a: Column, b: Column, metric: str = "l2") -> Column:
+        """Distance of two codes, from tables; ip is 1 - dot here as everywhere."""
+        t = self.table(metric)
+
+        @F.pandas_udf("double")
+        def run(x: pd.Series, y: pd.Series) -> pd.Series:
+            if not len(x):
+                return pd.Series([], dtype=float)
+            i, j = np.stack(x.to_numpy()), np.stack(y.to_numpy())
+            total = t[np.arange(len(t))[None], i, j].sum(axis=1)
+            return pd.Series(total if metric == "l2" else 1 - total)
+
+        return run(a, b)
+
+    def lookup(self, codes: Column, query: list[float], metric: str = "l2") -> Column:
+        """Distance of a query to codes, from a table made for the query."""
+        q = np.asarray(query, float).reshape(len(self.centroids), 1, -1)
+        t = ((self.centroids - q) ** 2).sum(axis=2) if metric == "l2" else (self.centroids * q).sum(axis=2)
+
+        @F.pandas_udf("double")
+        def run(x: pd.Series) -> pd.Series:
+            if not len(x):
+                return pd.Series([], dtype=float)
+            total = t[np.arange(len(t))[None], np.stack(x.to_numpy())].sum(axis=1)
+            return pd.Series(total if metric == "l2" else 1 - total)
+
+        return run(codes)
+
+
 def fit_product(vectors: DataFrame, parts: int, centres: int = 256, rounds: int = 8, sample: int = 65_536, seed: int = 42) -> Product:
     """k-means in each part, on at most `sample` rows chosen by hash (a fixed bound, 65,536 by default)."""
     drawn = vectors.filter("vector is not null").orderBy(F.xxhash64(F.lit(seed), "id")).limit(sample).select("vector").collect()

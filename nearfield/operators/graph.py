@@ -142,3 +142,17 @@ def duplicates(base: DataFrame) -> DataFrame:
     """(id, first_id, n): rows whose vector occurs more than once, with the least id of the group."""
     groups = base.filter("vector is not null").groupBy("vector").agg(F.min("id").alias("first_id"), F.count("*").alias("n"), F.collect_list("id").alias("ids")).filter("n > 1")
     return groups.select(F.explode("ids").alias("id"), "first_id", "n")
+
+
+def export_cache(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """Edges between source ids, which outlive an index: sources has (id, source_id)."""
+    a = sources.select(F.col("id").alias("src"), F.col("source_id").alias("src_source"))
+    b = sources.select(F.col("id").alias("dst"), F.col("source_id").alias("dst_source"))
+    return edges.join(a, "src").join(b, "dst").select("src_source", "dst_source", "distance")
+
+
+def import_cache(cache: DataFrame, sources: DataFrame) -> DataFrame:
+    """Edges of a rebuilt index whose both ends were known before."""
+    a = sources.select(F.col("id").alias("src"), F.col("source_id").alias("src_source"))
+    b = sources.select(F.col("id").alias("dst"), F.col("source_id").alias("dst_source"))
+    return cache.join(a, "src_source").join(b, "dst_source").select("src", "dst", "distance")

@@ -133,6 +133,45 @@ def two_level(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.join(F.broadcast(t)).select((F.col("bucket_id") * n + F.col("t")).alias("bucket_id"), D.add(F.col("centroid"), F.col("ct")).alias("centroid"))
 
 
+def two_level_route(queries: DataFrame, first: DataFrame, second: DataFrame, probes: int, scan_ratio: float = 1.0, metric: str = "l2") -> DataFrame:
+    """Routes through the nearest share of first-level cells (at least one) and within them to the nearest pairs."""
+    n, m = first.count(), second.count()
+    cells = nearest(queries, first, max(1, int(n * scan_ratio)), metric, key="qid", vector="q").select("qid", F.col("bucket_id").alias("_s"))
+    d = D.distance(metric)
+    pairs = cells.join(queries.select("qid", "q"), "qid").join(two_level(first, second).withColumn("_s", F.expr(f"bucket_id div {m}")), "_s")
+    scores = pairs.select("qid", F.col("bucket_id").alias("id"), d(F.col("centroid"), F.col("q")).alias("distance"))
+    return ranked(scores, probes).select("qid", F.col("rank").alias("order"), F.col("id").alias("bucket_id"), "distance")
+
+
+def bucket_edges(base: DataFrame, assigned: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+    """(bucket_id, src, dst, distance): each row's k nearest within its bucket. Buckets are bounded by the number of centroids,
+    which follows the number of rows; one bucket's rows meet in a task."""
+    schema = pa.schema([("bucket_id", pa.int64()), ("src", pa.int64()), ("dst", pa.int64()), ("distance", pa.float64())])
+
+    def run(t: pa.Table) -> pa.Table:
+        ids = t["id"].to_numpy()
+        order = np.argsort(ids)
+        ids, x = ids[order], matrix(t["vector"].combine_chunks())[order]
+        m = min(k, len(ids) - 1)
+        out = []
+        for at in range(0, len(ids), 256):
+            d = scored(x[at : at + 256], x, metric)
+            d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
+            near = np.argsort(d, axis=1, kind="stable")[:, :m]
+            out.append((np.repeat(ids[at : at + len(d)], m), ids[near].ravel(), np.take_along_axis(d, near, 1).ravel()))
+        src, dst, d = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table([np.full(len(src), t["bucket_id"][0].as_py()), src, dst, d], schema=schema)
+
+    rows = assigned.join(base.select("id", "vector"), "id").select("bucket_id", "id", "vector")
+    return rows.groupBy("bucket_id").applyInArrow(run, "bucket_id long, src long, dst long, distance double")
+
+
+def probe_stats(assigned: DataFrame, routed: DataFrame) -> DataFrame:
+    """(qid, buckets, rows): what a search reads."""
+    sizes = bucket_stats(assigned)
+    return routed.join(sizes, "bucket_id", "left").groupBy("qid").agg(F.count("*").alias("buckets"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("rows"))
+
+
 def bucket_stats(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("bucket_id").agg(F.count("*").alias("n_rows"))
 
