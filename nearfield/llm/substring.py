@@ -65,7 +65,7 @@ def _first_pass(docs: DataFrame, s: Settings) -> DataFrame:
                 out["n_words"].append(len(w))
                 out["sha256"].append(hashlib.sha256(b" ".join(w)).hexdigest())
                 g, at = anchors(words.hashes(w) if len(w) >= s.window and key not in met else np.zeros(0, np.uint64), s)
-                if len(met) < 1_000_000:
+                if len(met) < 200_000:
                     met.add(key)
                 at = at[np.r_[True, at[1:] != at[:-1]]] if len(at) else at
                 out["grams"].append(g[at].view(np.int64))
