@@ -32,6 +32,8 @@ from nearfield.llm.common import map_slices, spill
 
 #: Pieces of text between white space, and words in them, that a worker keeps; beyond, the older half of the words and all pieces go.
 PIECES, WORDS = 1_500_000, 300_000
+#: Bytes of text whose pieces are found at a time.
+BATCH = 2_000_000
 #: Between these characters (printable ASCII and Latin-1 letters) case folding and composition are one to one, so that
 #: the tokenizer's own word pattern can be applied before it.
 PLAIN = re.compile("[!-~\u00c0-\u00ff]*")
@@ -57,6 +59,18 @@ class _Recent(dict):
         return value
 
 
+def _parts(data: bytes):
+    """Cuts a long text at white space."""
+    at = 0
+    while len(data) - at > BATCH:
+        cut = max(data.rfind(b" ", at, at + BATCH), data.rfind(b"\n", at, at + BATCH))
+        if cut < at:  # one word as long as a batch
+            cut = min((x for x in (data.find(b" ", at), data.find(b"\n", at)) if x >= 0), default=len(data))
+        yield data[at:cut]
+        at = cut + 1
+    yield data[at:]
+
+
 class Encoder:
     """Ids of texts. White space separates tokens, so what stands between spaces and line feeds is encoded once and kept, under a
     64-bit hash and its length; so are the words within, in lower case, where `folded` says that the tokenizer lowers case
@@ -114,18 +128,25 @@ class Encoder:
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """Little-endian ids of every text and the end id."""
-        out: list[bytes] = []
+        out: list[list[bytes]] = [[] for _ in texts]
         some: list[bytes] = []
-        size, last = 0, self.pack(end)
-        for t in texts:
-            some.append((t or "").encode())
-            size += len(some[-1])
-            if size >= 4_000_000:
-                out += self._batch(some, last)
-                some, size = [], 0
-        return out + (self._batch(some, last) if some else [])
-
-    def _batch(self, texts: list[bytes], last: bytes) -> list[bytes]:
+        owner: list[int] = []
+        size = 0
+        for i, t in enumerate(texts):
+            for part in _parts((t or "").encode()):
+                some.append(part)
+                owner.append(i)
+                size += len(part)
+                if size >= BATCH:
+                    for o, x in zip(owner, self._batch(some), strict=True):
+                        out[o].append(x)
+                    some, owner, size = [], [], 0
+        for o, x in zip(owner, self._batch(some) if some else [], strict=True):
+            out[o].append(x)
+        last = self.pack(end)
+        return [b"".join(x) + last for x in out]
+
+    def _batch(self, texts: list[bytes]) -> list[bytes]:
         """Finds the pieces by arrays, looks each distinct one up once, and lays their ids out by arrays."""
         data = b"\n".join(texts) + b"\n"
         codes = np.frombuffer(data, np.uint8)
@@ -136,7 +157,7 @@ class Encoder:
         size = ends - starts
         bounds = np.cumsum([len(t) + 1 for t in texts])
         if not len(starts):
-            return [last] * len(texts)
+            return [b""] * len(texts)
         # a hash of each piece: a random number for each byte and place, added up; capitals count as small letters
         table = _TABLE if not self.folded or b"<|" in data else _FOLDED
         row = np.repeat(starts, size)
@@ -157,7 +178,7 @@ class Encoder:
         where = np.cumsum(n)
         ids = self.pool[np.repeat(self.begins[at][which] - (where - n), n) + np.arange(where[-1])]
         cut = np.r_[0, np.r_[0, where][np.searchsorted(starts, bounds)]].tolist()
-        return [ids[a:b].tobytes() + last for a, b in zip(cut, cut[1:], strict=False)]
+        return [ids[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
 
 
 #: Places of a piece that the hash tells apart; longer pieces are hashed as a whole.

@@ -251,6 +251,16 @@ def test_encoder_equals_tokenizer():
         assert np.frombuffer(e.encode([t], 1)[0], "<u2").tolist() == [*e.tokenizer.encode(t, add_special_tokens=False).ids, 1]
 
 
+def test_long_texts_are_cut_at_white_space(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "BATCH", 40)
+    e = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"), "<u2")
+    texts = ["one two three four five six seven\neight nine ten " * 5, "x" * 100 + " y", "z" * 90, "", None, " \n "]
+    for t, ids in zip(texts, e.encode(texts, 1), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == [*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+
+
 # substring dedup
 
 
