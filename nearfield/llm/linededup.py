@@ -34,7 +34,8 @@ BLANK = r"^\s*$"
 def _lines(docs: DataFrame, text: str, s: Settings) -> DataFrame:
     each = docs.select("doc_id", F.xxhash64("doc_id", text).alias("key"), F.posexplode(F.split(text, "\n", -1)).alias("line", "content"))
     each = each.filter(~F.col("content").rlike(BLANK))
-    tokens = F.split(F.regexp_replace(F.trim(F.regexp_replace("content", "[0-9]+", "0")), r"\s+", " "), " ")
+    masked = F.when(F.col("content").rlike("[0-9]"), F.regexp_replace("content", "[0-9]+", "0")).otherwise(F.col("content"))
+    tokens = F.split(F.btrim(masked, F.lit(" \t\r\x0b\x0c")), r"\s+")
     each = each.withColumn("tokens", tokens).withColumn("n", F.size("tokens"))
     lead = F.array_join(F.slice("tokens", 1, s.depth), " ")
     return each.withColumns({"leaf": F.xxhash64("n", lead), "form": F.xxhash64("n", F.array_join("tokens", " "))}).drop("content")
