@@ -115,7 +115,7 @@ def summary(found: DataFrame, pieces: DataFrame) -> DataFrame:
 
 def sample(docs: DataFrame, found: DataFrame, pieces: DataFrame, text: str = "text") -> DataFrame:
     """The mixed documents with the columns of docs: a row for each document and pass, its taken words in order, with the white space after each."""
-    each = pieces.groupBy("number", "start", "pass").agg(F.array_sort(F.collect_list(F.struct("begin", "length"))).alias("_nf_pieces"))
+    each = pieces.groupBy("number", "start").agg(F.array_sort(F.collect_list(F.struct("pass", "begin", "length"))).alias("_nf_pieces"))
     each = each.join(found.filter("size > 0").select("number", "start", "doc_id", "key"), ["number", "start"])
     each = spill(each.select(F.col("key").alias("_nf_id"), F.col("doc_id").alias("_nf_doc"), "_nf_pieces"), "mix-pieces")
     texts = docs.withColumn("_nf_key", F.xxhash64("doc_id", text))
@@ -123,7 +123,8 @@ def sample(docs: DataFrame, found: DataFrame, pieces: DataFrame, text: str = "te
         texts = texts.dropDuplicates(["doc_id", "_nf_key"])
     words = F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     rows = texts.join(each.hint("merge"), (F.col("_nf_key") == F.col("_nf_id")) & F.col("doc_id").eqNullSafe(F.col("_nf_doc"))).withColumn("_nf_words", words)
-    cut = F.array_join(F.flatten(F.transform("_nf_pieces", lambda p: F.slice("_nf_words", (p["begin"] + 1).cast("int"), p["length"].cast("int")))), "")
+    rows = rows.withColumn("_nf_pass", F.explode(F.array_distinct(F.transform("_nf_pieces", lambda p: p["pass"]))))
+    cut = F.array_join(F.flatten(F.transform(F.filter("_nf_pieces", lambda p: p["pass"] == F.col("_nf_pass")), lambda p: F.slice("_nf_words", (p["begin"] + 1).cast("int"), p["length"].cast("int")))), "")
     rows = rows.withColumn(text, cut)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
