@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from nearfield.llm.common import map_slices, spill
 
 #: Pieces of text between white space, and words in them, that a worker keeps; beyond, the older half of the words and all pieces go.
-PIECES, WORDS = 1_500_000, 300_000
+PIECES, WORDS = 1_500_000, 150_000
 #: Bytes of text whose pieces are found at a time.
 BATCH = 2_000_000
 #: Between these characters (printable ASCII and Latin-1 letters) case folding and composition are one to one, so that
