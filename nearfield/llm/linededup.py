@@ -38,18 +38,22 @@ def _lines(docs: DataFrame, text: str, s: Settings) -> DataFrame:
     tokens = F.split(F.btrim(masked, F.lit(" \t\r\x0b\x0c")), r"\s+")
     each = each.withColumn("tokens", tokens).withColumn("n", F.size("tokens"))
     lead = F.array_join(F.slice("tokens", 1, s.depth), " ")
-    return each.withColumns({"leaf": F.xxhash64("n", lead), "form": F.xxhash64("n", F.array_join("tokens", " "))}).drop("content")
+    return each.withColumn("leaf", F.xxhash64("n", lead)).drop("content")
+
+
+def _form() -> Column:
+    return F.xxhash64("n", F.array_join("tokens", " "))
 
 
 def recurring(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(lines, forms): lines of all documents as doc_id, key, line, form; forms that recur, with the key of the document that keeps them."""
-    lines = spill(_lines(docs, text, s).select("doc_id", "key", "line", "leaf", "form", "n"), "lines")
+    lines = spill(_lines(docs, text, s).select("doc_id", "key", "line", "leaf", _form().alias("form"), "n"), "lines")
     forms = lines.select("key", "leaf", "form", "n").distinct().groupBy("leaf", "form", "n").agg(F.count("*").alias("docs"), F.min("key").alias("first"))
     forms = spill(forms, "line-forms")
     leaves = forms.filter(F.col("n") > s.depth).groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count("*").alias("forms"))
     mixed = spill(leaves.filter((F.col("docs") >= s.min_docs) & (F.col("forms") > 1)).select("leaf"), "line-leaves")
     # the tokens of forms in mixed leaves, one line of each
-    known = _lines(docs, text, s).filter(F.col("n") > s.depth).select("leaf", "form", "tokens").join(mixed, "leaf")
+    known = _lines(docs, text, s).filter(F.col("n") > s.depth).select("leaf", "n", "tokens").join(mixed, "leaf").withColumn("form", _form())
     known = spill(known.groupBy("form").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens")), "line-tokens")
     weighed = known.join(forms.select("form", "docs"), "form")
     votes = weighed.select("leaf", "docs", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.sum("docs").alias("docs"))
