@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.common import map_slices, spill
 
-#: Pieces of text between white space, and words in them, that a worker keeps; beyond, the older half of the words and all pieces go.
+#: Pieces of text between white space, and words in them, that a task keeps; beyond, the older half of the words and all pieces go.
 PIECES, WORDS = 1_500_000, 150_000
 #: Bytes of text whose pieces are found at a time.
 BATCH = 2_000_000
@@ -188,16 +188,6 @@ _FOLDED = _TABLE.copy()
 _FOLDED[:, 65:91] = _TABLE[:, 97:123]
 
 
-_encoders: dict[tuple, Encoder] = {}
-
-
-def encoder(*args) -> Encoder:
-    """This worker's encoder, which outlives tasks."""
-    if args not in _encoders:
-        _encoders[args] = Encoder(*args)
-    return _encoders[args]
-
-
 @dataclass(frozen=True)
 class Phase:
     start: int  # tokens in earlier phases
@@ -304,9 +294,10 @@ def pack(docs: DataFrame, path: str, vocabulary: int, capacity: int = 2048, end:
 
     def tokenise():
         chunk, seen = TaskContext.get().partitionId(), {}
+        encoder = Encoder(path, wide, folded)  # a task's own: workers stay while later stages need the memory
 
         def each(r: dict[str, list]) -> dict[str, list]:
-            ids = encoder(path, wide, folded).encode(r["text"], end)
+            ids = encoder.encode(r["text"], end)
             n = [len(x) // int(wide[-1]) for x in ids]
             base = []
             for q, x in zip(r["queue"], n, strict=True):

@@ -9,7 +9,7 @@ import numpy as np
 import xxhash
 
 #: Words whose hashes a worker keeps; beyond, it starts anew.
-CACHE = 200_000
+CACHE = 100_000
 
 
 class _Hashes(dict):
