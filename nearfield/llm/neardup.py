@@ -7,8 +7,12 @@ too large are split again. In each cell a graph is built: a node's nearest candi
 adjacency lists from all of its cells are united. Every node then searches each of its cells: a greedy beam from the
 medoids, which expands on through all nodes within a margin of the threshold. Hits are verified by the cosine in
 double precision. A pair that lies in several cells counts in the least of them, so a task returns sums and roots,
-never pairs. An audit compares some nodes' links with brute force over all nodes; below the required recall the beam
-and the overlap are raised.
+never pairs.
+
+A split is measured on its sample: the share of links whose ends still meet in a cell. Cells that lose too many at
+every overlap tried (tight groups, which k-means cuts at random) are not split but compared block by block, exactly.
+An audit compares some nodes' links, drawn by how many they have, with brute force over all nodes; below the required
+recall the beam and the overlap are raised, and if that does not do, all labels are compared block by block.
 
 Rows whose label or vector is null, and vectors that are empty, zero or hold null or non-finite components, link with
 nothing. Vectors of other lengths are never compared. Repeated rows are equal vectors. component_id is the smallest
@@ -47,6 +51,9 @@ class Settings:
     margin: float = 0.04
     audit: int = 256
     recall: float = 0.97
+    #: Rounds of search, each with more effort, before all is compared exactly; nodes in a block of exact comparison.
+    rounds: int = 3
+    block: int = 4096
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -133,8 +140,25 @@ def _vectors(block: pa.Table) -> np.ndarray:
     return np.stack([np.frombuffer(v.as_py(), np.float32) for v in block["vector"]])
 
 
+def _meeting(x: np.ndarray, c: np.ndarray, s: Settings) -> int:
+    """The least overlap, of three, at which nearly all links among x keep a common cell; 0 if there is none."""
+    near = np.argsort(-(x @ c.T), axis=1, kind="stable")
+    for overlap in range(s.overlap, s.overlap + 3):
+        member = np.zeros((len(x), len(c)), np.float32)
+        np.put_along_axis(member, near[:, :overlap], 1, axis=1)
+        links = met = 0
+        for at in range(0, len(x), 256):
+            linked = x[at : at + 256] @ x.T >= s.threshold
+            linked[np.arange(len(linked)), np.arange(at, at + len(linked))] = False
+            links += np.count_nonzero(linked)
+            met += np.count_nonzero(linked & (member[at : at + 256] @ member.T > 0))
+        if met >= links * (1 + s.recall) / 2:
+            return overlap
+    return 0
+
+
 def _fit(s: Settings):
-    schema = pa.schema([("cell", pa.int64()), ("centres", pa.binary())])
+    schema = pa.schema([("cell", pa.int64()), ("centres", pa.binary()), ("overlap", pa.int32())])
 
     def run(block: pa.Table) -> pa.Table:
         x = unit(_vectors(block).astype(np.float64)).astype(np.float32)
@@ -142,27 +166,33 @@ def _fit(s: Settings):
         order = np.argsort(block["node"].to_numpy())
         k = int(min(64, max(2, -(-n * s.overlap // s.target))))
         c = centroids(x[order], k)
-        return pa.table([[block["cell"][0].as_py()], [c.astype(np.float32).tobytes()]], schema=schema)
+        overlap = _meeting(x, c, s)
+        return pa.table([[block["cell"][0].as_py()], [c.astype(np.float32).tobytes() if overlap else None], [overlap]], schema=schema)
 
-    return run, "cell long, centres binary"
+    return run, "cell long, centres binary, overlap int"
 
 
-def split(nodes: DataFrame, s: Settings) -> DataFrame:
-    """(node, cell, vector) of every cell that a node belongs to."""
+def split(nodes: DataFrame, s: Settings, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(node, cell, vector) of every cell that a node belongs to, and (cell, blocks) of cells to compare block by block; exact: all."""
     each = nodes.select("node", F.xxhash64("label", F.length("vector")).alias("cell"), "vector")
-    for level in range(s.levels):
-        sizes = each.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > s.cell)
+    whole = nodes.sparkSession.createDataFrame([], "cell long")
+    for level in range(s.levels + 1):
+        sizes = each.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > (1 if exact else s.cell)).join(whole, "cell", "left_anti")
         big = spill(sizes, "neardup-big")
         if not big.head(1):
             break
+        if exact or level == s.levels:
+            whole = whole.union(big.select("cell"))
+            break
         drawn = each.join(big, "cell").filter(unit_hash("node", seed=f"cells{level}") < F.lit(s.sample) / F.col("n"))
         run, schema = _fit(s)
         fitted = spill(drawn.select("cell", "n", "node", "vector").groupBy("cell").applyInArrow(run, schema), "neardup-centroids")
+        whole = whole.union(fitted.filter("overlap = 0").select("cell"))
 
-        def make(overlap: int = s.overlap):
+        def make():
             def each_slice(r: dict[str, list]) -> dict[str, list]:
                 out: dict[str, list] = {"node": [], "cell": [], "vector": []}
-                for node, cell, vector, centres in zip(r["node"], r["cell"], r["vector"], r["centres"], strict=True):
+                for node, cell, vector, centres, overlap in zip(r["node"], r["cell"], r["vector"], r["centres"], r["overlap"], strict=True):
                     to = [cell]
                     if centres is not None:
                         v = np.frombuffer(vector, np.float32)
@@ -175,9 +205,9 @@ def split(nodes: DataFrame, s: Settings) -> DataFrame:
 
             return each_slice
 
-        moved = map_slices(each.join(fitted, "cell", "left").select("node", "cell", "vector", "centres"), make, "node long, cell long, vector binary")
+        moved = map_slices(each.join(fitted, "cell", "left").select("node", "cell", "vector", "centres", "overlap"), make, "node long, cell long, vector binary")
         each = spill(moved.dropDuplicates(["node", "cell"]), "neardup-cells")
-    return each
+    return each, each.join(whole, "cell").groupBy("cell").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks"))
 
 
 def _build(s: Settings):
@@ -241,21 +271,80 @@ def _search(s: Settings):
     return run, "node long, links long, root long"
 
 
-def _once(nodes: DataFrame, s: Settings) -> DataFrame:
+def _compare(s: Settings):
+    """All pairs between two blocks of a cell, or within one."""
+    schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.sort_by("node")
+        node, weight, at_block = (block[c].to_numpy() for c in ("node", "weight", "block"))
+        x = _vectors(block).astype(np.float64)
+        norm = np.linalg.norm(x, axis=1)
+        cell, lo, hi = (block[c][0].as_py() for c in ("cell", "lo", "hi"))
+        # pairs that also meet in a lesser cell count there
+        lesser: dict[int, list[int]] = {}
+        for i, cells in enumerate(block["cells"]):
+            for c in cells.as_py():
+                if c < cell:
+                    lesser.setdefault(c, []).append(i)
+        shared = [v for v in lesser.values() if len(v) > 1]
+        other = np.zeros((len(node), len(shared)), np.float32)
+        for j, v in enumerate(shared):
+            other[v, j] = 1
+        links, root = np.zeros(len(node), np.int64), np.arange(len(node))
+        left, right = np.flatnonzero(at_block == lo), np.flatnonzero(at_block == hi)
+        for at in range(0, len(left), 256):
+            a = left[at : at + 256]
+            good = x[a] @ x[right].T / (norm[a, None] * norm[right]) >= s.threshold
+            if shared:
+                good &= other[a] @ other[right].T == 0
+            if lo == hi:
+                good &= a[:, None] != right
+            links[a] += good @ weight[right]
+            if lo != hi:
+                links[right] += good.T @ weight[a]
+            for i, row in zip(a, good, strict=True):
+                if row.any():
+                    met = np.unique(np.append(root[right[row]], root[i]))
+                    if len(met) > 1:
+                        root[np.isin(root, met)] = met[0]
+        some = np.flatnonzero(links)
+        return pa.table([node[some], links[some], node[root[some]]], schema=schema)
+
+    return run, "node long, links long, root long"
+
+
+def _once(nodes: DataFrame, s: Settings, exact: bool = False) -> DataFrame:
     """(node, links, root) from each cell."""
-    cells = spill(split(nodes, s), "neardup-split")
+    cells, whole = split(nodes, s, exact)
+    cells, whole = spill(cells, "neardup-split"), spill(whole, "neardup-whole")
+    searched = cells.join(whole, "cell", "left_anti")
+    held = cells.groupBy("node").agg(F.collect_set("cell").alias("cells")).join(nodes.select("node", "weight"), "node")
     run, schema = _build(s)
-    lists = cells.select("node", "cell", "vector").groupBy("cell").applyInArrow(run, schema)
-    united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges"), F.collect_set("cell").alias("cells"))
-    united = spill(united.join(nodes.select("node", "weight"), "node"), "neardup-graph")
+    lists = searched.select("node", "cell", "vector").groupBy("cell").applyInArrow(run, schema)
+    united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges"))
+    united = spill(united.join(held, "node"), "neardup-graph")
     run, schema = _search(s)
-    return spill(cells.join(united, "node").select("cell", "node", "vector", "weight", "edges", "cells").groupBy("cell").applyInArrow(run, schema), "neardup-found")
+    found = searched.join(united, "node").select("cell", "node", "vector", "weight", "edges", "cells").groupBy("cell").applyInArrow(run, schema)
+    if whole.head(1):
+        dealt = cells.join(whole, "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("block", "to"), "hi": F.greatest("block", "to")})
+        run, schema = _compare(s)
+        found = found.union(dealt.join(held, "node").select("cell", "lo", "hi", "block", "node", "vector", "weight", "cells").groupBy("cell", "lo", "hi").applyInArrow(run, schema))
+    return spill(found, "neardup-found")
 
 
 def audit(nodes: DataFrame, found: DataFrame, s: Settings) -> float:
-    """Links found of links there are, for about s.audit nodes, over all nodes of their labels; 1 if there are none."""
-    n = nodes.count()
-    chosen = nodes.filter(unit_hash("node", seed="audit") < s.audit / max(1, n)).limit(4 * s.audit).select("node", "label", "vector").collect()
+    """Links found of links there are, over all nodes of their labels, for some nodes of each number of links (by powers
+    of two): the least such share over nodes with about as many true links, and over all; 1 if there are none."""
+    counted = nodes.select("node").join(found.groupBy("node").agg(F.sum("links").alias("got")), "node", "left")
+    counted = spill(counted.select("node", F.coalesce("got", F.lit(0)).alias("got")).withColumn("stratum", F.floor(F.log2(F.col("got") + 1)).cast("int")), "neardup-audit")
+    sizes = {r.stratum: r["count"] for r in counted.groupBy("stratum").count().collect()}  # at most 64
+    if not sizes:
+        return 1.0
+    share = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, s.audit / len(sizes) / n)])
+    drawn = counted.filter(unit_hash("node", seed="audit") < share[F.col("stratum")]).limit(4 * s.audit)
+    chosen = nodes.join(drawn, "node").select("node", "label", "vector", "got").collect()
     if not chosen:
         return 1.0
     sent = nodes.sparkSession.sparkContext.broadcast([(r.node, r.label, bytes(r.vector)) for r in chosen])  # at most 4 * audit vectors
@@ -278,9 +367,14 @@ def audit(nodes: DataFrame, found: DataFrame, s: Settings) -> float:
 
         return each
 
-    truth = map_slices(nodes.select("node", "label", "vector", "weight"), make, "node long, links long").agg(F.sum("links")).first()[0]
-    got = found.filter(F.col("node").isin([r.node for r in chosen])).agg(F.sum("links")).first()[0]
-    return (got or 0) / truth if truth else 1.0
+    truth = {r.node: r.links for r in map_slices(nodes.select("node", "label", "vector", "weight"), make, "node long, links long").groupBy("node").agg(F.sum("links").alias("links")).collect()}
+    there, got = np.zeros(65), np.zeros(65)
+    for r in chosen:
+        if n := truth.get(r.node, 0):
+            there[n.bit_length()] += n
+            got[n.bit_length()] += r.got
+    enough = there >= 100  # fewer links say little by themselves
+    return float(min([1.0, *(got[enough] / there[enough]), got.sum() / max(1, there.sum()) if there.sum() else 1.0]))
 
 
 def link(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -298,11 +392,13 @@ def link(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     label = vectors.schema["label"].dataType.simpleString()
     nodes = spill(map_slices(groups.withColumn("node", F.monotonically_increasing_id()), pack, f"node long, label {label}, v1 long, v2 long, least long, weight long, vector binary"), "neardup-nodes")
-    for _ in range(3):
+    for _ in range(s.rounds):
         found = _once(nodes, s)
         if audit(nodes, found, s) >= s.recall:
             break
         s = replace(s, overlap=s.overlap + 1, beam=2 * s.beam, margin=s.margin * 1.5)
+    else:
+        found = _once(nodes, s, exact=True)
     tied = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = spill(found.groupBy("node").agg(F.sum("links").alias("links")), "neardup-counts")
     known = nodes.select("node", F.col("label").alias("label_"), F.col("v1").alias("v1_"), F.col("v2").alias("v2_"), "least", "weight").join(tied.withColumnRenamed("id", "node"), "node", "left").join(counts, "node", "left")

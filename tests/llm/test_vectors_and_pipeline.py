@@ -56,6 +56,21 @@ def test_groups_across_cells(spark):
     assert sum((got & want).values()) > 0.9 * len(rows)
 
 
+def tight_rows(n):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=32)
+    rows = (x / np.linalg.norm(x) + rng.normal(size=(n, 32)) * 0.03).astype(np.float32)
+    return [(i, v.tolist(), 0) for i, v in enumerate(rows)]
+
+
+@pytest.mark.parametrize("more", [{}, {"rounds": 0}])
+def test_tight_group_is_compared_exactly(spark, more):
+    rows = tight_rows(600)
+    s = neardup.Settings(cell=80, target=40, block=150, **more)
+    got = collections.Counter(map(tuple, neardup.link(spark.createDataFrame(rows, SCHEMA), s).collect()))
+    assert got == brute(rows)
+
+
 @pytest.fixture(scope="module")
 def stages(spark, sf):
     out, docs = [], table(spark, sf, "documents")
