@@ -6,6 +6,9 @@ Nystroem landmarks and a one-versus-rest kernel ridge regression. As the kernel
 vectors, landmarks and coefficients fold into one matrix, and texts are scored by a product of matrices per batch.
 N-grams are hashed into 2**bits buckets, the same for all texts, so the kernel is exact on buckets.
 
+The scores of a text sum to 1, so the best is never under 1 / languages. What rejects a text is how far its score is
+from that of a text without any known n-gram towards that of training rows of the language.
+
 Null texts and texts without a letter are `und` with score 0. If nothing can be learned, all are `und`.
 """
 
@@ -40,8 +43,9 @@ class Model:
     languages: list[str]
     columns: np.ndarray  # buckets that any landmark has
     weights: np.ndarray  # columns x languages
-    bias: np.ndarray
+    bias: np.ndarray  # the values of a text without a known n-gram
     settings: Settings
+    usual: np.ndarray  # the value for its own language that 99 % of a language's training rows reach
 
 
 def features(text: str, s: Settings) -> np.ndarray:
@@ -62,7 +66,9 @@ def kernel_ridge(seen: np.ndarray, labels: np.ndarray, landmark: np.ndarray, s:
     mean_phi, mean_y = phi.mean(axis=0), target.mean(axis=0)
     centred = phi - mean_phi
     w = np.linalg.solve(centred.T @ centred + s.ridge * len(phi) * np.eye(phi.shape[1]), centred.T @ (target - mean_y))
-    return Model(languages, columns, (marks.T.astype(np.float64) @ (root @ w)).astype(np.float32), mean_y - mean_phi @ w, s)
+    own = centred @ w + mean_y
+    usual = np.array([np.quantile(own[labels == i, i], 0.01) if (labels == i).any() else 1.0 for i in range(len(languages))])
+    return Model(languages, columns, (marks.T.astype(np.float64) @ (root @ w)).astype(np.float32), mean_y - mean_phi @ w, s, usual)
 
 
 def train(docs: DataFrame, s: Settings = Settings()) -> Model | None:
@@ -127,7 +133,16 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     return map_slices(docs.select(*kept), make, schema)
 
 
-def accepted(docs: DataFrame, model: Model | None, least: float = 0.2, text: str = "text") -> DataFrame:
-    """The rows of docs whose language is known: not `und`, and some language scores at least `least`."""
+def least_scores(model: Model, least: float) -> dict[str, float]:
+    """For each language the score at this part of the way from a text without a known n-gram to training rows."""
+    at = model.bias + least * np.maximum(model.usual - model.bias, 0)
+    return {name: (float(v) + 1) / 2 - 1e-6 for name, v in zip(model.languages, at, strict=True)}
+
+
+def accepted(docs: DataFrame, model: Model | None, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of docs whose language is known: not `und`, and the score is at least that of least_scores()."""
     rows = predict(docs.withColumnsRenamed({c: f"_{c}" for c in docs.columns if c in ("lang_pred", "score")}), model, text)
-    return rows.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).drop("lang_pred", "score").toDF(*docs.columns)
+    enough = F.lit(False)
+    if model is not None:
+        enough = F.col("score") >= F.create_map(*[F.lit(x) for pair in least_scores(model, least).items() for x in pair])[F.col("lang_pred")]
+    return rows.filter((F.col("lang_pred") != UNKNOWN) & enough).drop("lang_pred", "score").toDF(*docs.columns)

@@ -366,6 +366,14 @@ def test_language(spark, docs, odd, none):
     assert langid.accepted(odd, model).columns == odd.columns
 
 
+def test_unlearned_languages_and_junk_are_rejected(spark, docs):
+    texts = ["Быстрая лиса прыгает через ленивую собаку и бежит дальше в лес", "Szybki brązowy lis przeskoczył nad leniwym psem i pobiegł dalej", "敏捷的棕色狐狸跳过了懒狗然后跑进了森林", "x9#k qq 00;; zz-- 17 %% xk"]
+    model = langid.train(docs)
+    assert langid.accepted(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), model).count() == 0
+    known = docs.filter("lang is not null and length(text) > 100")
+    assert langid.accepted(known, model).count() > 0.99 * known.count()
+
+
 def test_language_kernel_is_a_presence_kernel():
     s = langid.Settings(per_language=4, landmarks=2)
     texts = ["abc abd", "abe abf", "xyz xyw", "xyv xyu"]
