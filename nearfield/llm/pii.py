@@ -150,10 +150,27 @@ def _ssn(m: Column, key: Column) -> Column:
 
 
 def _card(m: Column, key: Column) -> Column:
-    plain = F.regexp_replace(m, "[ -]", "")
-    body = F.substring(plain, F.lit(1), F.length(plain) - 1)
-    new = digits(body, key, "card")
-    return F.when(luhn(body) == F.substring(plain, -1, 1), fill(m, F.concat(new, luhn(new))))
+    """The longest run of whole groups with 13 to 19 digits and a right check digit, as an expiry or a code may stand
+    before or after the card; null if there is none."""
+    cut = lambda p: F.substring(m, p, F.lit(1)).isin(" ", "-")
+    places = F.sequence(F.lit(1), F.length(m))
+    starts = F.filter(places, lambda p: (p == 1) | cut(p - 1))
+    ends = F.filter(places, lambda p: (p == F.length(m)) | cut(p + 1))
+    plain = lambda x: F.regexp_replace(x, "[ -]", "")
+
+    def run(s: Column, e: Column) -> Column:
+        text = F.substring(m, s, e - s + 1)
+        return F.struct((-F.length(plain(text))).alias("order"), s.alias("start"), text.alias("text"))
+
+    runs = F.flatten(F.transform(starts, lambda s: F.transform(F.filter(ends, lambda e: e - s >= 12), lambda e: run(s, e))))
+    valid = lambda r: r["order"].between(-19, -13) & (luhn(F.substring(plain(r["text"]), F.lit(1), -r["order"] - 1)) == F.substring(plain(r["text"]), -1, 1))
+
+    def put(r: Column) -> Column:
+        new = digits(F.substring(plain(r["text"]), F.lit(1), -r["order"] - 1), key, "card")
+        after = r["start"] + F.length(r["text"])
+        return F.concat(F.substring(m, F.lit(1), r["start"] - 1), fill(r["text"], F.concat(new, luhn(new))), F.substring(m, after, F.length(m)))
+
+    return F.get(F.transform(F.slice(F.array_sort(F.filter(runs, valid)), 1, 1), put), 0)
 
 
 def _phone(m: Column, key: Column) -> Column:

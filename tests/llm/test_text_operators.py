@@ -425,6 +425,15 @@ def test_pseudonyms(spark, odd, none):
     assert pii.pseudonymise(odd.withColumn("_found", F.lit(1)), "k").filter("doc_id = 2 and text is null").count() == 1
 
 
+def test_cards_beside_other_numbers(spark):
+    texts = ["pay 4111 1111 1111 1111 12/27 now", "4111111111111111 123", "4111-1111-1111-1111 123", "no 12 4111 1111 1111 1111.", "4111 1111 1111 1112 12/27"]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame([(t,) for t in texts], "text string"), "k").collect()]
+    new = re.search(r"[0-9]{16}", got[1])[0]
+    assert new != "4111111111111111"
+    spaced = " ".join(new[i : i + 4] for i in range(0, 16, 4))
+    assert got == [f"pay {spaced} 12/27 now", f"{new} 123", spaced.replace(" ", "-") + " 123", f"no 12 {spaced}.", texts[4]]
+
+
 def test_pseudonyms_are_one_to_one(spark):
     df = spark.range(3000)
     ip = df.select(F.concat(F.lit("10.1."), F.floor(F.col("id") / 250), F.lit("."), F.col("id") % 250).alias("t"))
