@@ -252,17 +252,28 @@ class Graph(Index):
         self.tables["edges"] = store.checkpointed(graph.undirected(near))
 
     def search(self, r: SearchRequest) -> DataFrame:
-        choice = planner.search_strategy(0 if "edges" not in self.tables else 1 << 62, r.params.get("valid_ratio", 1.0), r.params.get("brute_force_threshold", 0.02), has_graph="edges" in self.tables)
-        if choice.strategy == "flat" or r.mode == "range" or r.distance is not None:
+        if "edges" not in self.tables or r.mode == "range" or r.distance is not None:
+            return super().search(r)
+        live = store.checkpointed(self._live(r).select("id"))
+        n = live.count()
+        valid = r.params.get("valid_ratio", n / max(1, self.tables["rows"].count()))
+        choice = planner.search_strategy(1 << 62, valid, r.params.get("brute_force_threshold", 0.02), has_graph=True)
+        if choice.strategy == "flat":
             return super().search(r)
         beam = r.params.get("ef_search", 40)
         if beam < 1:
             raise InvalidArgument("ef_search must be at least 1")
-        found = graph.search(self.tables["rows"], self.tables["edges"], r.queries, max(beam, r.k), max(beam, r.k), r.params.get("hops_limit", 12), metric=self.config.metric)
-        found = found.join(self._live(r).select("id"), "id", "left_semi")
+        found = graph.search(self.tables["rows"], self.tables["edges"], r.queries, max(beam, r.k), max(beam, r.k), r.params.get("hops_limit", 12), metric=self.config.metric, among=live)
+        found = store.checkpointed(found.select("qid", "id", "distance"))
+        # queries whose walk met fewer rows than there are get the exact scan
+        enough = found.groupBy("qid").count().filter(F.col("count") >= min(r.k, n)).select("qid")
+        short = r.queries.join(enough, "qid", "left_anti")
+        if n and short.head(1):
+            exact = search.knn(self._live(r), short, r.k, self.config.metric).select("qid", "id", "distance")
+            found = found.join(enough, "qid", "left_semi").select("qid", "id", "distance").union(exact)
         if r.threshold is not None:
             found = found.filter(F.col("distance") <= r.threshold)
-        return search.ranked(found.drop("rank"), r.k).select("qid", "rank", "id", "distance")
+        return search.ranked(found, r.k).select("qid", "rank", "id", "distance")
 
 
 @register("lazy_hgraph")

@@ -88,9 +88,9 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "distance").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "distance")).distinct()
 
 
-def search(base: DataFrame, edges: DataFrame, queries: DataFrame, k: int, beam: int = 40, hops: int = 12, entry: int = 8, metric: str = "l2", where=None) -> DataFrame:
+def search(base: DataFrame, edges: DataFrame, queries: DataFrame, k: int, beam: int = 40, hops: int = 12, entry: int = 8, metric: str = "l2", where=None, among: DataFrame | None = None) -> DataFrame:
     """Frontier expansion for all queries: from `entry` rows, each hop scores the unseen neighbours of the best `beam`
-    rows and keeps the best beam. A filter limits what is returned, not what is walked through."""
+    rows and keeps the best beam. A filter (where, or the ids of among) limits what is returned, not what is walked through."""
     if beam < 1:
         raise InvalidArgument("beam must be at least 1")
     d = D.distance(metric)
@@ -113,6 +113,8 @@ def search(base: DataFrame, edges: DataFrame, queries: DataFrame, k: int, beam:
         seen = checkpointed(seen.union(measured(fresh).withColumn("hop", F.lit(hop))))
     if where is not None:
         seen = seen.join(base.filter(where).select("id"), "id", "left_semi")
+    if among is not None:
+        seen = seen.join(among.select("id"), "id", "left_semi")
     return ranked(seen.filter(~F.isnan("distance")), k).select("qid", "rank", "id", "distance")
 
 

@@ -195,6 +195,14 @@ def test_indexes(spark, base, queries):
     assert ids(simq.search(SearchRequest(q, k=5, params={"coarse_k": 6}))) == ids(warp.search(SearchRequest(q, k=5)))
 
 
+def test_graph_fills_k_under_a_filter(base, queries):
+    i = I.create("hgraph", '{"dim": 16, "index_param": {"transition_threshold": 100, "degree": 12}}')
+    i.build(base)
+    keep = F.col("id") % 10 == 0
+    got = i.search(SearchRequest(queries, k=10, keep=keep, params={"ef_search": 10, "hops_limit": 1})).groupBy("qid").count().collect()
+    assert len(got) == queries.count() and {r["count"] for r in got} == {min(10, base.filter(keep).count())}
+
+
 def test_configuration():
     assert quick("hgraph|32|sq8|fp32") == {"kind": "hgraph", "degree": 32, "codes": "sq8", "precise": "fp32"}
     for bad in ({"kind": "flat"}, {"kind": "flat", "dim": 0}, {"kind": "flat", "dim": 4, "metric": "x"}, {"kind": "sindi", "dtype": "sparse", "metric": "l2"}):
