@@ -1,14 +1,14 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication by counting windows in anchored reference blocks.
+
+It stands in for a relative Lempel-Ziv parse, which is not built: no factor is matched against a reference position.
 
 A text's words are covered where a window of `window` consecutive words also starts elsewhere, in another document
 or in the same one. The reference is the whole corpus, indexed by anchors: of the word k-grams inside a window, the
 one with the least hash (the leftmost of equals) is its anchor, so equal windows have equal anchors at equal offsets.
 Anchors that have several places make up reference blocks: the places with the hashes of the windows around them, many
 anchors to a block.
-Texts that share no anchor with another place are done. In a block every place's run of windows is parsed greedily
-into factors: a factor goes on while the windows are known at another place of the block. A window that straddles two
-factors is looked up like any other, so nothing is missed at factor boundaries. Factors of at least one window are
-duplicate spans, and a span's words are removed.
+Texts that share no anchor with another place are done. In a block the hashes of all windows are counted; runs
+of windows that occur at another place of the block too are duplicate spans, and a span's words are removed.
 
 Blocks of more than `hot` places are not brought together: their windows are counted by a partial aggregation and
 joined with what repeats. Equal texts are parsed once; when there are two or more with at least one window, all of
