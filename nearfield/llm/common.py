@@ -10,17 +10,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a column turned to Python objects at a time.
-SLICE = 256
+#: Rows turned to Python objects at a time, and bytes of Arrow data above which fewer are (one at least).
+SLICE, SLICE_BYTES = 256, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets one; a cluster raises,
+    as its executors would write to their own disks."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         checkpoint = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = checkpoint.get() if checkpoint.isDefined() else None
-    if not where:  # single machine or tests
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         where = tempfile.mkdtemp(prefix="nearfield-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -41,9 +44,19 @@ def spill(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    at = 0
+    while at < batch.num_rows:
+        part = batch.slice(at, rows)
+        while part.num_rows > 1 and part.nbytes > SLICE_BYTES:
+            part = part.slice(0, part.num_rows // 2)
+        yield part
+        at += part.num_rows
+
+
 def map_slices(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str, rows: int = SLICE) -> DataFrame:
-    """mapInArrow over slices of so many rows: make() is called once a task and returns a function from
-    columns (lists of Python values) to columns of the schema."""
+    """mapInArrow over slices of so many rows, or fewer where they are large: make() is called once a task and returns a
+    function from columns (lists of Python values) to columns of the schema."""
     out = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -52,8 +65,7 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dic
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for part in _slices(batch, rows):
                 made = each({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in arrow], schema=arrow)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +33,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not e.head(1):
             return spill(label, "components")
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest index that each of 0 .. n - 1 is connected to."""
+    up = np.arange(n)
+    while True:
+        least = up.copy()
+        np.minimum.at(least, i, up[j])
+        np.minimum.at(least, j, up[i])
+        least = least[least]
+        if (least == up).all():
+            return up
+        up = least

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm import words
 from nearfield.llm.common import map_slices, spill
-from nearfield.llm.components import components
+from nearfield.llm.components import components, roots
 
 
 @dataclass(frozen=True)
@@ -112,19 +112,6 @@ def linked(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: Frac
     return (p + q) * shared >= p * (size[i] + size[j])
 
 
-def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest index that each of 0 .. n - 1 is connected to."""
-    up = np.arange(n)
-    while True:
-        least = up.copy()
-        np.minimum.at(least, i, up[j])
-        np.minimum.at(least, j, up[i])
-        least = least[least]
-        if (least == up).all():
-            return up
-        up = least
-
-
 def _compare(s: Settings):
     schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 

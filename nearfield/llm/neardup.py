@@ -5,18 +5,22 @@ bounded sample of each cell, into cells that overlap: each node goes to its near
 too large are split again. In each cell a graph is built: a node's nearest candidates, thinned by robust pruning
 (a candidate goes if a kept one is nearer to it, by a factor, than the node), and the reverse edges. A node's
 adjacency lists from all of its cells are united. Every node then searches each of its cells: a greedy beam from the
-medoids, which expands on through all nodes within a margin of the threshold. Hits are verified by the cosine in
-double precision. A pair that lies in several cells counts in the least of them, so a task returns sums and roots,
-never pairs.
+medoids, which expands on through all nodes within a margin of the threshold; the walks of many nodes advance together,
+as array operations. Hits are verified by the cosine in double precision. A pair that lies in several cells counts in
+the least of them, so a task returns sums and roots, never pairs. A cell has a bounded size, so the work for a node does
+not grow with the table, but for the levels of splits (one for each factor of some hundred rows of a label).
 
 A split is measured on its sample: the share of links whose ends still meet in a cell. Cells that lose too many at
 every overlap tried (tight groups, which k-means cuts at random) are not split but compared block by block, exactly.
 An audit compares some nodes' links, drawn by how many they have, with brute force over all nodes; below the required
-recall the beam and the overlap are raised, and if that does not do, all labels are compared block by block.
+recall the beam and the overlap are raised, and if that does not do, all labels are compared block by block. The recall
+that the audit found is a column of the result.
 
 Rows whose label or vector is null, and vectors that are empty, zero or hold null or non-finite components, link with
-nothing. Vectors of other lengths are never compared. Repeated rows are equal vectors. component_id is the smallest
-vec_id of a component.
+nothing. Vectors of other lengths are never compared. Repeated rows are equal vectors; a repeated vec_id with other
+vectors is several nodes. Vectors at the threshold itself link. component_id is the smallest vec_id of a component, null
+if all are null. An empty table gives an empty result. Other columns than vec_id, embedding and label are not looked at.
+What is drawn depends on the vectors only, so that reruns agree however the rows are dealt.
 """
 
 from __future__ import annotations
@@ -25,21 +29,25 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import map_slices, spill, unit_hash
-from nearfield.llm.components import components
+from nearfield.llm.components import components, roots
 
 
 @dataclass(frozen=True)
 class Settings:
     threshold: float = 0.93
-    #: Cells a node goes to at each split, and how many nodes a cell may have before it is split.
+    #: Cells a node goes to at each split, how many nodes a cell may have before it is split, and about how many then.
     overlap: int = 2
-    cell: int = 1500
-    target: int = 700
+    cell: int = 700
+    target: int = 400
+    #: Most centroids of a split, and nodes it is fitted on: so many, and so many for each centroid.
+    centres: int = 512
     sample: int = 4096
+    each: int = 32
     levels: int = 8
     candidates: int = 48
     degree: int = 24
@@ -49,11 +57,15 @@ class Settings:
     alpha: float = 1.2
     beam: int = 24
     margin: float = 0.04
+    #: Walks that advance together.
+    walks: int = 256
     audit: int = 256
     recall: float = 0.97
-    #: Rounds of search, each with more effort, before all is compared exactly; nodes in a block of exact comparison.
+    #: Rounds of search, each with more effort, before all is compared exactly; nodes in a block of exact comparison, and of a
+    #: task that deals out a cell.
     rounds: int = 3
     block: int = 4096
+    dealt: int = 8192
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -73,140 +85,160 @@ def centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def prune(x: np.ndarray, s: Settings) -> list[np.ndarray]:
-    """The adjacency list of each row: robust pruning of its nearest candidates, and reverse edges."""
+def prune(x: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Adjacency of all rows (from, to), sorted: robust pruning of each row's nearest candidates, and reverse edges."""
     n = len(x)
     m = min(s.candidates, n - 1)
     if m < 1:
-        return [np.zeros(0, np.int64)] * n
-    out: list[np.ndarray] = []
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sources, targets = [], []
     for at in range(0, n, 256):
         sim = x[at : at + 256] @ x.T
         sim[np.arange(len(sim)), np.arange(at, at + len(sim))] = -2
         near = np.argpartition(-sim, m - 1, axis=1)[:, :m]
         near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sim, near, 1), axis=1, kind="stable"), 1)
         own = 1 - np.take_along_axis(sim, near, 1)
-        between = 1 - np.einsum("ijd,ikd->ijk", x[near], x[near], optimize=True)
+        points = x[near]
+        between = 1 - points @ points.transpose(0, 2, 1)
         alive, kept = np.ones(near.shape, bool), np.zeros(near.shape, bool)
         for j in range(m):
             take = alive[:, j] & (kept.sum(axis=1) < s.degree)
             kept[take, j] = True
             alive[take] &= s.alpha * between[take, j] > own[take]
             alive[:, j] = False
-        out += [near[i][kept[i]] for i in range(len(near))]
-    source = np.repeat(np.arange(n), [len(o) for o in out])
-    target = np.concatenate(out)
+        row, column = np.nonzero(kept)
+        sources.append(at + row)
+        targets.append(near[row, column])
     # far edges and a ring, so that a tight group whose members are all each other's nearest can be reached
-    far = np.random.default_rng(n).integers(0, n, (n, s.far))
-    ring = np.roll(np.arange(n), 1)
-    source = np.concatenate([source, np.repeat(np.arange(n), s.far), np.arange(n)])
-    target = np.concatenate([target, far.ravel(), ring])
-    stay = source != target
-    source, target = source[stay], target[stay]
-    a, b = np.concatenate([source, target]), np.concatenate([target, source])
-    order = np.argsort(a, kind="stable")
-    return [np.unique(p) for p in np.split(b[order], np.searchsorted(a[order], np.arange(1, n)))]
-
-
-def search(x: np.ndarray, edges: list[np.ndarray], query: int, start: np.ndarray, s: Settings) -> np.ndarray:
-    """The rows met whose similarity to the query row is within the margin of the threshold."""
-    q = x[query]
-    seen = np.zeros(len(x), bool)
-    seen[start] = True
-    ids, sims, done = start.tolist(), (x[start] @ q).tolist(), [False] * len(start)
+    sources += [np.repeat(np.arange(n), s.far), np.arange(n)]
+    targets += [np.random.default_rng(n).integers(0, n, n * s.far), np.roll(np.arange(n), 1)]
+    a, b = np.concatenate(sources), np.concatenate(targets)
+    both = np.unique(np.concatenate([a * n + b, b * n + a])[np.tile(a != b, 2)])
+    return both // n, both % n
+
+
+def search(x: np.ndarray, starts: np.ndarray, targets: np.ndarray, medoids: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hit): for every row the rows met whose similarity is about the threshold or more. starts: where a row's part of
+    targets begins, and the end. All rows of a batch take a step at a time: those with unexpanded nodes within the margin of
+    the threshold expand all of these, the others the best few of their beam."""
+    n, unseen = len(x), np.float32(-4)
+    degree = np.diff(starts)
     reach = s.threshold - s.margin
-    while True:
-        order = np.argsort(np.array(sims))[::-1]
-        go = [i for rank, i in enumerate(order) if not done[i] and (rank < s.beam or sims[i] >= reach)]
-        if not go:
-            break
-        # near the threshold all at once, otherwise the best
-        now = [i for i in go if sims[i] >= reach] or go[:4]
-        for i in now:
-            done[i] = True
-        new = np.unique(np.concatenate([edges[ids[i]] for i in now]))
-        new = new[~seen[new]]
-        if len(new):
-            seen[new] = True
-            got = x[new] @ q
-            ids += new.tolist()
-            sims += got.tolist()
-            done += [False] * len(new)
-    found = np.array(ids)[np.array(sims) >= s.threshold - 1e-3]
-    return found[found != query]
+    rows, hits = [], []
+    for at in range(0, n, s.walks):
+        q = x[at : at + s.walks]
+        sims = np.full((len(q), n), unseen, np.float32)
+        sims[:, medoids] = q @ x[medoids].T
+        done = np.zeros(sims.shape, bool)
+        active = np.arange(len(q))
+        while len(active):
+            now = sims[active]
+            cut = np.partition(now, n - s.beam, axis=1)[:, n - s.beam] if n > s.beam else np.full(len(now), unseen)
+            go = ~done[active] & (now > unseen) & ((now >= cut[:, None]) | (now >= reach))
+            some = go.any(axis=1)
+            active, now, go = active[some], now[some], go[some]
+            if not len(active):
+                break
+            near = go & (now >= reach)
+            best = np.where(go, now, unseen)
+            fourth = np.partition(best, n - 4, axis=1)[:, n - 4] if n > 4 else np.full(len(best), unseen)
+            take = np.where(near.any(axis=1)[:, None], near, go & (best >= fourth[:, None]))
+            i, j = np.nonzero(take)
+            done[active[i], j] = True
+            size = degree[j]
+            edge = np.repeat(starts[j] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            fresh = np.zeros(take.shape, bool)
+            fresh[np.repeat(i, size), targets[edge]] = True
+            i, j = np.nonzero(fresh & (now == unseen))
+            for k in range(0, len(i), 1 << 16):
+                a, b = active[i[k : k + (1 << 16)]], j[k : k + (1 << 16)]
+                sims[a, b] = np.einsum("ij,ij->i", q[a], x[b])
+        i, j = np.nonzero(sims >= s.threshold - 1e-3)
+        apart = i + at != j
+        rows.append(i[apart] + at)
+        hits.append(j[apart])
+    return np.concatenate(rows), np.concatenate(hits)
 
 
 def _vectors(block: pa.Table) -> np.ndarray:
-    return np.stack([np.frombuffer(v.as_py(), np.float32) for v in block["vector"]])
+    return np.stack([np.frombuffer(v.as_py(), np.float64) for v in block["vector"]])
 
 
-def _meeting(x: np.ndarray, c: np.ndarray, s: Settings) -> int:
-    """The least overlap, of three, at which nearly all links among x keep a common cell; 0 if there is none."""
-    near = np.argsort(-(x @ c.T), axis=1, kind="stable")
-    for overlap in range(s.overlap, s.overlap + 3):
-        member = np.zeros((len(x), len(c)), np.float32)
-        np.put_along_axis(member, near[:, :overlap], 1, axis=1)
-        links = met = 0
-        for at in range(0, len(x), 256):
-            linked = x[at : at + 256] @ x.T >= s.threshold
-            linked[np.arange(len(linked)), np.arange(at, at + len(linked))] = False
-            links += np.count_nonzero(linked)
-            met += np.count_nonzero(linked & (member[at : at + 256] @ member.T > 0))
-        if met >= links * (1 + s.recall) / 2:
-            return overlap
-    return 0
+def _ordered(block: pa.Table) -> pa.Table:
+    """In an order that depends on the vectors, as draws follow it."""
+    return block.take(np.lexsort((block["node"].to_numpy(), block["h"].to_numpy())))
 
 
 def _fit(s: Settings):
     schema = pa.schema([("cell", pa.int64()), ("centres", pa.binary()), ("overlap", pa.int32())])
 
     def run(block: pa.Table) -> pa.Table:
-        x = unit(_vectors(block).astype(np.float64)).astype(np.float32)
-        n = block["n"][0].as_py()
-        order = np.argsort(block["node"].to_numpy())
-        k = int(min(64, max(2, -(-n * s.overlap // s.target))))
-        c = centroids(x[order], k)
-        overlap = _meeting(x, c, s)
+        x = unit(_vectors(_ordered(block))).astype(np.float32)
+        c = centroids(x, block["k"][0].as_py())
+        # the least overlap, of three, at which nearly all links of the sample keep a common cell
+        near = np.argsort(-(x @ c.T), axis=1, kind="stable")
+        tried = range(s.overlap, s.overlap + 3)
+        member = []
+        for overlap in tried:
+            member.append(np.zeros((len(x), len(c)), np.float32))
+            np.put_along_axis(member[-1], near[:, :overlap], 1, axis=1)
+        links, met = 0, [0] * len(member)
+        for at in range(0, len(x), 256):
+            i, j = np.nonzero(x[at : at + 256] @ x.T >= s.threshold)
+            i, j = (v[i + at < j] for v in (i, j))
+            links += len(i)
+            for o, m in enumerate(member):
+                for k in range(0, len(i), 1 << 14):
+                    met[o] += np.count_nonzero((m[at + i[k : k + (1 << 14)]] * m[j[k : k + (1 << 14)]]).any(axis=1))
+        overlap = next((o for o, n in zip(tried, met, strict=True) if n >= links * (1 + s.recall) / 2), 0)
         return pa.table([[block["cell"][0].as_py()], [c.astype(np.float32).tobytes() if overlap else None], [overlap]], schema=schema)
 
     return run, "cell long, centres binary, overlap int"
 
 
+def _deal(s: Settings, level: int):
+    """The cells that some nodes of a cell go to; one row without a node brings the centroids."""
+    schema = pa.schema([("node", pa.int64()), ("h", pa.int64()), ("cell", pa.int64()), ("vector", pa.binary())])
+
+    def run(block: pa.Table) -> pa.Table:
+        cell = block["cell"][0].as_py()
+        model = block.filter(pa.compute.is_null(block["node"]))
+        nodes = block.filter(pa.compute.is_valid(block["node"]))
+        centres, overlap = (model["vector"][0].as_py(), model["overlap"][0].as_py()) if len(model) else (None, 0)
+        if not len(nodes) or centres is None:
+            return nodes.select(schema.names).cast(schema)
+        x = unit(_vectors(nodes)).astype(np.float32)
+        near = np.argsort(-(x @ np.frombuffer(centres, np.float32).reshape(-1, x.shape[1]).T), axis=1, kind="stable")[:, :overlap]
+        names = np.array([hash((cell, level, i)) for i in range(near.max() + 1)], np.int64)
+        out = nodes.select(schema.names).take(np.repeat(np.arange(len(nodes)), near.shape[1]))
+        return out.set_column(2, "cell", pa.array(names[near].ravel())).cast(schema)
+
+    return run, "node long, h long, cell long, vector binary"
+
+
 def split(nodes: DataFrame, s: Settings, exact: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(node, cell, vector) of every cell that a node belongs to, and (cell, blocks) of cells to compare block by block; exact: all."""
-    each = nodes.select("node", F.xxhash64("label", F.length("vector")).alias("cell"), "vector")
+    """(node, h, cell, vector) of every cell that a node belongs to, and (cell, blocks) of cells to compare block by block; exact: all."""
+    each = nodes.select("node", "h", F.xxhash64("label", F.length("vector")).alias("cell"), "vector")
     whole = nodes.sparkSession.createDataFrame([], "cell long")
     for level in range(s.levels + 1):
         sizes = each.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > (1 if exact else s.cell)).join(whole, "cell", "left_anti")
-        big = spill(sizes, "neardup-big")
+        k = F.least(F.lit(s.centres), F.greatest(F.lit(2), F.ceil(F.col("n") * s.overlap / s.target))).cast("int")
+        big = spill(sizes.withColumn("k", k).withColumn("parts", F.ceil(F.col("n") / s.dealt).cast("int")), "neardup-big")
         if not big.head(1):
             break
         if exact or level == s.levels:
             whole = whole.union(big.select("cell"))
             break
-        drawn = each.join(big, "cell").filter(unit_hash("node", seed=f"cells{level}") < F.lit(s.sample) / F.col("n"))
+        share = F.greatest(F.lit(s.sample), F.col("k") * s.each) / F.col("n")
+        drawn = each.join(big, "cell").filter(unit_hash("h", seed=f"cells{level}") < share).select("cell", "k", "node", "h", "vector")
         run, schema = _fit(s)
-        fitted = spill(drawn.select("cell", "n", "node", "vector").groupBy("cell").applyInArrow(run, schema), "neardup-centroids")
+        fitted = spill(drawn.groupBy("cell").applyInArrow(run, schema), "neardup-centroids")
         whole = whole.union(fitted.filter("overlap = 0").select("cell"))
-
-        def make():
-            def each_slice(r: dict[str, list]) -> dict[str, list]:
-                out: dict[str, list] = {"node": [], "cell": [], "vector": []}
-                for node, cell, vector, centres, overlap in zip(r["node"], r["cell"], r["vector"], r["centres"], r["overlap"], strict=True):
-                    to = [cell]
-                    if centres is not None:
-                        v = np.frombuffer(vector, np.float32)
-                        near = np.argsort(-(np.frombuffer(centres, np.float32).reshape(-1, len(v)) @ v), kind="stable")[:overlap]
-                        to = [hash((cell, level, int(i))) for i in near]
-                    out["node"] += [node] * len(to)
-                    out["cell"] += to
-                    out["vector"] += [vector] * len(to)
-                return out
-
-            return each_slice
-
-        moved = map_slices(each.join(fitted, "cell", "left").select("node", "cell", "vector", "centres", "overlap"), make, "node long, cell long, vector binary")
-        each = spill(moved.dropDuplicates(["node", "cell"]), "neardup-cells")
+        moving = each.join(big.select("cell", "parts"), "cell").select("node", "h", "cell", "vector", F.lit(0).alias("overlap"), F.pmod(F.xxhash64(F.lit(level), "h"), "parts").cast("int").alias("part"))
+        models = fitted.join(big.select("cell", "parts"), "cell").select(F.lit(None).cast("long").alias("node"), F.lit(0).cast("long").alias("h"), "cell", F.col("centres").alias("vector"), "overlap", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        run, schema = _deal(s, level)
+        moved = moving.union(models).groupBy("cell", "part").applyInArrow(run, schema)
+        each = spill(each.join(big.select("cell"), "cell", "left_anti").select("node", "h", "cell", "vector").union(moved), "neardup-cells")
     return each, each.join(whole, "cell").groupBy("cell").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks"))
 
 
@@ -214,57 +246,57 @@ def _build(s: Settings):
     schema = pa.schema([("node", pa.int64()), ("cell", pa.int64()), ("edges", pa.list_(pa.int64()))])
 
     def run(block: pa.Table) -> pa.Table:
+        block = _ordered(block)
         node = block["node"].to_numpy()
-        order = np.argsort(node)
-        node = node[order]
-        x = unit(_vectors(block).astype(np.float64)).astype(np.float32)[order]
-        return pa.table([node, np.full(len(node), block["cell"][0].as_py()), [node[e] for e in prune(x, s)]], schema=schema)
+        a, b = prune(unit(_vectors(block)).astype(np.float32), s)
+        starts = np.searchsorted(a, np.arange(len(node) + 1)).astype(np.int32)
+        return pa.table([node, np.full(len(node), block["cell"][0].as_py()), pa.ListArray.from_arrays(starts, pa.array(node[b], pa.int64()))], schema=schema)
 
     return run, "node long, cell long, edges array<long>"
 
 
+def _lesser(block: pa.Table) -> np.ndarray:
+    """Rows x lesser cells that two rows or more share: pairs that also meet in one of these count there."""
+    cell = block["cell"][0].as_py()
+    lists = block["cells"].combine_chunks()
+    other, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(block)), lists.value_lengths().to_numpy())
+    row, other = row[other < cell], other[other < cell]
+    names, at, times = np.unique(other, return_inverse=True, return_counts=True)
+    out = np.zeros((len(block), len(names)), np.float32)
+    out[row, at] = 1
+    return out[:, times > 1]
+
+
 def _search(s: Settings):
     schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
     def run(block: pa.Table) -> pa.Table:
-        node = block["node"].to_numpy()
-        order = np.argsort(node)
-        node = node[order]
-        exact = _vectors(block).astype(np.float64)[order]
-        norm = np.linalg.norm(exact, axis=1)
-        x = (exact / norm[:, None]).astype(np.float32)
-        weight = block["weight"].to_numpy()[order]
-        cell = block["cell"][0].as_py()
-        cells = [frozenset(c.as_py()) for c in block["cells"].take(order)]
-        edges = []
-        for e in block["edges"].take(order):
-            at = np.searchsorted(node, e := e.values.to_numpy())
-            at = np.minimum(at, len(node) - 1)
-            edges.append(at[node[at] == e])
+        block = _ordered(block)
+        node, weight = block["node"].to_numpy(), block["weight"].to_numpy()
+        exact = unit(_vectors(block))
+        x = exact.astype(np.float32)
+        # edges within the cell, by place
+        lists = block["edges"].combine_chunks()
+        row, to = np.repeat(np.arange(len(node)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+        by = np.argsort(node)
+        at = by[np.minimum(np.searchsorted(node[by], to), len(node) - 1)]
+        row, at = row[node[at] == to], at[node[at] == to]
+        starts = np.searchsorted(row, np.arange(len(node) + 1))
         medoids = np.unique((centroids(x, s.medoids, 4) @ x.T).argmax(axis=1))
-        a, b = [], []
-        for q in range(len(node)):
-            hit = search(x, edges, q, medoids, s)
-            a.append(np.full(len(hit), q))
-            b.append(hit)
-        i, j = np.concatenate(a), np.concatenate(b)
+        i, j = search(x, starts, at, medoids, s)
         pair = np.unique(np.minimum(i, j) * len(node) + np.maximum(i, j))
         i, j = pair // len(node), pair % len(node)
-        good = np.einsum("ij,ij->i", exact[i], exact[j]) / (norm[i] * norm[j]) >= s.threshold
-        good[good] = [cell == min(cells[p] & cells[q]) for p, q in zip(i[good], j[good], strict=True)]
+        vectors, lesser = _vectors(block), _lesser(block)
+        norm = np.linalg.norm(vectors, axis=1)
+        good = np.zeros(len(i), bool)
+        for k in range(0, len(i), 1 << 14):
+            a, b = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+            good[k : k + (1 << 14)] = (np.einsum("ij,ij->i", vectors[a], vectors[b]) / (norm[a] * norm[b]) >= s.threshold) & ~(lesser[a] * lesser[b]).any(axis=1)
         i, j = i[good], j[good]
         links = np.zeros(len(node), np.int64)
         np.add.at(links, i, weight[j])
         np.add.at(links, j, weight[i])
-        root = np.arange(len(node))
-        while True:
-            least = root.copy()
-            np.minimum.at(least, i, root[j])
-            np.minimum.at(least, j, root[i])
-            least = least[least]
-            if (least == root).all():
-                break
-            root = least
+        root = roots(len(node), i, j)
         some = np.flatnonzero(links)
         return pa.table([node[some], links[some], node[root[some]]], schema=schema)
 
@@ -278,25 +310,15 @@ def _compare(s: Settings):
     def run(block: pa.Table) -> pa.Table:
         block = block.sort_by("node")
         node, weight, at_block = (block[c].to_numpy() for c in ("node", "weight", "block"))
-        x = _vectors(block).astype(np.float64)
+        x, other = _vectors(block), _lesser(block)
         norm = np.linalg.norm(x, axis=1)
-        cell, lo, hi = (block[c][0].as_py() for c in ("cell", "lo", "hi"))
-        # pairs that also meet in a lesser cell count there
-        lesser: dict[int, list[int]] = {}
-        for i, cells in enumerate(block["cells"]):
-            for c in cells.as_py():
-                if c < cell:
-                    lesser.setdefault(c, []).append(i)
-        shared = [v for v in lesser.values() if len(v) > 1]
-        other = np.zeros((len(node), len(shared)), np.float32)
-        for j, v in enumerate(shared):
-            other[v, j] = 1
+        lo, hi = block["lo"][0].as_py(), block["hi"][0].as_py()
         links, root = np.zeros(len(node), np.int64), np.arange(len(node))
         left, right = np.flatnonzero(at_block == lo), np.flatnonzero(at_block == hi)
         for at in range(0, len(left), 256):
             a = left[at : at + 256]
             good = x[a] @ x[right].T / (norm[a, None] * norm[right]) >= s.threshold
-            if shared:
+            if other.shape[1]:
                 good &= other[a] @ other[right].T == 0
             if lo == hi:
                 good &= a[:, None] != right
@@ -321,13 +343,13 @@ def _once(nodes: DataFrame, s: Settings, exact: bool = False) -> DataFrame:
     searched = cells.join(whole, "cell", "left_anti")
     held = cells.groupBy("node").agg(F.collect_set("cell").alias("cells")).join(nodes.select("node", "weight"), "node")
     run, schema = _build(s)
-    lists = searched.select("node", "cell", "vector").groupBy("cell").applyInArrow(run, schema)
+    lists = searched.select("node", "h", "cell", "vector").groupBy("cell").applyInArrow(run, schema)
     united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges"))
     united = spill(united.join(held, "node"), "neardup-graph")
     run, schema = _search(s)
-    found = searched.join(united, "node").select("cell", "node", "vector", "weight", "edges", "cells").groupBy("cell").applyInArrow(run, schema)
+    found = searched.join(united, "node").select("cell", "node", "h", "vector", "weight", "edges", "cells").groupBy("cell").applyInArrow(run, schema)
     if whole.head(1):
-        dealt = cells.join(whole, "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        dealt = cells.join(whole, "cell").withColumn("block", F.pmod(F.xxhash64("h", "node"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("block", "to"), "hi": F.greatest("block", "to")})
         run, schema = _compare(s)
         found = found.union(dealt.join(held, "node").select("cell", "lo", "hi", "block", "node", "vector", "weight", "cells").groupBy("cell", "lo", "hi").applyInArrow(run, schema))
@@ -337,32 +359,37 @@ def _once(nodes: DataFrame, s: Settings, exact: bool = False) -> DataFrame:
 def audit(nodes: DataFrame, found: DataFrame, s: Settings) -> float:
     """Links found of links there are, over all nodes of their labels, for some nodes of each number of links (by powers
     of two): the least such share over nodes with about as many true links, and over all; 1 if there are none."""
-    counted = nodes.select("node").join(found.groupBy("node").agg(F.sum("links").alias("got")), "node", "left")
-    counted = spill(counted.select("node", F.coalesce("got", F.lit(0)).alias("got")).withColumn("stratum", F.floor(F.log2(F.col("got") + 1)).cast("int")), "neardup-audit")
+    counted = nodes.select("node", "h").join(found.groupBy("node").agg(F.sum("links").alias("got")), "node", "left")
+    counted = spill(counted.select("node", "h", F.coalesce("got", F.lit(0)).alias("got")).withColumn("stratum", F.floor(F.log2(F.col("got") + 1)).cast("int")), "neardup-audit")
     sizes = {r.stratum: r["count"] for r in counted.groupBy("stratum").count().collect()}  # at most 64
     if not sizes:
         return 1.0
     share = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, s.audit / len(sizes) / n)])
-    drawn = counted.filter(unit_hash("node", seed="audit") < share[F.col("stratum")]).limit(4 * s.audit)
-    chosen = nodes.join(drawn, "node").select("node", "label", "vector", "got").collect()
+    drawn = counted.filter(unit_hash("h", seed="audit") < share[F.col("stratum")]).orderBy(unit_hash("h", seed="order")).limit(4 * s.audit)
+    chosen = nodes.join(drawn.select("node", "got"), "node").select("node", "label", "vector", "got").collect()
     if not chosen:
         return 1.0
     sent = nodes.sparkSession.sparkContext.broadcast([(r.node, r.label, bytes(r.vector)) for r in chosen])  # at most 4 * audit vectors
 
     def make():
-        by: dict[tuple, list] = {}
-        for node, label, vector in sent.value:
-            by.setdefault((label, len(vector)), []).append((node, unit(np.frombuffer(vector, np.float32).astype(np.float64)[None])[0]))
+        by: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        for key in {(label, len(vector)) for _, label, vector in sent.value}:
+            mine = [(node, vector) for node, label, vector in sent.value if (label, len(vector)) == key]
+            by[key] = np.array([n for n, _ in mine]), unit(np.stack([np.frombuffer(v, np.float64) for _, v in mine]))
 
         def each(r: dict[str, list]) -> dict[str, list]:
+            groups: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(r["label"], map(len, r["vector"]), strict=True)):
+                if key in by:
+                    groups.setdefault(key, []).append(i)
             out: dict[str, list] = {"node": [], "links": []}
-            for node, label, vector, weight in zip(r["node"], r["label"], r["vector"], r["weight"], strict=True):
-                v = np.frombuffer(vector, np.float32).astype(np.float64)
-                v = v / np.linalg.norm(v)
-                for other, q in by.get((label, len(vector)), ()):
-                    if other != node and float(v @ q) >= s.threshold:
-                        out["node"].append(other)
-                        out["links"].append(weight)
+            for key, rows in groups.items():
+                names, q = by[key]
+                x = unit(np.stack([np.frombuffer(r["vector"][i], np.float64) for i in rows]))
+                linked = (x @ q.T >= s.threshold) & (np.array([r["node"][i] for i in rows])[:, None] != names)
+                links = np.array([r["weight"][i] for i in rows]) @ linked
+                out["node"] += names[links > 0].tolist()
+                out["links"] += links[links > 0].tolist()
             return out
 
         return each
@@ -378,27 +405,34 @@ def audit(nodes: DataFrame, found: DataFrame, s: Settings) -> float:
 
 
 def link(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """A row for each row of vectors (vec_id, embedding, label): vec_id, n_links, component_id, kept."""
+    """A row for each row of vectors (vec_id, embedding, label): vec_id, n_links, component_id, kept, recall (as audited; 1 where
+    all was compared)."""
     fine = F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     value = lambda x: x.cast("double")
     fine = fine & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(value(x)) < float("inf"))) & F.exists("embedding", lambda x: value(x) != 0)
-    rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<float>").alias("embedding"), F.coalesce(fine, F.lit(False)).alias("fine"))
-    rows = rows.withColumn("embedding", F.when(F.col("fine"), F.transform("embedding", lambda x: x + F.lit(0.0).cast("float"))))
+    rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce(fine, F.lit(False)).alias("fine"))
+    rows = rows.withColumn("embedding", F.when(F.col("fine"), F.transform("embedding", lambda x: x + F.lit(0.0))))
     rows = rows.withColumns({"v1": F.xxhash64("embedding"), "v2": F.xxhash64(F.lit("second"), "embedding")})
     groups = rows.filter("fine").groupBy("label", "v1", "v2").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.min("embedding").alias("embedding"))
 
     def pack():
-        return lambda r: {c: r[c] for c in ("node", "label", "v1", "v2", "least", "weight")} | {"vector": [np.array(v, np.float32).tobytes() for v in r["embedding"]]}
+        def scaled(v: list[float]) -> bytes:
+            x = np.array(v, np.float64)
+            return np.ldexp(x, -np.frexp(np.abs(x).max())[1]).tobytes()  # by a power of two, so that no square under- or overflows
+
+        return lambda r: {c: r[c] for c in ("node", "h", "label", "v1", "v2", "least", "weight")} | {"vector": [scaled(v) for v in r["embedding"]]}
 
     label = vectors.schema["label"].dataType.simpleString()
-    nodes = spill(map_slices(groups.withColumn("node", F.monotonically_increasing_id()), pack, f"node long, label {label}, v1 long, v2 long, least long, weight long, vector binary"), "neardup-nodes")
+    groups = groups.withColumns({"node": F.monotonically_increasing_id(), "h": F.xxhash64("label", "v1", "v2")})
+    nodes = spill(map_slices(groups, pack, f"node long, h long, label {label}, v1 long, v2 long, least long, weight long, vector binary"), "neardup-nodes")
     for _ in range(s.rounds):
         found = _once(nodes, s)
-        if audit(nodes, found, s) >= s.recall:
+        recall = audit(nodes, found, s)
+        if recall >= s.recall:
             break
         s = replace(s, overlap=s.overlap + 1, beam=2 * s.beam, margin=s.margin * 1.5)
     else:
-        found = _once(nodes, s, exact=True)
+        found, recall = _once(nodes, s, exact=True), 1.0
     tied = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = spill(found.groupBy("node").agg(F.sum("links").alias("links")), "neardup-counts")
     known = nodes.select("node", F.col("label").alias("label_"), F.col("v1").alias("v1_"), F.col("v2").alias("v2_"), "least", "weight").join(tied.withColumnRenamed("id", "node"), "node", "left").join(counts, "node", "left")
@@ -407,4 +441,4 @@ def link(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
     result = spill(known.join(least, "component").select("label_", "v1_", "v2_", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"), "neardup-result")
     on = F.col("fine") & (F.col("label") == F.col("label_")) & (F.col("v1") == F.col("v1_")) & (F.col("v2") == F.col("v2_"))
     out = rows.join(result, on, "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))).withColumn("recall", F.lit(float(recall)))

@@ -59,7 +59,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.link(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return neardup.link(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")).drop("recall")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
