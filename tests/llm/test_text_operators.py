@@ -281,10 +281,46 @@ def brute_substring(rows, window=35):
 @pytest.mark.parametrize(("which", "hot"), [("odd", 512), ("odd", 2), ("docs", 512), ("docs", 3)])
 def test_substring_equals_brute_force(request, which, hot):
     df = request.getfixturevalue(which)
-    got = substring.remove(df.withColumn("c", F.lit(1)), substring.Settings(hot=hot)).collect()
+    got = substring.remove(df.withColumn("c", F.lit(1)), substring.Settings(hot=hot, block=5 if hot == 2 else 12_000)).collect()
     assert collections.Counter(map(tuple, got)) == brute_substring([(r.doc_id, r.text) for r in df.collect()])
 
 
+@pytest.mark.parametrize("hot", [512, 2])
+def test_factors_have_sources(odd, hot):
+    _, _, found = substring.spans(odd, substring.Settings(hot=hot))
+    rows = {r.c: r for r in found.collect()}
+    w = {c: words_of(r.text) for c, r in rows.items()}
+    assert any(r.spans for r in rows.values())
+    for c, r in rows.items():
+        for x in r.spans:
+            assert x.words >= 35 and (x.source, x.source_first) != (c, x.first)
+            assert w[c][x.first : x.first + x.words] == w[x.source][x.source_first : x.source_first + x.words]
+
+
+def test_longest_factors_equal_brute_force():
+    rng = np.random.default_rng(4)
+    window, size = 4, [9, 9, 12, 7]
+    ids = rng.integers(0, 2, sum(size))
+    stop = np.cumsum(size)
+    starts = np.concatenate([np.arange(e - n, e - window + 1) for e, n in zip(stop, size, strict=True)])
+    stops = np.concatenate([np.full(n - window + 1, e) for e, n in zip(stop, size, strict=True)])
+    length, source = substring.longest(ids, stops, starts, window)
+    for i, (a, e) in enumerate(zip(starts, stops, strict=True)):
+        best = 0
+        for j, (b, f) in enumerate(zip(starts, stops, strict=True)):
+            n = 0
+            while i != j and a + n < e and b + n < f and ids[a + n] == ids[b + n]:
+                n += 1
+            best = max(best, n)
+        assert length[i] == best if best >= window else length[i] < window
+        if best >= window:
+            assert source[i] != i and (ids[a : a + best] == ids[starts[source[i]] : starts[source[i]] + best]).all()
+    windows = np.array(size) - window + 1
+    found, sizes = substring.factors(length, windows, window)
+    covered = {x for i, n in zip(found, sizes, strict=True) for x in range(starts[i], starts[i] + n)}
+    assert covered == {x for i in np.flatnonzero(length >= window) for x in range(starts[i], starts[i] + window)}
+
+
 def test_substring_within_a_document(spark, none):
     a = " ".join(f"p{i}" for i in range(36))
     rows = [(1, f"{a} mid {a}"), (2, " ".join(["z"] * 60)), (3, "short"), (4, "q " * 34)]
