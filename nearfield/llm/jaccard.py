@@ -1,21 +1,27 @@
 """Similarity join of documents by the Jaccard index of their word n-grams.
 
 Documents with equal n-gram sets form a class, which goes on as one row with its number of documents. MinHash
-values in bands give candidates: classes that share a band are connected, and each connected set of candidates is
-cut into chunks by hash; a task compares two chunks. There a pair's MinHash values are compared a few at a time, and
-the pair is dropped once the posterior probability that its index reaches the threshold, given the matches so far
-and a uniform prior, is below a tolerance. What survives is verified on the n-gram sets. A task returns, for each
-class, how many documents it links to and its root among the links found there, never the pairs; the roots are
+values in bands give candidates: only classes that share a band are ever compared. A pair's MinHash values are compared a
+few at a time, and the pair is dropped once the posterior probability that its index reaches the threshold, given the
+matches so far and a uniform prior, is below a tolerance. That happens twice. First on a byte of each value, within the
+buckets of the bands: what a bucket's task returns is which members its surviving pairs connect, so classes
+that only share a band by chance fall apart before any text is read. (Bytes agree wherever values do, so no pair is lost
+that the values would keep.) Then, in each connected set of survivors, on the whole values, and what survives again is
+verified on the n-gram sets. Buckets and sets are cut into chunks by hash; a task compares chunks and returns, for
+each class, how many documents it links to and its root among the links found there, never the pairs; the roots are
 joined into components.
 
-Texts with fewer words than n have their words as the one n-gram. Null texts and texts without words link with
-nothing. Repeated rows are documents of one class. class_id is the smallest doc_id of a component, null if all are.
+Texts with fewer words than n have their words as the one n-gram. Null texts, empty texts and texts without words link
+with nothing. Repeated rows are documents of one class. Pairs at the threshold itself link. A very long text is one set.
+class_id is the smallest doc_id of a component, null if all are. An empty table gives an empty result. join() looks at
+doc_id and the text column only; representatives() returns the columns of docs, whatever their names.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from fractions import Fraction
+from functools import lru_cache
 from math import comb
 
 import numpy as np
@@ -38,8 +44,10 @@ class Settings:
     rows: int = 4
     step: int = 16
     tolerance: float = 1e-6
-    #: Classes in a chunk, about.
+    #: Classes in a chunk of a connected set and of a bucket, and members of buckets in a task, about.
     chunk: int = 96
+    bucket: int = 512
+    dealt: int = 20_000
 
     @property
     def values(self) -> int:
@@ -83,7 +91,7 @@ def needed(s: Settings) -> dict[int, int]:
 
 
 def survivors(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (row i of a, row j of b) that no look at their MinHash values dropped."""
+    """The pairs (row i of a, row j of b) that no look at their MinHash values, or bytes of them, dropped."""
     found = np.zeros(len(i), np.int32)
     for n, least in needed(s).items():
         part = slice(n - s.step, n)
@@ -93,6 +101,15 @@ def survivors(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, s: Set
     return i, j
 
 
+def sharing(sig: np.ndarray, i: np.ndarray, j: np.ndarray, s: Settings) -> np.ndarray:
+    """Which pairs share a band."""
+    out = np.zeros(len(i), bool)
+    for at in range(0, len(i), 1 << 14):
+        a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+        out[at : at + len(a)] = (sig[a] == sig[b]).reshape(len(a), s.bands, s.rows).all(axis=2).any(axis=1)
+    return out
+
+
 def linked(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: Fraction) -> np.ndarray:
     """Which pairs of sets have a Jaccard index of at least threshold, exactly."""
     size = np.array([len(x) for x in sets], np.int64)
@@ -112,6 +129,54 @@ def linked(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: Frac
     return (p + q) * shared >= p * (size[i] + size[j])
 
 
+def _meet(s: Settings):
+    """Members of some buckets or pairs of their chunks (unit): the pairs that survive, as (node, root) of what they connect."""
+    schema = pa.schema([("node", pa.int64()), ("root", pa.int64())])
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.take(np.lexsort((rows["node"].to_numpy(), rows["unit"].to_numpy())))
+        unit, node, mine, low, high = (rows[c].to_numpy() for c in ("unit", "node", "mine", "low", "high"))
+        sig = np.stack([np.frombuffer(x.as_py(), np.uint8) for x in rows["small"]])
+        edge = np.r_[0, np.flatnonzero(unit[1:] != unit[:-1]) + 1, len(unit)].tolist()
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        first: list[np.ndarray] = []
+        second: list[np.ndarray] = []
+        size = 0
+
+        def look() -> None:
+            nonlocal size
+            i, j = survivors(sig, sig, np.concatenate(first), np.concatenate(second), s)
+            out.append((node[i], node[j]))
+            first.clear()
+            second.clear()
+            size = 0
+
+        for a, b in zip(edge, edge[1:], strict=False):
+            if low[a] == high[a]:
+                i, j = _triangle(b - a)
+            else:
+                i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(mine[a:b] == low[a]), np.flatnonzero(mine[a:b] == high[a]), indexing="ij"))
+            if len(i):
+                first.append(i + a)
+                second.append(j + a)
+                size += len(i)
+                if size > 1 << 18:
+                    look()
+        if size:
+            look()
+        i, j = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
+        names, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+        root = roots(len(names), at[: len(i)], at[len(i) :])
+        return pa.table([names, names[root]], schema=schema)
+
+    return run, "node long, root long"
+
+
+@lru_cache(maxsize=64)
+def _triangle(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
 def _compare(s: Settings):
     schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
@@ -124,6 +189,8 @@ def _compare(s: Settings):
         sig = np.stack([np.frombuffer(x.as_py(), np.uint32) for x in rows["sig"].take(order)])
         i, j = (np.triu_indices(len(node), 1) if low[0] == high[0] else np.meshgrid(np.flatnonzero(mine == low), np.flatnonzero(mine == high), indexing="ij"))
         i, j = survivors(sig, sig, i.ravel(), j.ravel(), s)
+        both = sharing(sig, i, j, s)
+        i, j = i[both], j[both]
         weight = rows["weight"].to_numpy()[order]
         links = np.zeros(len(node), np.int64)
         if len(i):
@@ -140,7 +207,8 @@ def _compare(s: Settings):
 
 
 def sketches(docs: DataFrame, s: Settings, text: str = "text") -> DataFrame:
-    """doc_id, th (a hash of the text), k1 and k2 (a digest of the n-gram set), grams (their number) and sig (MinHash values)."""
+    """doc_id, th (a hash of the text), k1 and k2 (a digest of the n-gram set), grams (their number), sig (MinHash values) and small
+    (the low byte of each)."""
 
     def make():
         a, b = _coefficients(s)
@@ -149,15 +217,16 @@ def sketches(docs: DataFrame, s: Settings, text: str = "text") -> DataFrame:
             g = grams(t, s.n)
             d = xxhash.xxh3_128_digest(g.tobytes())
             k1, k2 = np.frombuffer(d, np.int64).tolist()
-            return k1, k2, len(g), minhash(g, a, b).tobytes()
+            sig = minhash(g, a, b)
+            return k1, k2, len(g), sig.tobytes(), sig.astype(np.uint8).tobytes()
 
         def each(r: dict[str, list]) -> dict[str, list]:
-            k1, k2, n, sig = map(list, zip(*map(one, r["text"]), strict=True))
-            return {"doc_id": r["doc_id"], "th": r["th"], "k1": k1, "k2": k2, "grams": n, "sig": sig}
+            k1, k2, n, sig, small = map(list, zip(*map(one, r["text"]), strict=True))
+            return {"doc_id": r["doc_id"], "th": r["th"], "k1": k1, "k2": k2, "grams": n, "sig": sig, "small": small}
 
         return each
 
-    return map_slices(docs.select("doc_id", F.col(text).alias("text"), F.xxhash64(text).alias("th")), make, "doc_id long, th long, k1 long, k2 long, grams int, sig binary")
+    return map_slices(docs.select("doc_id", F.col(text).alias("text"), F.xxhash64(text).alias("th")), make, "doc_id long, th long, k1 long, k2 long, grams int, sig binary, small binary")
 
 
 def join(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> DataFrame:
@@ -179,13 +248,19 @@ def representatives(docs: DataFrame, s: Settings = Settings(), text: str = "text
 
 def _join(docs: DataFrame, s: Settings, text: str) -> DataFrame:
     each = spill(sketches(docs, s, text), "jaccard-sketches")
-    classes = each.filter("grams > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "th", "sig")).alias("first"), F.min("doc_id").alias("least"), F.count("*").alias("weight"))
+    classes = each.filter("grams > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "th", "sig", "small")).alias("first"), F.min("doc_id").alias("least"), F.count("*").alias("weight"))
     classes = spill(classes.select("k1", "k2", "first.*", "least", "weight", F.monotonically_increasing_id().alias("node")), "jaccard-classes")
     band = F.explode(F.sequence(F.lit(0), F.lit(s.bands - 1))).alias("band")
     bands = classes.select("node", "sig", band).select("node", F.xxhash64("band", F.substring("sig", F.col("band") * (4 * s.rows) + 1, F.lit(4 * s.rows))).alias("key"))
-    shared = spill(bands.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("key", F.col("least").alias("other")), "jaccard-bands")
-    edges = bands.join(shared, "key").filter("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b"))
-    sets = components(edges)
+    shared = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("chunks", F.ceil(F.col("n") / s.bucket).cast("int"))
+    shared = spill(shared, "jaccard-bands")
+    parts = max(1, -(-(shared.agg(F.sum(F.col("n") * F.col("chunks"))).first()[0] or 0) // s.dealt))
+    met = bands.join(shared, "key").withColumn("mine", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+    met = met.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)"))).withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
+    met = met.withColumn("unit", F.xxhash64("key", "low", "high")).join(classes.select("node", "small"), "node")
+    run, schema = _meet(s)
+    edges = met.select(F.pmod("unit", F.lit(parts)).alias("part"), "unit", "node", "mine", "low", "high", "small").groupBy("part").applyInArrow(run, schema)
+    sets = components(edges.select(F.col("node").alias("a"), F.col("root").alias("b")))
     sizes = spill(sets.groupBy("component").count().withColumn("chunks", F.ceil(F.col("count") / s.chunk).cast("int")).drop("count"), "jaccard-sizes")
     members = sets.join(sizes, "component").withColumnRenamed("id", "node").withColumn("mine", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
     members = spill(members.join(classes.select("node", F.col("doc_id").alias("doc_id_"), F.col("th").alias("th_"), "weight", "sig"), "node"), "jaccard-members")

@@ -164,7 +164,7 @@ def test_jaccard_in_chunks(spark):
         w[rng.integers(0, 200, i % 5)] = "x"
         rows.append((i, " ".join(w), None, None, None))
     df = spark.createDataFrame(rows, SCHEMA)
-    got = jaccard.join(df, jaccard.Settings(chunk=16))
+    got = jaccard.join(df, jaccard.Settings(chunk=16, bucket=24, dealt=60))
     assert collections.Counter((r.doc_id, r.class_id, r.n_links, r.class_size) for r in got.collect()) == brute_jaccard(rows)
     assert jaccard.join(df.limit(0)).count() == 0
 
