@@ -3,12 +3,15 @@
 A line's digits are masked; its leaf in the tree is its number of tokens and its first `depth` tokens. Within a leaf
 that holds several forms, a position is constant where one token has at least half of the documents, else variable;
 forms that agree with the constants in at least `similarity` of all positions share the leaf's template, and every
-other form is a template of its own. Lines whose template occurs in at least `min_docs` documents are dropped in all
-of them but one, so content that only copies share is not lost.
-
-Rows with the same doc_id and text count as one document. Blank lines stay where they are. Null and empty texts have
-no lines. Very long lines and texts need no special care: only hashes and line numbers are shuffled, and a document's
-text once.
+other form is a template of its own. Lines whose template occurs in at least `min_docs` documents are dropped: in all of
+them, or with keep_first in all but one, so that in front of a stage that keeps one of each group of near copies, what only
+copies share is not lost.
+
+Documents with equal texts count as one, so a copied document does not make its lines recurring; repeated rows are copies.
+Blank lines stay where they are. Null texts stay null, empty texts have no lines. A form that ties for a position's majority is
+settled by token order. Very long lines and texts need no special care: only hashes and line numbers are shuffled, and
+a document's text once. An empty table gives an empty result. Columns named n_lines and n_dropped are replaced by drop_lines()
+and kept by filtered(); others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,13 +29,15 @@ class Settings:
     depth: int = 4
     similarity: float = 0.6
     min_docs: int = 3
+    #: Whether a recurring line stays in one document.
+    keep_first: bool = False
 
 
 BLANK = r"^\s*$"
 
 
 def _lines(docs: DataFrame, text: str, s: Settings) -> DataFrame:
-    each = docs.select("doc_id", F.xxhash64("doc_id", text).alias("key"), F.posexplode(F.split(text, "\n", -1)).alias("line", "content"))
+    each = docs.select(F.xxhash64(text).alias("key"), F.length(text).alias("size"), F.posexplode(F.split(text, "\n", -1)).alias("line", "content"))
     each = each.filter(~F.col("content").rlike(BLANK))
     masked = F.when(F.col("content").rlike("[0-9]"), F.regexp_replace("content", "[0-9]+", "0")).otherwise(F.col("content"))
     tokens = F.split(F.btrim(masked, F.lit(" \t\r\x0b\x0c")), r"\s+")
@@ -46,8 +51,8 @@ def _form() -> Column:
 
 
 def recurring(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(lines, forms): lines of all documents as doc_id, key, line, form; forms that recur, with the key of the document that keeps them."""
-    lines = spill(_lines(docs, text, s).select("doc_id", "key", "line", "leaf", _form().alias("form"), "n"), "lines")
+    """(lines, forms): lines of all documents as key and size (of the text), line, form; forms that recur, with the key of the text that may keep them."""
+    lines = spill(_lines(docs, text, s).select("key", "size", "line", "leaf", _form().alias("form"), "n"), "lines")
     forms = lines.select("key", "leaf", "form", "n").distinct().groupBy("leaf", "form", "n").agg(F.count("*").alias("docs"), F.min("key").alias("first"))
     forms = spill(forms, "line-forms")
     leaves = forms.filter(F.col("n") > s.depth).groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count("*").alias("forms"))
@@ -74,11 +79,14 @@ def drop_lines(docs: DataFrame, s: Settings = Settings(), text: str = "text") ->
     """docs without recurring lines; adds n_lines and n_dropped (ints), replacing columns of these names."""
     docs = docs.drop("n_lines", "n_dropped")
     lines, forms = recurring(docs, s, text)
-    gone = lines.join(forms, "form").filter("key <> first").groupBy("doc_id", "key").agg(F.collect_list("line").alias("gone"))
-    gone = spill(gone.select(F.col("doc_id").alias("_nf_doc"), F.col("key").alias("_nf_id"), F.col("gone").alias("_nf_gone")), "line-gone")
-    rows = docs.withColumn("_nf_key", F.xxhash64("doc_id", text))
+    gone = lines.join(forms, "form")
+    if s.keep_first:
+        gone = gone.filter("key <> first")
+    gone = gone.groupBy("key", "size").agg(F.collect_set("line").alias("gone"))
+    gone = spill(gone.select(F.col("key").alias("_nf_id"), F.col("size").alias("_nf_size"), F.col("gone").alias("_nf_gone")), "line-gone")
+    rows = docs.withColumn("_nf_key", F.xxhash64(text))
     # both sides grow with the documents, so this is a merge join at every size
-    rows = rows.join(gone.hint("merge"), (F.col("_nf_key") == F.col("_nf_id")) & F.col("doc_id").eqNullSafe(F.col("_nf_doc")), "left").withColumn("_nf_lines", F.split(text, "\n", -1))
+    rows = rows.join(gone.hint("merge"), (F.col("_nf_key") == F.col("_nf_id")) & (F.length(text) == F.col("_nf_size")), "left").withColumn("_nf_lines", F.split(text, "\n", -1))
     rows = rows.withColumn("_nf_stay", F.array_except(F.sequence(F.lit(0), F.size("_nf_lines") - 1), "_nf_gone"))
     kept = F.array_join(F.transform("_nf_stay", lambda i: F.element_at("_nf_lines", i + 1)), "\n")
     whole = F.col("_nf_gone").isNull()
