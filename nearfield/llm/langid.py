@@ -9,7 +9,10 @@ N-grams are hashed into 2**bits buckets, the same for all texts, so the kernel i
 The scores of a text sum to 1, so the best is never under 1 / languages. What rejects a text is how far its score is
 from that of a text without any known n-gram towards that of training rows of the language.
 
-Null texts and texts without a letter are `und` with score 0. If nothing can be learned, all are `und`.
+Null and empty texts and texts without a letter are `und` with score 0. If nothing can be learned (an empty table, or no
+labels), all are `und`. Of equal scores the language that sorts first wins. Repeated rows are learned from once and predicted
+alike; the same text under two languages is an example of both. Very long texts are sets of n-grams like others. Columns named
+lang_pred and score are replaced by predict() and kept by accepted(); others stay.
 """
 
 from __future__ import annotations
@@ -30,11 +33,13 @@ UNKNOWN = "und"
 class Settings:
     longest: int = 3
     bits: int = 16
-    #: Labelled rows a language to learn from, and how many of them are landmarks. This bounds what the driver gets.
+    #: Labelled texts a language to learn from, about, and how many of them are landmarks.
     per_language: int = 240
     landmarks: int = 48
-    #: The most frequent languages that are learned.
-    languages: int = 200
+    #: Where languages are many, they share so many texts and landmarks, but each has some. This bounds what the driver gets.
+    texts: int = 4800
+    marks: int = 960
+    least: int = 4
     ridge: float = 1e-3
 
 
@@ -53,11 +58,14 @@ def features(text: str, s: Settings) -> np.ndarray:
 
 
 def kernel_ridge(seen: np.ndarray, labels: np.ndarray, landmark: np.ndarray, s: Settings, languages: list[str]) -> Model:
-    """seen: rows x buckets booleans; landmark: which rows are landmarks."""
-    columns = np.flatnonzero(seen[landmark].any(axis=0))
-    size = np.sqrt(np.maximum(seen.sum(axis=1), 1)).astype(np.float64)
-    marks = seen[landmark][:, columns].astype(np.float32) / size[landmark, None].astype(np.float32)
-    k_nm = np.concatenate([seen[i : i + 256][:, columns].astype(np.float32) @ marks.T for i in range(0, len(seen), 256)]).astype(np.float64) / size[:, None]
+    """seen: rows x buckets as packed bits; landmark: which rows are landmarks."""
+    bits = lambda rows: np.unpackbits(rows, axis=1, count=1 << s.bits)
+    any_mark = np.bitwise_or.reduce(seen[landmark], axis=0)
+    columns = np.flatnonzero(bits(any_mark[None])[0])
+    parts = (bits(seen[i : i + 256]) for i in range(0, len(seen), 256))
+    size = np.sqrt(np.maximum(np.bitwise_count(seen).sum(axis=1), 1)).astype(np.float64)
+    marks = np.concatenate([bits(seen[landmark[i : i + 256]])[:, columns].astype(np.float32) for i in range(0, len(landmark), 256)]) / size[landmark, None].astype(np.float32)
+    k_nm = np.concatenate([x[:, columns].astype(np.float32) @ marks.T for x in parts]).astype(np.float64) / size[:, None]
     values, vectors = np.linalg.eigh(k_nm[landmark])
     good = values > 1e-8 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
@@ -72,29 +80,28 @@ def kernel_ridge(seen: np.ndarray, labels: np.ndarray, landmark: np.ndarray, s:
 
 
 def train(docs: DataFrame, s: Settings = Settings()) -> Model | None:
-    """Learns from rows with text and lang that are not held out; at most about per_language rows each, chosen by hash."""
+    """Learns from rows with text and lang that are not held out; about per_language texts each, chosen by hash."""
     rows = docs.filter(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out()).select("lang", "text", unit_hash("text", seed="langid").alias("u"))
-    counts = sorted(((r[0], r[1]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(s.languages).collect()), key=lambda x: x[0])
+    counts = sorted((r[0], r[1]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("u")).collect())  # a row a language
     if not counts:
         return None
     languages = [x for x, _ in counts]
-    chosen = F.lit(False)
-    for name, n in counts:
-        chosen = chosen | ((F.col("lang") == name) & (F.col("u") < s.per_language / n))
+    most = max(s.least, min(s.per_language, s.texts // len(languages)))
+    share = F.create_map(*[F.lit(x) for name, n in counts for x in (name, most / max(1, n))])
 
     def make():
         return lambda x: {"lang": x["lang"], "u": x["u"], "seen": [np.packbits(features(t, s)).tobytes() for t in x["text"]]}
 
-    got = sorted(map_slices(rows.filter(chosen), make, "lang string, u double, seen binary").collect(), key=lambda r: (r.lang, r.u, bytes(r.seen)))
+    chosen = map_slices(rows.filter(F.col("u") < share[F.col("lang")]), make, "lang string, u double, seen binary").groupBy("lang", "u").agg(F.min("seen").alias("seen"))
+    got = sorted(chosen.collect(), key=lambda r: (r.lang, r.u, bytes(r.seen)))
     if not got:
         return None
-    seen = np.stack([np.unpackbits(np.frombuffer(r.seen, np.uint8)).astype(bool) for r in got])
+    seen = np.stack([np.frombuffer(r.seen, np.uint8) for r in got])
     at = {name: i for i, name in enumerate(languages)}
     labels = np.array([at[r.lang] for r in got])
-    landmark = np.zeros(len(got), bool)
-    for i in range(len(languages)):
-        landmark[np.flatnonzero(labels == i)[: s.landmarks]] = True
-    return kernel_ridge(seen, labels, np.flatnonzero(landmark), s, languages)
+    marks = max(s.least, min(s.landmarks, s.marks // len(languages)))
+    landmark = np.concatenate([np.flatnonzero(labels == i)[:marks] for i in range(len(languages))])
+    return kernel_ridge(seen, labels, landmark, s, languages)
 
 
 def scores(texts: list[str], model: Model) -> np.ndarray:

@@ -2,7 +2,13 @@
 
 parse() turns HTML into an array of (position, kind, text, reference, caption). items() explodes it, resolve()
 joins what is known of each payload by digest, and assemble() puts the items of a row back in order, so that
-positions and captions stay with their payloads. store() and read_back() keep payloads as binary PPM images.
+positions and captions stay with their payloads. store() and read_back() keep payloads as binary PPM images, and illustrated()
+makes pages of whole texts that refer to them; payload_rows() goes all the way.
+
+Null and empty HTML has no items; null and empty texts have an empty payload, padded like others, and a page with its figure
+only. Equal texts have one digest, and repeated rows are rows of their own. Items with one position in a row keep the order of
+their other fields. Very long texts are one item and one payload. Empty tables give empty results. Columns with the names that
+a function adds give way; others stay.
 """
 
 from __future__ import annotations
@@ -53,7 +59,7 @@ class _Reader(HTMLParser):
         if tag == "figcaption":
             self.caption = []
         if tag in _MEDIA and not self.skip:
-            at = dict(attrs)
+            at = dict(attrs)  # of a repeated attribute the last
             if ref := at.get("src") or at.get("data"):
                 self.flush()
                 self.open.append(len(self.out))
@@ -152,32 +158,53 @@ def feature(payload: bytes) -> str:
     return f"{WIDTH}x{len(pixels)} rgb8 mean={','.join(f'{x:.3f}' for x in mean)} sd={','.join(f'{x:.3f}' for x in deviation)} dhash={bits:016x}"
 
 
-def store(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Writes every text (null: empty) as a payload to the shared folder, and the page that refers to it.
+def _payload(text: str | None) -> tuple[int, str, bytes]:
+    data = (text or "").encode()
+    blob = encode(data)[1]
+    return len(data), hashlib.sha256(blob).hexdigest(), blob
 
-    Returns the written table: the columns of docs but the text, page (HTML with one figure), digest, blob.
-    """
-    kept = [c for c in docs.columns if c not in (text, "page", "digest", "blob")]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "page string, digest string, blob binary"])
+
+def store(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Writes every text (null: empty) as a payload to the shared folder: the columns of docs but the text, digest, blob."""
+    kept = [c for c in docs.columns if c not in (text, "digest", "blob")]
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "digest string, blob binary"])
 
     def make():
         def each(rows: dict[str, list]) -> dict[str, list]:
-            out: dict[str, list] = {c: rows[c] for c in kept} | {"page": [], "digest": [], "blob": []}
-            for x in rows[text]:
-                data = (x or "").encode()
-                _, blob = encode(data)
-                digest = hashlib.sha256(blob).hexdigest()
-                title = escape(" ".join((x or "")[:200].split())[:80])
-                out["page"].append(f'<article><p>{title}</p><figure><img src="media:{digest}"><figcaption>{len(data)} bytes</figcaption></figure></article>')
-                out["digest"].append(digest)
-                out["blob"].append(blob)
-            return out
+            _, digest, blob = map(list, zip(*map(_payload, rows[text]), strict=True))
+            return {c: rows[c] for c in kept} | {"digest": digest, "blob": blob}
 
         return each
 
     return spill(map_slices(docs.select(*kept, text), make, schema), "media")
 
 
+def illustrated(docs: DataFrame, text: str = "text") -> DataFrame:
+    """A page (HTML) for each text, in its place: its first line, a figure that refers to the payload, and all other lines."""
+    kept = [c for c in docs.columns if c not in (text, "page")]
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "page string"])
+
+    def page(x: str | None) -> str:
+        n, digest, _ = _payload(x)
+        head, _, rest = (x or "").partition("\n")
+        return f'<article><p>{escape(head)}</p><figure><img src="media:{digest}"><figcaption>{n} bytes</figcaption></figure><p>{escape(rest)}</p></article>'
+
+    return map_slices(docs.select(*kept, text), lambda: lambda rows: {c: rows[c] for c in kept} | {"page": list(map(page, rows[text]))}, schema)
+
+
+def payload_rows(docs: DataFrame, text: str = "text") -> DataFrame:
+    """For each row of docs (doc_id and the text): its page's sequence, resolved and put together again, as n_items, text_chars (of all
+    its text, without white space), and what was read back of its medium, with its position and caption."""
+    docs = docs.select("doc_id", F.col(text).alias("text"))
+    media = read_back(store(docs))
+    found = items(parse(illustrated(docs.withColumn("row", F.monotonically_increasing_id())), "page"))
+    found = found.withColumn("item_chars", F.length(F.regexp_replace("item_text", r"\s", ""))).drop("item_text", "item_reference")  # texts aren't moved
+    whole = assemble(resolve(found, media), ["row", "doc_id"])
+    one = F.filter("items", lambda x: x["item_digest"].isNotNull())[0]
+    chars = F.aggregate("items", F.lit(0).cast("long"), lambda n, x: n + F.coalesce(x["item_chars"], F.lit(0)))
+    return whole.select("doc_id", *[one[c].alias(c) for c in media.columns if c != "digest"], one["item_position"].alias("position"), one["item_caption"].alias("caption"), F.size("items").alias("n_items"), chars.alias("text_chars"))
+
+
 def read_back(stored: DataFrame) -> DataFrame:
     """One row for each digest of a store() table: what its stored bytes hold."""
     schema = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

@@ -1,15 +1,18 @@
 """Mixture-controlled packing of token ids into sequences of fixed length.
 
-Each source is a queue. Deficit round-robin serves the queue whose deficit is largest: token c of a queue that gives q
-tokens is due at (c + 1/2) / q, and the stream takes tokens in the order in which they are due. So any stretch of the
+Each source is a queue. Deficit round-robin serves the queue whose deficit is largest: token c of a queue with weight w is due
+at (c + 1/2) / w, and the stream takes tokens in the order in which they are due. So any stretch of the
 stream, and every window, holds each source at its target share within a few tokens at most, and what rounding leaves
 over carries to the next window. How many tokens each queue has given before a window has a closed form but for a few
 tokens, so a document's pieces follow from its place in its queue, and deficits carry across windows and partitions
-without a walk through the windows. A phase ends when a queue runs empty; the others then share by their weights. By
-default shares are those of the tokens themselves, so that all queues end together.
+without a walk through the windows. Once a queue is empty the others share by their weights. By
+default weights are the numbers of tokens themselves, so that all queues end together. Queues without a weight come last.
 
 What remains at the end is cut into sequences whose lengths are powers of two, so nothing is padded.
-Null texts are empty; every row gives at least its end token. Null sources are a source of their own.
+Null texts are empty; every row gives at least its end token. Null sources are a source of their own. Repeated rows are
+documents of their own; tokens that are due at once go by the order of sources. A very long text is tokenised in parts, and its
+pieces are as many as the windows it spans. An empty table gives an empty result. Columns other than doc_id, the source and the
+text are not looked at. The driver holds two numbers for each source, whatever their number, and sends them to the tasks.
 """
 
 from __future__ import annotations
@@ -17,9 +20,11 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Sequence
-from dataclasses import dataclass
 from fractions import Fraction
+from heapq import heapify, heappop, heappush
+from math import lcm
 
 import numpy as np
 import regex
@@ -188,66 +193,83 @@ _FOLDED = _TABLE.copy()
 _FOLDED[:, 65:91] = _TABLE[:, 97:123]
 
 
-@dataclass(frozen=True)
-class Phase:
-    start: int  # tokens in earlier phases
-    length: int
-    give: tuple[int, ...]  # tokens of each queue in this phase
-    taken: tuple[int, ...]  # and in earlier ones
-
-
-def phases(totals: Sequence[int], weights: Sequence[float] | None = None) -> list[Phase]:
-    """How many tokens each queue gives between two moments at which one runs empty."""
-    left, out, at = list(totals), [], 0
-    w = [Fraction(x) for x in (weights or totals)]
-    while any(left):
-        on = [i for i, x in enumerate(left) if x and w[i] > 0] or [i for i, x in enumerate(left) if x]
-        if all(w[i] <= 0 for i in on):
-            w = [Fraction(x) for x in left]
-        reach = min(left[i] / w[i] for i in on)
-        give = [min(left[i], int(w[i] * reach)) if i in on else 0 for i in range(len(left))]
-        out.append(Phase(at, sum(give), tuple(give), tuple(t - x for t, x in zip(totals, left, strict=True))))
-        at += sum(give)
-        left = [x - g for x, g in zip(left, give, strict=True)]
-    return out
-
-
 class Plan:
-    """Where the tokens of the queues go."""
-
-    def __init__(self, phases: list[Phase], total: int, capacity: int) -> None:
-        self.phases, self.total, self.capacity = phases, total, capacity
+    """Where the tokens of the queues go. totals: tokens of each queue; weights: None for these, or a number for each."""
+
+    #: Numbers kept for windows already asked for.
+    ROOM = 2_000_000
+
+    def __init__(self, totals: Sequence[int], weights: Sequence[float] | None, capacity: int) -> None:
+        self.totals, self.total, self.capacity = list(totals), sum(totals), capacity
+        w = [Fraction(x) for x in (weights or totals)]
+        one = lcm(*{x.denominator for x in w}) if w else 1
+        self.late = [x <= 0 for x in w]
+        self.weights = [int(x * one) if x > 0 else n for x, n in zip(w, totals, strict=True)]
+        # for each of the two rounds: when queues run empty, with the tokens of the empty ones, the weight of the others, and the place
+        self.rounds = []
+        for late in (False, True):
+            on = sorted((Fraction(n, self.weights[i]), n, self.weights[i]) for i, n in enumerate(totals) if n and self.late[i] == late)
+            gone, rate, places = 0, sum(r for _, _, r in on), []
+            for end, n, r in on:
+                places.append((gone + rate * end, gone, rate))
+                gone, rate = gone + n, rate - r
+            self.rounds.append((places, sum(n for _, n, _ in on)))
+        self.ends = [[Fraction(n, self.weights[i]) for i, n in enumerate(totals) if n and self.late[i] == late] for late in (False, True)]
+        for e in self.ends:
+            e.sort()
         self.cuts: dict[int, list[int]] = {}
 
+    def _at(self, y: int, late: bool) -> tuple[int, int]:
+        """The virtual time at which so many tokens of a round are given, as numerator and denominator, but for rounding."""
+        places = self.rounds[late][0]
+        _, gone, rate = places[min(bisect_left(places, y, key=lambda p: p[0]), len(places) - 1)]
+        return y - gone, rate
+
     def given(self, x: int) -> list[int]:
         """How many tokens of each queue are among the first x of the stream."""
         if x in self.cuts:
             return self.cuts[x]
-        if len(self.cuts) > 20_000:
+        if len(self.cuts) * max(1, len(self.totals)) > self.ROOM:
             self.cuts.clear()
-        p = next((p for p in self.phases if x <= p.start + p.length), None)
-        if p is None:
-            return [0] * (len(self.phases[0].give) if self.phases else 0)
-        y, length = x - p.start, p.length
-        c = [(2 * q * y + length) // (2 * length) for q in p.give]
-        # exact ranks: the few tokens about the cut change places until those before it are due first
-        last = [((2 * n - 1) << 64) // q if n else -1 for n, q in zip(c, p.give, strict=True)]
-        new = [((2 * n + 1) << 64) // q if n < q else 1 << 80 for n, q in zip(c, p.give, strict=True)]
-        over = sum(c) - y
-        while True:
-            drop = max(range(len(c)), key=lambda t: (last[t], t)) if over > 0 or over == 0 else None
-            take = min(range(len(c)), key=lambda t: (new[t], t)) if over <= 0 else None
-            if over == 0 and (last[drop], drop) < (new[take], take):
-                break
-            for t, step in ((drop, -1), (take, 1)):
-                if t is not None:
-                    c[t] += step
-                    over += step
-                    q = p.give[t]
-                    last[t] = ((2 * c[t] - 1) << 64) // q if c[t] else -1
-                    new[t] = ((2 * c[t] + 1) << 64) // q if c[t] < q else 1 << 80
-        self.cuts[x] = out = [n + b for n, b in zip(c, p.taken, strict=True)]
-        return out
+        early = self.rounds[0][1]
+        late = x > early
+        y, c = x - early if late else x, [0] * len(self.totals)
+        if late:
+            c = [0 if z else n for n, z in zip(self.totals, self.late, strict=True)]
+        if y:
+            on = [i for i, z in enumerate(self.late) if z == late]
+            a, b = self._at(y, late)
+            for i in on:
+                c[i] = min(self.totals[i], (2 * self.weights[i] * a + b) // (2 * b))
+            # exact ranks: the few tokens about the cut change places until those before it are due first
+            due = lambda i, n: ((2 * n + 1) << 64) // self.weights[i]
+            last = [(-due(i, c[i] - 1), -i) for i in on if c[i]]
+            new = [(due(i, c[i]), i) for i in on if c[i] < self.totals[i]]
+            heapify(last)
+            heapify(new)
+            over = sum(c[i] for i in on) - y
+            while over or (last and new and (-last[0][0], -last[0][1]) > new[0]):
+                if over >= 0:  # the last token goes back
+                    i = -heappop(last)[1]
+                    c[i] -= 1
+                    # the token in the other heap that followed it is no longer the next
+                    new = [z for z in new if z[1] != i]
+                    new.append((due(i, c[i]), i))
+                    heapify(new)
+                    if c[i]:
+                        heappush(last, (-due(i, c[i] - 1), -i))
+                    over -= 1
+                else:
+                    i = heappop(new)[1]
+                    c[i] += 1
+                    last = [z for z in last if z[1] != -i]
+                    last.append((-due(i, c[i] - 1), -i))
+                    heapify(last)
+                    if c[i] < self.totals[i]:
+                        heappush(new, (due(i, c[i]), i))
+                    over += 1
+        self.cuts[x] = c
+        return c
 
     def window(self, x: int) -> tuple[int, int, int]:
         """Number, start and end of the sequence that holds token x of all."""
@@ -264,8 +286,12 @@ class Plan:
     def pieces(self, queue: int, first: int, n: int) -> list[tuple[int, int, int, int]]:
         """(start in the document, length, sequence, offset) for the n tokens of a queue from number first on."""
         out, u, end = [], first, first + n
-        p = next(p for p in self.phases if p.taken[queue] <= first < p.taken[queue] + p.give[queue])
-        at = p.start + min(p.length - 1, (first - p.taken[queue]) * p.length // p.give[queue])
+        late, w = self.late[queue], self.weights[queue]
+        places, early = self.rounds[late][0], self.rounds[0][1]
+        when = Fraction(2 * first + 1, 2 * w)
+        k = self.ends[late]
+        _, gone, rate = places[min(bisect_left(k, when), len(places) - 1)]
+        at = min(self.total - 1, max(0, int(gone + rate * when)) + (early if late else 0))
         while u < end:
             number, lo, hi = self.window(at)
             before, after = self.given(lo), self.given(hi)
@@ -280,17 +306,14 @@ class Plan:
         return out
 
 
-def pack(docs: DataFrame, path: str, vocabulary: int, capacity: int = 2048, end: int = 1, weights: dict | None = None, text: str = "text", source: str = "source", max_queues: int = 4096, folded: bool = True) -> DataFrame:
+def pack(docs: DataFrame, path: str, vocabulary: int, capacity: int = 2048, end: int = 1, weights: dict | None = None, text: str = "text", source: str = "source", folded: bool = True) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
-    weights: tokens of each source for one of another; sources that it lacks come last. More than max_queues
-    sources share queues by hash, which bounds the plan that the driver makes. Ids are stored as 16 bits if they fit.
+    weights: tokens of each source for one of another; sources that it lacks come last. Ids are stored as 16 bits if they fit.
     folded: the tokenizer at path lowers case and splits by PARTS, as the 49k word tokenizer does.
     """
     wide = "<u2" if max(vocabulary, end + 1) <= 1 << 16 else "<u4"
-    sources = docs.select(source).distinct().count()
-    queue = F.col(source).cast("string") if sources <= max_queues else F.pmod(F.xxhash64(source), F.lit(max_queues)).cast("string")
-    rows = docs.select("doc_id", F.col(source).cast("string").alias("source"), queue.alias("queue"), F.col(text).alias("text"))
+    rows = docs.select("doc_id", F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
 
     def tokenise():
         chunk, seen = TaskContext.get().partitionId(), {}
@@ -300,32 +323,32 @@ def pack(docs: DataFrame, path: str, vocabulary: int, capacity: int = 2048, end:
             ids = encoder.encode(r["text"], end)
             n = [len(x) // int(wide[-1]) for x in ids]
             base = []
-            for q, x in zip(r["queue"], n, strict=True):
+            for q, x in zip(r["source"], n, strict=True):
                 base.append(seen.get(q, 0))
                 seen[q] = base[-1] + x
-            return {"doc_id": r["doc_id"], "source": r["source"], "queue": r["queue"], "chunk": [chunk] * len(n), "base": base, "n": n, "ids": ids}
+            return {"doc_id": r["doc_id"], "source": r["source"], "chunk": [chunk] * len(n), "base": base, "n": n, "ids": ids}
 
         return each
 
-    stored = spill(map_slices(rows, tokenise, "doc_id long, source string, queue string, chunk int, base long, n long, ids binary", rows=1024), "pack-ids")
-    sums = spill(stored.groupBy("chunk", "queue").agg(F.sum("n").alias("n")), "pack-sums")
-    before = Window.partitionBy("queue").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = sorted(((r[0], int(r[1])) for r in sums.groupBy("queue").agg(F.sum("n")).collect()), key=lambda x: (x[0] is None, x[0] or ""))  # at most max_queues
+    stored = spill(map_slices(rows, tokenise, "doc_id long, source string, chunk int, base long, n long, ids binary", rows=1024), "pack-ids")
+    sums = spill(stored.groupBy("chunk", "source").agg(F.sum("n").alias("n")), "pack-sums")
+    before = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = sorted(((r[0], int(r[1])) for r in sums.groupBy("source").agg(F.sum("n")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
     number = {q: i for i, (q, _) in enumerate(totals)}
     counts = [n for _, n in totals]
-    plan = Plan(phases(counts, [weights.get(q, 0) for q, _ in totals] if weights else None), sum(counts), capacity)
-    starts = spill(sums.select(F.col("chunk").alias("chunk_"), F.col("queue").alias("queue_"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")), "pack-starts")
-    placed = stored.join(starts, (stored.chunk == starts.chunk_) & stored.queue.eqNullSafe(starts.queue_)).select("doc_id", "source", "queue", (F.col("first") + F.col("base")).alias("first"), "n", "ids")
-    sent = docs.sparkSession.sparkContext.broadcast((plan, number))  # at most max_queues numbers a phase
+    plan = Plan(counts, [weights.get(q, 0) for q, _ in totals] if weights else None, capacity)
+    starts = spill(sums.select(F.col("chunk").alias("chunk_"), F.col("source").alias("source_"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")), "pack-starts")
+    placed = stored.join(starts, (stored.chunk == starts.chunk_) & stored.source.eqNullSafe(starts.source_)).select("doc_id", "source", (F.col("first") + F.col("base")).alias("first"), "n", "ids")
+    sent = docs.sparkSession.sparkContext.broadcast((plan, number))  # two numbers a source
 
     def cut():
         plan, number = sent.value
 
         def each(r: dict[str, list]) -> dict[str, list]:
             out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")}
-            for doc, src, q, first, n, ids in zip(*(r[c] for c in ("doc_id", "source", "queue", "first", "n", "ids")), strict=True):
+            for doc, src, first, n, ids in zip(*(r[c] for c in ("doc_id", "source", "first", "n", "ids")), strict=True):
                 data = memoryview(np.frombuffer(ids, wide).astype("<u4").tobytes())
-                got = plan.pieces(number[q], first, n)
+                got = plan.pieces(number[src], first, n)
                 starts, lengths, numbers, offsets = zip(*got, strict=True)
                 out["doc_id"] += [doc] * len(got)
                 out["source"] += [src] * len(got)

@@ -6,8 +6,14 @@ keyed Feistel permutation of its own format: a card stays a card with a right ch
 values get equal pseudonyms in all documents, different values of a format different ones. Numbers that fail
 validation stay as they are.
 
-Round functions take SHA-256 of the key, format, round and other half. Null texts stay null; texts without a
-candidate are returned unchanged.
+A day has one pseudonym however it is written. Days up to the 12th go to such days, later ones to later ones: so a date whose
+order is US only (its day is above 12) gets one that is US only, and no two dates of a format get the same.
+
+Round functions take SHA-256 of the key, format, round and other half. The key is part of the plan: where plans or event logs
+are kept, set spark.sql.redaction.string.regex to hide it. Null texts stay null; empty texts and texts without a
+candidate are returned unchanged. Repeated rows and equal values in them are treated alike. A very long text is one row, whose
+matches are replaced one by one. An empty table gives an empty result. Columns named n_found and n_replaced are replaced; others
+stay, but for _nf_found and _nf_new, which raise.
 """
 
 from __future__ import annotations
@@ -28,8 +34,11 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without a match of this has nothing to find.
 HINT = "[0-9@]|[a-fA-F]{32}"
-#: Dates lie in the 400 years from this day on, so that every day of a range of 27 * 5411 stands for a date.
-FIRST_DAY, DAYS = "1700-01-01", (27, 5411)
+#: Dates lie in the 400 years from this day on, so that every day of a range of 27 * 5411 stands for a date. Among them are
+#: 240 * 240 days up to the 12th of a month.
+FIRST_DAY, DAYS, EARLY = "1700-01-01", (27, 5411), (240, 240)
+#: Steps of a walk to a day after the 12th: one in 10 ** 25 does not end.
+WALK = 62
 
 
 def _prf(key: Column, kind: str, turn: Column, half: Column) -> Column:
@@ -122,10 +131,23 @@ def _date(m: Column, key: Column) -> Column:
     first = F.lit(FIRST_DAY).cast("date")
     at = F.date_diff(parsed, first).cast("long")
     inside = (at >= 0) & (at < DAYS[0] * DAYS[1])
-    out = pair(F.floor(at / DAYS[1]), at % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]), key, "date")
-    day = F.date_add(first, (out["l"] * DAYS[1] + out["r"]).cast("int"))
+    # up to the 12th: months from the first and the day, as one number
+    months = (F.year(parsed) - int(FIRST_DAY[:4])) * 12 + F.month(parsed) - 1
+    number = months * 12 + F.dayofmonth(parsed) - 1
+    low = pair(F.floor(number / EARLY[1]), number % EARLY[1], F.lit(EARLY[0]), F.lit(EARLY[1]), key, "early date")
+    low = low["l"] * EARLY[1] + low["r"]
+    early = F.date_add(F.add_months(first, F.floor(low / 12).cast("int")), (low % 12).cast("int"))
+
+    # later: the permutation of all days, again and again until the day is a later one
+    def step(x: Column) -> Column:
+        out = pair(F.floor(x / DAYS[1]), x % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]), key, "date")
+        return out["l"] * DAYS[1] + out["r"]
+
+    day_of = lambda x: F.date_add(first, x.cast("int"))
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), step(at), lambda x, i: F.when(F.dayofmonth(day_of(x)) > 12, x).otherwise(step(x)))
+    late = F.when(F.dayofmonth(day_of(walk)) > 12, day_of(walk)).otherwise(F.raise_error(F.lit("the walk did not end")).cast("date"))
+    day = F.when(F.dayofmonth(parsed) <= 12, early).otherwise(late)
     other = F.concat(F.date_format(day, "dd"), sep, F.date_format(day, "MM"), sep, F.date_format(day, "yyyy"))
-    # a day above 12 can't be taken for a month: such US dates stay in their order
     american = F.concat(F.date_format(day, "MM"), sep, F.date_format(day, "dd"), sep, F.date_format(day, "yyyy"))
     return F.when(inside, F.when(iso, F.date_format(day, "yyyy-MM-dd")).when(us, american).otherwise(other))
 

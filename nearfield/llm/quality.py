@@ -5,7 +5,11 @@ over hashed character n-gram presence and shape statistics minimises the non-neg
     prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)])
 with the sigmoid loss. The class prior is estimated: with a first model's outputs it is the smallest ratio of the
 shares of unlabelled and held-back positive rows above a cut. Scores are then calibrated on labelled training rows.
-Every sample is bounded by Settings; all rows are scored by whole text. Empty and null texts count as empty.
+Every sample is bounded by Settings; all rows are scored by whole text. Null texts count as empty, and empty texts are scored
+like others. A doc_id that repeats in labels is learned from once for each label, with one of its texts (the one whose features
+sort first); repeated rows are scored alike. Very long texts are sets of n-grams and statistics like others. Without labelled
+positives, or with empty tables, there is no model and all texts score 1/2. Columns named score and predicted are replaced; others
+but the text stay.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ class Settings:
     positives: int = 2400
     unlabelled: int = 4800
     negatives: int = 800
+    #: The estimate is an upper bound, which few rows leave above 1; a prior of 1 would say that nothing is negative, and teach nothing.
+    most_prior: float = 0.95
     epochs: int = 60
     batch: int = 512
     rate: float = 0.01
@@ -111,14 +117,15 @@ def _minimise(p: np.ndarray, u: np.ndarray, prior: float, s: Settings) -> np.nda
     return w
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Outputs of held-back positives and of unlabelled rows; the share of positives among the latter, from the best cut."""
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, most: float = 0.95) -> float:
+    """Outputs of held-back positives and of unlabelled rows; the share of positives among the latter, from the best cut, and at most
+    `most`."""
     best = 1.0
     n_p, n_u = len(positive), len(unlabelled)
     for cut in np.quantile(positive, np.linspace(0, 0.9, 46)):
         share_p, share_u = (positive >= cut).mean(), (unlabelled >= cut).mean()
         best = min(best, (share_u + np.sqrt(np.log(20) / (2 * n_u))) / max(1e-9, share_p - np.sqrt(np.log(20) / (2 * n_p)))) if share_p > 0.1 else best
-    return float(min(0.95, max(0.05, best)))
+    return float(min(most, best))
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, negative: np.ndarray, s: Settings) -> Model:
@@ -139,7 +146,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, negative: np.ndarray, s: S
     cut = max(1, len(p) * 7 // 10)
     back = p[cut:] if len(p) > cut else p
     w = _minimise(p[:cut], u, 0.7, s)
-    prior = estimate_prior(back @ w, u @ w)
+    prior = estimate_prior(back @ w, u @ w, s.most_prior)
     w = _minimise(p, u, prior, s)
     slope, offset = 1.0, 0.85  # without labelled negatives: the boundary scores 0.7
     if len(negative) >= 5:
@@ -164,6 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
         return rows.filter(F.col("u") < most / max(1, n))
 
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("quality").alias("kind"), unit_hash("doc_id", seed="quality").alias("u"))
+    known = known.distinct()
     counts = {r[0]: r[1] for r in known.groupBy("kind").count().collect()}
     if not counts.get(1):
         return None
@@ -171,8 +179,10 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
     texts = docs.filter(~held_out()).select("doc_id", "text")
     free = texts.withColumn("u", unit_hash("doc_id", "text", seed="unlabelled"))
     free = sample(free, texts.count(), s.unlabelled).select(F.lit(2).alias("kind"), "u", "text")
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("kind", "u", "text").union(free)
-    got = sorted(map_slices(rows, make, "kind int, u double, x binary").collect(), key=lambda r: (r.kind, r.u, bytes(r.x)))
+    # drawn by hash of the id, so at most about positives + negatives ids once each is one row
+    rows = texts.join(F.broadcast(chosen.distinct()), "doc_id").select("kind", "u", "text").union(free)
+    drawn = map_slices(rows, make, "kind int, u double, x binary").groupBy("kind", "u").agg(F.min("x").alias("x"))
+    got = sorted(drawn.collect(), key=lambda r: (r.kind, r.u, bytes(r.x)))
 
     def of(kind: int) -> np.ndarray:
         rows = [r.x for r in got if r.kind == kind]

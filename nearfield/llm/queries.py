@@ -11,12 +11,7 @@ from nearfield.llm.grams import held_out
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = media.store(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    found = media.items(media.parse(stored.select("doc_id", "page"), "page")).filter("item_digest is not null")
-    return media.resolve(found, media.read_back(stored)).select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
-        F.col("item_position").alias("position"), F.col("item_caption").alias("caption"),
-    )
+    return media.payload_rows(table(spark, sf_dir, "documents"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +23,7 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """Sequences of 2048 with the 49k word tokenizer, each source at its share of the tokens."""
+    """Sequences of 2048 with the 49k word tokenizer, each source at its share of the tokens, the one mixture that lasts to the end."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), vocabulary=49_408, capacity=2048, end=1)
