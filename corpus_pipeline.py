@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, in stages that are written and read again.
 
 Each stage takes (spark, docs, sf_dir), where docs is what the stage before kept, and returns the columns of
-documents; the last returns packed pieces.
+documents; the last returns packed pieces. What each does with nulls, empty and very long texts, ties, repeated rows, empty tables and
+further columns is said where its operator is defined; a stage of an empty table is empty.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes recurring lines, and documents of which nothing is left."""
-    return linededup.filtered(docs)
+    """Removes recurring lines but in one document, and documents of which nothing is left."""
+    # one document keeps a recurring line, as the next stage keeps one of each group of near copies
+    return linededup.filtered(docs, linededup.Settings(keep_first=True))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
