@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -50,7 +49,7 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "embeddings").filter("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    return read(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
 
 
 def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -83,7 +82,7 @@ def distance_sql(metric: str, a: str, b: str) -> str:
 
 BASE = """base AS (SELECT vec_id AS id, embedding AS vector, label, CASE WHEN vec_id % 11 <> 0 THEN [label, (vec_id % 7)::INTEGER] END AS tags,
  'c' || label AS cat, 'g' || (label % 2) || '/l' || label AS path, 'm' || (vec_id % 3) || '/n' || (vec_id % 6) AS path_b, label || '-' || vec_id AS extra FROM embeddings),
-q AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id < 5)"""
+q AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id % 100 = 0)"""
 
 
 def scores_sql(metric: str = "l2", rows: str = "base", where: str = "TRUE", vector: str = "vector") -> str:
@@ -292,17 +291,17 @@ def knn_after_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(i.search(SearchRequest(q)))
 
 
-@query(knn_sql(rows="u", more=", u AS (SELECT id, CASE WHEN id >= 100 AND id < 110 THEN (SELECT q FROM q WHERE qid = 2) ELSE vector END AS vector FROM base)"))
+@query(knn_sql(rows="u", more=", u AS (SELECT id, CASE WHEN id >= 100 AND id < 110 THEN (SELECT q FROM q WHERE qid = 100) ELSE vector END AS vector FROM base)"))
 def update_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, q = both(spark, sf_dir)
-    new = q.filter("qid = 2").select(F.col("q").alias("vector"), F.explode(F.sequence(F.lit(100).cast("long"), F.lit(109).cast("long"))).alias("id"))
+    new = q.filter("qid = 100").select(F.col("q").alias("vector"), F.explode(F.sequence(F.lit(100).cast("long"), F.lit(109).cast("long"))).alias("id"))
     return rounded(search.knn(mutate.update(b, new, ["vector"]), q, 10))
 
 
-@query(knn_sql(rows="u", more=", u AS (SELECT CASE WHEN id = 3 THEN 777777 ELSE id END AS id, vector FROM base)"))
+@query(knn_sql(rows="u", more=", u AS (SELECT CASE WHEN id = 100 THEN 777777 ELSE id END AS id, vector FROM base)"))
 def update_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, q = both(spark, sf_dir)
-    return rounded(search.knn(mutate.update_id(b, 3, 777_777), q, 10))
+    return rounded(search.knn(mutate.update_id(b, 100, 777_777), q, 10))
 
 
 @query(f"WITH {BASE} SELECT id, CASE WHEN id % 50 = 0 THEN 99 ELSE label END AS label, CASE WHEN id % 50 = 0 THEN 'new' ELSE cat END AS cat FROM base")
@@ -335,11 +334,15 @@ def apply_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 # sparse
 
 _TOKENS = """t AS (SELECT doc_id AS id, term, count(*)::DOUBLE AS weight FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM documents) WHERE length(term) >= 2 GROUP BY ALL),
-sq AS (SELECT item_id AS qid, term, count(*)::DOUBLE AS weight FROM (SELECT item_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM benchmark WHERE item_id < 5) WHERE length(term) >= 2 GROUP BY ALL)"""
+sq AS (SELECT item_id AS qid, term, count(*)::DOUBLE AS weight FROM (SELECT item_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM benchmark WHERE item_id % 100 = 0) WHERE length(term) >= 2 GROUP BY ALL)"""
 
 
-def terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return sparse.tokens(read(spark, sf_dir, "documents"), "doc_id"), sparse.tokens(read(spark, sf_dir, "benchmark").filter("item_id < 5"), "item_id", name="qid")
+def terms(spark: SparkSession, sf_dir: str, asked_only: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Postings and queries; asked_only: postings of the queries' terms alone, for what needs no others."""
+    q = sparse.tokens(read(spark, sf_dir, "benchmark").filter("item_id % 100 = 0"), "item_id", name="qid")
+    if asked_only:
+        q = store.checkpointed(q)
+    return sparse.tokens(read(spark, sf_dir, "documents"), "doc_id", only=q if asked_only else None), q
 
 
 def sparse_sql(docs: str = "t", queries: str = "sq", more: str = "", cut: str = "TRUE", k: int | None = 10, digits: int = 6) -> str:
@@ -352,12 +355,12 @@ _QPRUNED = ", qp AS (SELECT qid, term, weight FROM (SELECT *, row_number() OVER
 
 @query(sparse_sql())
 def sparse_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(sparse.knn(*terms(spark, sf_dir), 10))
+    return rounded(sparse.knn(*terms(spark, sf_dir, asked_only=True), 10))
 
 
 @query(sparse_sql(cut="d <= -60.0", k=None))
 def sparse_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(sparse.range_search(*terms(spark, sf_dir), -60.0))
+    return rounded(sparse.range_search(*terms(spark, sf_dir, asked_only=True), -60.0))
 
 
 @query(sparse_sql(docs="p", more=_PRUNED))
@@ -368,13 +371,13 @@ def sparse_doc_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sparse_sql(queries="qp", more=_QPRUNED))
 def sparse_query_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, q = terms(spark, sf_dir)
+    t, q = terms(spark, sf_dir, asked_only=True)
     return rounded(sparse.knn(t, sparse.prune_queries(q, 0.5), 10))
 
 
 @query(sparse_sql(docs="tp", more=", tp AS (SELECT id, term, weight FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY weight DESC, id) AS r, count(*) OVER (PARTITION BY term) AS n FROM t) WHERE r <= greatest(1, floor(0.5::DOUBLE * n)))"))
 def sparse_term_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, q = terms(spark, sf_dir)
+    t, q = terms(spark, sf_dir, asked_only=True)
     return rounded(sparse.knn(sparse.prune_terms(t, 0.5), q, 10))
 
 
@@ -395,9 +398,22 @@ def sparse_sq8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(search.ranked(scores, 10).select("qid", "rank", "id", "distance"), digits=4)
 
 
-@query(f"WITH {_TOKENS} SELECT \"window\", term, id, rank FROM (SELECT id // 100 AS \"window\", term, id, row_number() OVER (PARTITION BY id // 100, term ORDER BY weight DESC, id) AS rank FROM t) WHERE rank <= 3")
+@query(sparse_sql(docs="(SELECT * FROM t WHERE id % 10 NOT IN (3, 7))"))
+def sparse_add_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of postings to which documents are added, some twice, and from which some are removed, for good or by marks."""
+    t, q = terms(spark, sf_dir, asked_only=True)
+    t = store.checkpointed(t)
+    i = index_module.create("sindi", '{"dtype": "sparse", "metric_type": "ip", "representation": "sparse"}')
+    i.build(t.filter("id % 2 = 0"))
+    i.add(t.filter("id % 3 = 0 or id % 2 = 1"))
+    i.remove(t.filter("id % 10 = 3").select("id").distinct(), force=True)
+    i.remove(t.filter("id % 10 = 7").select("id").distinct())
+    return rounded(i.search(SearchRequest(q)))
+
+
+@query(f"WITH {_TOKENS} SELECT \"window\", term, id, rank FROM (SELECT id // 100 AS \"window\", term, id, row_number() OVER (PARTITION BY id // 100, term ORDER BY weight DESC, id) AS rank FROM t)")
 def sparse_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sparse.posting_rank(terms(spark, sf_dir)[0], 100).filter("rank <= 3")
+    rows = sparse.posting_rank(terms(spark, sf_dir)[0], 100)
     return rows.select("window", "term", "id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -408,7 +424,7 @@ def posting_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_TOKENS} SELECT a.qid, a.term, count(b.id) AS hits FROM sq a LEFT JOIN t b USING (term) GROUP BY ALL")
 def sparse_term_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, q = terms(spark, sf_dir)
+    t, q = terms(spark, sf_dir, asked_only=True)
     return q.join(t.select("term", "id"), "term", "left").groupBy("qid", "term").agg(F.count("id").alias("hits"))
 
 
@@ -421,13 +437,13 @@ def sparse_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
 # several vectors a document
 
 _MULTI = f"""d AS (SELECT vec_id // 4 AS id, list(embedding ORDER BY vec_id) AS vectors FROM embeddings GROUP BY ALL),
-m AS (SELECT a.id AS qid, b.id, list_sum(list_transform(a.vectors, lambda t: list_min(list_transform(b.vectors, lambda u: 1.0 - {dot_sql('t', 'u')})))) AS d FROM d a, d b WHERE a.id < 3)"""
+m AS (SELECT a.id AS qid, b.id, list_sum(list_transform(a.vectors, lambda t: list_min(list_transform(b.vectors, lambda u: 1.0 - {dot_sql('t', 'u')})))) AS d FROM d a, d b WHERE a.id % 100 = 0)"""
 
 
 def documents_of_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     tokens = read(spark, sf_dir, "embeddings").select(F.expr("vec_id div 4").alias("id"), F.col("vec_id").alias("at"), F.col("embedding").alias("vector"))
     docs = multivector.gather(tokens)
-    return docs, docs.filter("id < 3").select(F.col("id").alias("qid"), "vectors")
+    return docs, docs.filter("id % 100 = 0").select(F.col("id").alias("qid"), "vectors")
 
 
 @query(f"WITH {_MULTI} {top_sql(10, frame='m')}")
@@ -446,7 +462,7 @@ _CENTROIDS = ", c AS (SELECT bucket_id, list(x ORDER BY pos) AS centroid FROM (S
 @query(
     f"WITH {BASE}{_CENTROIDS}, {_MULTI.replace('m AS', 'exact AS')}, tok AS (SELECT vec_id // 4 AS id, vec_id, embedding AS v FROM embeddings), "
     f"mem AS (SELECT DISTINCT id, bucket_id FROM (SELECT id, vec_id, bucket_id, row_number() OVER (PARTITION BY vec_id ORDER BY 1.0 - {dot_sql('v', 'centroid')}, bucket_id) AS r FROM tok, c) WHERE r = 1), "
-    f"near AS (SELECT qid, vec_id, bucket_id, dd FROM (SELECT id AS qid, vec_id, bucket_id, dd, row_number() OVER (PARTITION BY vec_id ORDER BY dd, bucket_id) AS r FROM (SELECT id, vec_id, bucket_id, 1.0 - {dot_sql('v', 'centroid')} AS dd FROM tok, c WHERE id < 3)) WHERE r <= 3), "
+    f"near AS (SELECT qid, vec_id, bucket_id, dd FROM (SELECT id AS qid, vec_id, bucket_id, dd, row_number() OVER (PARTITION BY vec_id ORDER BY dd, bucket_id) AS r FROM (SELECT id, vec_id, bucket_id, 1.0 - {dot_sql('v', 'centroid')} AS dd FROM tok, c WHERE id % 100 = 0)) WHERE r <= 3), "
     "best AS (SELECT qid, vec_id, mem.id, max(1.0 - dd) AS score FROM near JOIN mem USING (bucket_id) GROUP BY ALL), sums AS (SELECT qid, id, round(sum(score), 9) AS score FROM best GROUP BY ALL), "
     "keep AS (SELECT qid, id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM sums) WHERE r <= 40), "
     f"s AS (SELECT qid, id, d FROM exact JOIN keep USING (qid, id)) {top_sql(10)}"
@@ -492,28 +508,28 @@ def ivf_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ivf_probe_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, q = both(spark, sf_dir)
     c = centroids(spark, sf_dir)
-    return rounded(ivf.probe(b, ivf.assign(b, c), ivf.route(q, c, 3), q, 10))
+    return rounded(ivf.probe_lists(ivf.listed(b, c), ivf.route(q, c, 3), q, 10))
 
 
 @query(f"WITH {BASE}{_CENTROIDS}{_near_sql(2)}{_ROUTE}, s AS (SELECT DISTINCT q.qid, base.id, {l2_sql('vector', 'q.q')} AS d FROM q JOIN r3 USING (qid) JOIN a ON a.bucket_id = r3.bucket_id JOIN base ON base.id = a.id) {top_sql(10)}")
 def ivf_multi_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, q = both(spark, sf_dir)
     c = centroids(spark, sf_dir)
-    return rounded(ivf.probe(b, ivf.assign(b, c, 2), ivf.route(q, c, 3), q, 10))
+    return rounded(ivf.probe_lists(ivf.listed(b, c, 2), ivf.route(q, c, 3), q, 10))
 
 
 @query(f"WITH {BASE}{_CENTROIDS}{_near_sql(1)}, s AS (SELECT q.qid, base.id, {l2_sql('vector', 'q.q')} AS d FROM q, a JOIN base ON base.id = a.id WHERE a.bucket_id IN (1, 4)) {top_sql(10)}")
 def ivf_bucket_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, q = both(spark, sf_dir)
     c = centroids(spark, sf_dir)
-    return rounded(ivf.probe(b, ivf.assign(b, c), ivf.chosen(q, [1, 4], c.count()), q, 10))
+    return rounded(ivf.probe_lists(ivf.listed(b, c), ivf.chosen(q, [1, 4], c.count()), q, 10))
 
 
 @query(f"WITH {BASE}{_CENTROIDS}{_near_sql(1)}{_ROUTE}, s AS (SELECT q.qid, base.id, {l2_sql('vector', 'q.q')} AS d FROM q JOIN r3 USING (qid) JOIN a ON a.bucket_id = r3.bucket_id JOIN base ON base.id = a.id) {top_sql(None, 'd <= 1.7')}")
 def ivf_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, q = both(spark, sf_dir)
     c = centroids(spark, sf_dir)
-    return rounded(ivf.probe(b, ivf.assign(b, c), ivf.route(q, c, 3), q, None, radius=1.7))
+    return rounded(ivf.probe_lists(ivf.listed(b, c), ivf.route(q, c, 3), q, None, radius=1.7))
 
 
 @query(f"WITH {BASE}{_CENTROIDS}{_near_sql(1)} SELECT id, bucket_id, round(cd, 6) + 0.0 AS square FROM a")
@@ -523,6 +539,37 @@ def ivf_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rest.select("id", "bucket_id", D.dot(F.col("vector"), F.col("vector")).alias("square")), "square")
 
 
+_RESIDUAL = ", z AS (SELECT a.id, a.bucket_id, centroid, list_transform(list_zip(vector, centroid), lambda z: z[1]::DOUBLE - z[2]) AS rest FROM a JOIN base USING (id) JOIN c USING (bucket_id)), zr AS (SELECT list(lo ORDER BY pos) AS low, list(hi - lo ORDER BY pos) AS width FROM (SELECT pos, min(x) AS lo, max(x) AS hi FROM (SELECT unnest(range(1, 65)) AS pos, unnest(rest) AS x FROM z) GROUP BY pos)), u AS (SELECT id, bucket_id, list_transform(list_zip(rest, low, width, centroid), lambda z: floor(least(1.0, greatest(0.0, (z[1] - z[2]) / z[3])) * 255) / 255 * z[3] + z[2] + z[4]) AS vector FROM z, zr)"
+
+
+@query(f"WITH {BASE}{_CENTROIDS}{_near_sql(1)}{_ROUTE}{_RESIDUAL}, s AS (SELECT q.qid, u.id, {l2_sql('vector', 'q.q')} AS d FROM q JOIN r3 USING (qid) JOIN u ON u.bucket_id = r3.bucket_id) {top_sql(10, digits=5)}")
+def ivf_residual_sq8_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buckets of 8-bit codes of residuals, searched as codes."""
+    b, q = both(spark, sf_dir)
+    c = store.checkpointed(centroids(spark, sf_dir))
+    codes, decode = ivf.residual_codes(ivf.listed(b, c), c, lambda v: Q.fit_scalar(v, 8))
+    return rounded(ivf.probe_lists(codes, ivf.route(q, c, 3), q, 10, vector="code", decode=decode), digits=5)
+
+
+@query(f"WITH {BASE}{_CENTROIDS}{_near_sql(1)}{_ROUTE}, s AS (SELECT q.qid, base.id, {l2_sql('vector', 'q.q')} AS d FROM q JOIN r3 USING (qid) JOIN a ON a.bucket_id = r3.bucket_id JOIN base ON base.id = a.id) {top_sql(10)}")
+def ivf_graph_probe_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routed buckets, each walked by its own graph."""
+    b, q = both(spark, sf_dir)
+    c = store.checkpointed(centroids(spark, sf_dir))
+    lists = store.checkpointed(ivf.listed(b, c))
+    edges = ivf.bucket_edges(b, lists.select("id", "bucket_id"), 16)
+    return rounded(ivf.graph_probe(lists, edges, ivf.route(q, c, 3), q, 10, beam=100))
+
+
+@query(knn_sql())
+def ivf_index_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index with all its buckets probed is exact."""
+    b, q = both(spark, sf_dir)
+    i = index_module.create("ivf", '{"dim": 64, "index_param": {"buckets": 8, "rounds": 4}}')
+    i.build(b)
+    return rounded(i.search(SearchRequest(q, params={"scan_buckets_count": 8})))
+
+
 @query(f"WITH {BASE}{_CENTROIDS}{_near_sql(1)} SELECT bucket_id, count(*) AS n_rows FROM a GROUP BY bucket_id")
 def bucket_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivf.bucket_stats(ivf.assign(base(spark, sf_dir), centroids(spark, sf_dir)))
@@ -703,7 +750,7 @@ def pq_code_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = Q.fit_product(b, 8, 32)
     codes = store.checkpointed(b.select("id", m.encode(F.col("vector")).alias("code")))
     pairs = codes.join(codes.select((F.col("id") - 1).alias("id"), F.col("code").alias("next")), "id")
-    return pairs.select("id", F.round(m.between(F.col("code"), F.col("next")), 6).alias("between"), F.round(m.lookup(F.col("code"), q.first().q), 6).alias("to_query"))
+    return pairs.select("id", F.round(m.between(F.col("code"), F.col("next")), 6).alias("between"), F.round(m.lookup(F.col("code"), q.orderBy("qid").first().q), 6).alias("to_query"))
 
 
 @query()
@@ -739,28 +786,66 @@ def one_bit_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, q = both(spark, sf_dir)
     m = Q.fit_one_bit(b)
     rows = b.select("id", m.encode(F.col("vector")).alias("code"))
-    parts = [rows.select(F.lit(r.qid).alias("qid"), "id", m.distance(F.col("code"), r.q).alias("distance")) for r in q.collect()]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
+    found = search.candidates(rows, q, "l2", 50, vector="code", decode=m.decoder())
     return rounded(search.rerank(search.ranked(found, 50), b, q, 10))
 
 
+@query(knn_sql())
+def rabitq_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates by 8-bit codes of rotated directions, scored again on vectors."""
+    b, q = both(spark, sf_dir)
+    i = index_module.create("flat|0|rabitq8|fp32", '{"dim": 64, "index_param": {"factor": 10}}')
+    i.build(b)
+    return rounded(i.search(SearchRequest(q)))
+
+
+@query(f"WITH {BASE}{_code_sql(15)}, {scores_sql(rows='u').replace('s AS', 'cs AS', 1)}, cand AS (SELECT qid, id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS r FROM cs) WHERE r <= 30), s AS (SELECT c.qid, c.id, {l2_sql('b.vector', 'q.q')} AS d FROM cand c JOIN base b ON b.id = c.id JOIN q ON q.qid = c.qid) {top_sql(10)}")
+def index_codes_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index that searches codes, tuned from one quantizer to another."""
+    b, q = both(spark, sf_dir)
+    i = index_module.create("flat", '{"dim": 64, "index_param": {"codes": "sq8", "factor": 3}}')
+    i.build(b)
+    i.tune("sq4")
+    return rounded(i.search(SearchRequest(q)))
+
+
+@query((knn_sql(rows="u", more=_code_sql(255)).replace("range(1, 65)", "range(1, 17)").replace("embedding AS vector", "embedding[1:16] AS vector").replace("embedding AS q ", "embedding[1:16] AS q ")))
+def transform_chain_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leading dimensions, then 8-bit codes, searched without the vectors."""
+    b, q = both(spark, sf_dir)
+    i = index_module.create("flat", '{"dim": 64, "index_param": {"codes": "mrle:16,sq8", "precise": null}}')
+    i.build(b)
+    return rounded(i.search(SearchRequest(q)))
+
+
+_INVERTED = f", x AS (SELECT qid, id, {l2_sql('raw', 'q')} AS e, {l2_sql('vector', 'q')} AS c FROM u, q), y AS (SELECT qid, id, e, c FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY e, id) AS r FROM x) WHERE r <= 20)"
+
+
+@query(f"WITH {BASE}{_code_sql(15)}{_INVERTED} SELECT count(*) AS pairs, round(avg(CASE WHEN round(a.c, 9) > round(b.c, 9) THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS inverted FROM y a JOIN y b ON a.qid = b.qid AND round(a.e, 9) < round(b.e, 9)")
+def quantization_inversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often codes order two of the nearest twenty differently."""
+    b, q, m = coded(spark, sf_dir, 4)
+    near = search.knn(b, q, 20).select("qid", "id", F.round("distance", 9).alias("exact"))
+    decoded = b.select("id", m.decode(m.encode(F.col("vector"))).alias("vector"))
+    both_ = near.join(decoded, "id").join(q, "qid").select("qid", "id", "exact", F.round(D.l2(F.col("vector"), F.col("q")), 9).alias("coded"))
+    return rounded(Q.inversions(both_), "inverted")
+
+
 # vector functions
 
 
-@query(f"WITH {BASE}, p AS (SELECT b.id, b.vector AS a, c.vector AS c FROM base b JOIN base c ON c.id = b.id + 1 WHERE b.id < 50) SELECT id, round(list_sum(list_transform(list_zip(a, c), lambda z: z[1]::DOUBLE + z[2]::DOUBLE)), 5) + 0.0 AS plus, round(list_sum(list_transform(list_zip(a, c), lambda z: z[1]::DOUBLE - z[2]::DOUBLE)), 5) + 0.0 AS minus, round({dot_sql('a', 'c')}, 5) + 0.0 AS times, round(list_sum(list_transform(a, lambda x: x::DOUBLE * 3.0)), 5) + 0.0 AS scaled FROM p")
+@query(f"WITH {BASE}, p AS (SELECT b.id, b.vector AS a, c.vector AS c FROM base b JOIN base c ON c.id = b.id + 1) SELECT id, round(list_sum(list_transform(list_zip(a, c), lambda z: z[1]::DOUBLE + z[2]::DOUBLE)), 5) + 0.0 AS plus, round(list_sum(list_transform(list_zip(a, c), lambda z: z[1]::DOUBLE - z[2]::DOUBLE)), 5) + 0.0 AS minus, round({dot_sql('a', 'c')}, 5) + 0.0 AS times, round(list_sum(list_transform(a, lambda x: x::DOUBLE * 3.0)), 5) + 0.0 AS scaled FROM p")
 def vector_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = base(spark, sf_dir)
-    p = b.filter("id < 50").select("id", F.col("vector").alias("a")).join(b.select((F.col("id") - 1).alias("id"), F.col("vector").alias("c")), "id")
+    p = b.select("id", F.col("vector").alias("a")).join(b.select((F.col("id") - 1).alias("id"), F.col("vector").alias("c")), "id")
     a, c = F.col("a"), F.col("c")
     out = p.select("id", D.reduce_add(D.add(a, c)).alias("plus"), D.reduce_add(D.subtract(a, c)).alias("minus"), D.reduce_add(D.multiply(a, c)).alias("times"), D.reduce_add(D.scale(a, 3.0)).alias("scaled"))
     return rounded(out, "plus", "minus", "times", "scaled", digits=5)
 
 
-@query(f"WITH {BASE} SELECT id, round(sqrt({dot_sql('vector', 'vector')}), 5) + 0.0 AS norm, round(list_sum(list_transform(vector, lambda x: x::DOUBLE / sqrt({dot_sql('vector', 'vector')}))), 5) + 0.0 AS total FROM base WHERE id < 100")
+@query(f"WITH {BASE} SELECT id, round(sqrt({dot_sql('vector', 'vector')}), 5) + 0.0 AS norm, round(list_sum(list_transform(vector, lambda x: x::DOUBLE / sqrt({dot_sql('vector', 'vector')}))), 5) + 0.0 AS total FROM base")
 def normalize_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = base(spark, sf_dir).filter("id < 100")
+    b = base(spark, sf_dir)
     return rounded(b.select("id", D.norm(F.col("vector")).alias("norm"), D.reduce_add(D.normalize(F.col("vector"))).alias("total")), "norm", "total", digits=5)
 
 
@@ -814,7 +899,7 @@ def graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(graph.search(b, edges, q, 10))
 
 
-@query()
+@query(f"WITH RECURSIVE {BASE}, {_edges_sql(3)}, l AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), r(a, b) AS (SELECT id, id FROM base UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a) SELECT a AS id, min(b) AS component FROM r GROUP BY a")
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(graph.exact_edges(base(spark, sf_dir), 3))
 
@@ -827,20 +912,47 @@ def duplicate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(knn_sql())
 def lazy_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Below its threshold the index is flat, so results are exact."""
+    """Below its threshold the index is flat; rows that are added take it over, and it is a graph from then on."""
     b, q = both(spark, sf_dir)
-    i = index_module.create("lazy_hgraph", '{"dim": 64, "index_param": {"transition_threshold": 1000000000}}')
+    rows = b.count()
+    i = index_module.create("lazy_hgraph", f'{{"dim": 64, "index_param": {{"transition_threshold": {rows}, "degree": 24}}}}')
+    i.build(b.filter("id % 5 <> 0"))
+    flat = "edges" not in i.tables
+    i.add(b.filter("id % 5 = 0"))
+    if not flat or "edges" not in i.tables:
+        raise AssertionError("the index did not switch")
+    return rounded(i.search(SearchRequest(q, params={"ef_search": 200})))
+
+
+def _graph_index(b: DataFrame) -> index_module.Index:
+    i = index_module.create("hgraph", '{"dim": 64, "index_param": {"transition_threshold": 100, "degree": 24}}')
     i.build(b)
-    return rounded(i.search(SearchRequest(q)))
+    return i
 
 
 @query(knn_sql(where="label = 3 AND id % 8 = 0"))
 def graph_filter_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A filter that few rows pass is answered by an exact scan of those."""
+    """A graph index answers a filter that few rows pass by an exact scan of those."""
     b, q = both(spark, sf_dir)
-    choice = planner.search_strategy(1 << 40, valid_ratio=0.0125)
-    assert choice.strategy == "flat"
-    return rounded(search.knn(b, q, 10, where=filters.parse("label = 3", b.schema) & (F.col("id") % 8 == 0)))
+    return rounded(_graph_index(b).search(SearchRequest(q, where="label = 3", keep=F.col("id") % 8 == 0, params={"brute_force_threshold": 0.05})))
+
+
+@query(knn_sql(where="id % 3 <> 1 AND id % 7 <> 2"))
+def graph_filtered_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The walk goes through rows that a filter rejects or that were removed, and k rows that pass come back."""
+    b, q = both(spark, sf_dir)
+    i = _graph_index(b)
+    i.remove(b.filter("id % 7 = 2"))
+    return rounded(i.search(SearchRequest(q, keep=F.col("id") % 3 != 1, params={"ef_search": 200})))
+
+
+@query(knn_sql(where="path = 'g1' OR starts_with(path, 'g1/')"))
+def path_graph_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prefix with enough rows has a graph of its own."""
+    b, q = both(spark, sf_dir)
+    i = index_module.create("pyramid", '{"dim": 64, "index_param": {"index_min_size": 100, "degree": 24, "no_build_levels": [1]}}')
+    i.build(b)
+    return rounded(i.search(SearchRequest(q, paths=["g1"], params={"ef_search": 200})))
 
 
 # diagnosis
@@ -906,8 +1018,7 @@ def save_load_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _folder(spark: SparkSession) -> str:
     import uuid
 
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="nearfield-")
-    return f"{where.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{store.shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
 @query("SELECT user_id AS id, arg_max(value, event_id) AS value FROM events WHERE event_type IN ('signup', 'purchase', 'error') GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'")

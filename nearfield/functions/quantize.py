@@ -1,17 +1,23 @@
 """Fitted codes for vectors: scalar, uniform, half precision, product and one-bit quantizers, and transforms.
 
-fit_* return small model objects; encode and decode are column expressions or Arrow functions over them.
+fit_* return small model objects; encode and decode are column expressions or Arrow functions over them. decoder() makes a function
+for tasks that search codes: from an Arrow column of codes to a matrix, and squared lengths where these are known better.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import json
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nearfield.errors import InvalidArgument
+
 EPSILON = 1e-12
 
 
@@ -43,6 +49,23 @@ class Scalar:
         return F.zip_with(F.zip_with(c, width, lambda x, w: x / self.top * w), low, lambda x, l: x + l)
 
 
+    def decoder(self):
+        low, width, top = np.array(self.low), np.array(self.width), self.top
+        return lambda codes: (_matrix(codes) / top * width + low, None)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def drawn(vectors: DataFrame, most: int | None, seed: int = 42) -> DataFrame:
+    """About `most` rows to train on, by hash of the id; all if None or if there are no more."""
+    n = vectors.count() if most else 0
+    if not most or n <= most:
+        return vectors
+    return vectors.filter(F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11) * F.lit(2.0**-53) < most / n)
+
+
 def fit_scalar(vectors: DataFrame, bits: int = 8) -> Scalar:
     rows = vectors.select(F.posexplode("vector").alias("at", "x")).groupBy("at").agg(F.min(F.col("x").cast("double")).alias("lo"), F.max(F.col("x").cast("double")).alias("hi")).orderBy("at").collect()
     return Scalar([r.lo for r in rows], [r.hi - r.lo for r in rows], bits)
@@ -58,12 +81,21 @@ def fit_uniform(vectors: DataFrame, bits: int = 8, tail: float = 0.0) -> Scalar:
     return Scalar([lo], [hi - lo], bits)
 
 
+def _flat(s: pd.Series) -> tuple[np.ndarray, list[int]]:
+    return (np.concatenate([np.asarray(a, np.float32) for a in s]) if len(s) else np.zeros(0, np.float32)), [len(a) for a in s]
+
+
+def _split(flat: np.ndarray, sizes: list[int]) -> pd.Series:
+    return pd.Series(np.split(flat, np.cumsum(sizes)[:-1]) if sizes else [], dtype=object)
+
+
 def bf16(v: Column) -> Column:
     """Values with the low 16 bits of their float32 form cut off."""
 
     @F.pandas_udf("array<double>")
     def cut(s: pd.Series) -> pd.Series:
-        return s.map(lambda a: (np.asarray(a, np.float32).view(np.uint32) & np.uint32(0xFFFF0000)).view(np.float32).astype(float).tolist())
+        flat, sizes = _flat(s)
+        return _split((flat.view(np.uint32) & np.uint32(0xFFFF0000)).view(np.float32).astype(float), sizes)
 
     return cut(v)
 
@@ -73,7 +105,8 @@ def fp16(v: Column) -> Column:
 
     @F.pandas_udf("array<double>")
     def cut(s: pd.Series) -> pd.Series:
-        return s.map(lambda a: np.asarray(a, np.float32).astype(np.float16).astype(float).tolist())
+        flat, sizes = _flat(s)
+        return _split(flat.astype(np.float16).astype(float), sizes)
 
     return cut(v)
 
@@ -113,10 +146,15 @@ class Product:
 
         @F.pandas_udf("array<double>")
         def run(s: pd.Series) -> pd.Series:
-            return s.map(lambda k: c[np.arange(len(c)), k].ravel().tolist())
+            if not len(s):
+                return pd.Series([], dtype=object)
+            return pd.Series(list(c[np.arange(len(c))[None], np.stack(s.to_numpy())].reshape(len(s), -1)))
 
         return run(codes)
 
+    def decoder(self):
+        c = self.centroids
+        return lambda codes: (c[np.arange(len(c))[None], _matrix(codes).astype(int)].reshape(len(codes), -1) if len(codes) else np.zeros((0, 0)), None)
 
     def table(self, metric: str = "l2") -> np.ndarray:
         """parts x centres x centres distances between centroids (products for ip)."""
@@ -174,19 +212,20 @@ def fit_product(vectors: DataFrame, parts: int, centres: int = 256, rounds: int
 
 @dataclass(frozen=True)
 class Linear:
-    """y = (x - mean) @ matrix."""
+    """y = (x - mean) @ matrix + offset."""
 
     mean: np.ndarray
     matrix: np.ndarray
+    offset: np.ndarray | float = 0.0
 
     def apply(self, v: Column) -> Column:
-        mean, m = self.mean, self.matrix
+        mean, m, offset = self.mean, self.matrix, self.offset
 
         @F.pandas_udf("array<double>")
         def run(s: pd.Series) -> pd.Series:
             if not len(s):
                 return pd.Series([], dtype=object)
-            return pd.Series(list(((np.stack(s.to_numpy()).astype(float) - mean) @ m).tolist()))
+            return pd.Series(list(((np.stack(s.to_numpy()).astype(float) - mean) @ m + offset).tolist()))
 
         return run(v)
 
@@ -268,6 +307,157 @@ class OneBit:
         return run(code)
 
 
+    def decoder(self):
+        c, r, d = self.centre, self.rotation, len(self.centre)
+
+        def run(codes: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+            signs = np.stack([np.frombuffer(b, np.uint8) for b in codes.field("signs").to_pylist()]) if len(codes) else np.zeros((0, -(-d // 8)), np.uint8)
+            v = np.where(np.unpackbits(signs, axis=1)[:, :d], 1.0, -1.0) / np.sqrt(d)
+            return _estimated(v, np.asarray(codes.field("norm")), np.asarray(codes.field("fit")), c, r)
+
+        return run
+
+
+def _estimated(v: np.ndarray, norm: np.ndarray, fit: np.ndarray, centre: np.ndarray, rotation: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """v: unit vectors that stand for rotated directions. A matrix y and numbers s such that s + |q|^2 - 2 <y, q> is the estimate
+    norm^2 + |q - centre|^2 - 2 norm <direction, q - centre> / fit."""
+    x = (norm / np.maximum(fit, EPSILON))[:, None] * (v @ rotation.T)
+    return x + centre, norm * norm + centre @ centre + 2 * (x @ centre)
+
+
+@dataclass(frozen=True)
+class Rotated:
+    """Levels of 1 to 8 bits for each dimension of the centred and rotated direction, scaled by its largest one; the norm; and the
+    cosine between the direction and its levels, by which products are set right."""
+
+    centre: np.ndarray
+    rotation: np.ndarray
+    bits: int
+
+    def encode(self, v: Column) -> Column:
+        c, r, half = self.centre, self.rotation, 1 << (self.bits - 1)
+
+        @F.pandas_udf("levels binary, norm double, fit double")
+        def run(s: pd.Series) -> pd.DataFrame:
+            x = (np.stack(s.to_numpy()).astype(float) - c) @ r if len(s) else np.zeros((0, len(c)))
+            norm = np.linalg.norm(x, axis=1)
+            unit = x / np.maximum(norm, EPSILON)[:, None]
+            most = np.maximum(np.abs(unit).max(axis=1, initial=0), EPSILON)[:, None]
+            levels = np.clip(np.floor((unit / most + 1) * half), 0, 2 * half - 1).astype(np.uint8)
+            fit = (unit * self._unit(levels)).sum(axis=1)
+            return pd.DataFrame({"levels": [b.tobytes() for b in levels], "norm": norm, "fit": fit})
+
+        return run(v)
+
+    def _unit(self, levels: np.ndarray) -> np.ndarray:
+        v = (levels + 0.5) / (1 << (self.bits - 1)) - 1
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    def decoder(self):
+        c, r = self.centre, self.rotation
+
+        def run(codes: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+            levels = np.stack([np.frombuffer(b, np.uint8) for b in codes.field("levels").to_pylist()]) if len(codes) else np.zeros((0, len(c)), np.uint8)
+            return _estimated(self._unit(levels), np.asarray(codes.field("norm")), np.asarray(codes.field("fit")), c, r)
+
+        return run
+
+
+def fit_rotated(vectors: DataFrame, bits: int = 4, seed: int = 42) -> Rotated:
+    if not 1 <= bits <= 8:
+        raise InvalidArgument("codes have 1 to 8 bits")
+    one = fit_one_bit(vectors, seed)
+    return Rotated(one.centre, one.rotation, bits)
+
+
+@dataclass(frozen=True)
+class Chain:
+    """Transforms one after another, folded into one linear map, and the quantizer of what comes out."""
+
+    linear: Linear
+    bottom: Scalar | Product | Rotated | None
+
+    def apply(self, v: Column) -> Column:
+        return self.linear.apply(v)
+
+    def encode(self, v: Column) -> Column:
+        out = self.apply(v)
+        return out if self.bottom is None else self.bottom.encode(out)
+
+    def decoder(self):
+        return (lambda codes: (_matrix(codes), None)) if self.bottom is None else self.bottom.decoder()
+
+
+def fit_chain(vectors: DataFrame, text: str) -> Chain:
+    """'pca:32,rom,fht,mrle:16,sq8': pca and mrle (leading dimensions) with how many stay, rom (random rotation), fht (signs and
+    Hadamard transforms), and last a quantizer, if any. What does not name either raises."""
+    dim = vectors.select(F.size("vector")).first()[0]
+    linear, bottom = Linear(np.zeros(dim), np.eye(dim)), None
+    for i, part in enumerate(names := [x.strip() for x in text.split(",")]):
+        name, _, n = part.partition(":")
+        now = vectors.withColumn("vector", linear.apply(F.col("vector"))) if name == "pca" or name in FITS else None
+        size = linear.matrix.shape[1]
+        if name == "pca":
+            step = fit_pca(now, int(n))
+        elif name == "rom":
+            step = random_rotation(size)
+        elif name == "fht":
+            step = hadamard_rotation(size)
+        elif name == "mrle":
+            step = Linear(np.zeros(size), np.eye(size)[:, : int(n)])
+        elif name in FITS and i == len(names) - 1:
+            bottom = fit_codes(now, name)
+            continue
+        else:
+            raise InvalidArgument(f"no transform {name!r}")
+        # (x - a) A, then (y - b) B, is (x - a) A B - b B
+        linear = _then(linear, step)
+    return Chain(linear, bottom)
+
+
+def _then(first: Linear, second: Linear) -> Linear:
+    shift = second.mean @ second.matrix
+    offset = -first.mean @ first.matrix @ second.matrix - shift
+    matrix = first.matrix @ second.matrix
+    return Linear(np.zeros(len(first.mean)), matrix, offset)
+
+
+FITS = {
+    "sq8": lambda v: fit_scalar(v, 8), "sq4": lambda v: fit_scalar(v, 4), "sq8_uniform": lambda v: fit_uniform(v, 8), "sq4_uniform": lambda v: fit_uniform(v, 4),
+    "sq8_uniform_trunc": lambda v: fit_uniform(v, 8, 0.001), "pq": lambda v: fit_product(v, max(1, v.select(F.size("vector")).first()[0] // 8), 256),
+    "pqfs": lambda v: fit_product(v, max(1, v.select(F.size("vector")).first()[0] // 4), 16), **{f"rabitq{b}": lambda v, b=b: fit_rotated(v, b) for b in range(1, 9)},
+}
+
+
+def fit_codes(vectors: DataFrame, name: str):
+    """A quantizer by name, or a chain of transforms and one."""
+    if "," in name or name.split(":")[0] in ("pca", "rom", "fht", "mrle"):
+        return fit_chain(vectors, name)
+    if name not in FITS:
+        raise InvalidArgument(f"no codes {name!r}; there are {sorted(FITS)} and chains")
+    return FITS[name](vectors)
+
+
+def to_json(model) -> str:
+    """A model as text, for a manifest."""
+    plain = lambda x: {"array": x.tolist()} if isinstance(x, np.ndarray) else to_json(x) if hasattr(x, "__dataclass_fields__") else x
+    return json.dumps({"kind": type(model).__name__, "fields": {f: plain(getattr(model, f)) for f in model.__dataclass_fields__}})
+
+
+def from_json(text: str):
+    got = json.loads(text)
+    kind = {c.__name__: c for c in (Scalar, Product, Linear, OneBit, Rotated, Chain)}[got["kind"]]
+    rich = lambda x: np.array(x["array"]) if isinstance(x, dict) else from_json(x) if isinstance(x, str) and x.startswith("{") else x
+    return kind(**{f: rich(x) for f, x in got["fields"].items()})
+
+
+def inversions(found: DataFrame) -> DataFrame:
+    """One row: pairs, and the share of them that exact and coded distances order differently, of (qid, id, exact, coded)."""
+    a = found.select("qid", F.col("id").alias("_i"), F.col("exact").alias("_e"), F.col("coded").alias("_c"))
+    pairs = found.join(a, "qid").filter("exact < _e")
+    return pairs.agg(F.count("*").alias("pairs"), F.avg((F.col("coded") > F.col("_c")).cast("double")).alias("inverted"))
+
+
 def fit_one_bit(vectors: DataFrame, seed: int = 42) -> OneBit:
     rows = vectors.select(F.posexplode("vector").alias("at", "x")).groupBy("at").agg(F.avg(F.col("x").cast("double")).alias("x")).orderBy("at").collect()
     c = np.array([r.x for r in rows])

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.errors import DimensionMismatch, InvalidArgument, NotFound, UnsupportedOperation
-from nearfield.functions import distance as D
 from nearfield.functions import quantize as Q
 from nearfield.operators import diagnose, graph, hierarchy, ivf, multivector, mutate, search, sparse
 from nearfield.plans import filters, planner
@@ -52,6 +51,7 @@ class Index:
     def __init__(self, config: IndexConfig) -> None:
         self.config = config
         self.tables: dict[str, DataFrame] = {}
+        self.model = None  # of codes
         self.immutable = False
 
     def check_feature(self, name: str) -> bool:
@@ -70,10 +70,41 @@ class Index:
         return self.tables["rows"] if dead is None else mutate.alive(self.tables["rows"], dead)
 
     def train(self, vectors: DataFrame) -> None:
-        """Fits what the index needs before rows come; nothing here."""
+        """Fits what the index needs before rows come: the quantizer, on train_sample rows if that is given."""
+        p = self.config.params
+        if self.model is None and p.get("codes", "fp32") != "fp32":
+            self.model = Q.fit_codes(Q.drawn(vectors.filter("vector is not null"), p.get("train_sample")), p["codes"])
 
     def _derive(self) -> None:
-        """Makes component tables from the rows."""
+        """Makes component tables from the rows: their codes."""
+        if self.model is not None:
+            rows = self.tables["rows"].drop("code")
+            self.tables["rows"] = store.checkpointed(rows.withColumn("code", F.when(F.col("vector").isNotNull(), self.model.encode(F.col("vector")))))
+
+    def tune(self, codes: str, precise: str | None = "fp32") -> None:
+        """Changes the codes that are searched, and whether candidates are scored again on the vectors (precise not None)."""
+        self._change()
+        self.config.params.update(codes=codes, precise=precise)
+        self.model = None
+        self.tables["rows"] = self.tables["rows"].drop("code")
+        self.train(self.tables["rows"])
+        self._derive()
+
+    def continue_build(self, vectors: DataFrame, folder: str, parts: int = 8) -> int:
+        """Adds vectors in parts by hash of the id, each written under folder once it is checked; run again after a failure, it goes on with
+        the parts that lack. How many it had to write."""
+        self._change()
+        spark, made = vectors.sparkSession, 0
+        for i in range(parts):
+            at = f"{folder.rstrip('/')}/part={i}"
+            if not store.exists(spark, f"{at}/_SUCCESS"):
+                self._checked(vectors.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == i)).write.mode("overwrite").parquet(at)
+                made += 1
+        self.add(spark.read.schema(vectors.schema).parquet(*[f"{folder.rstrip('/')}/part={i}" for i in range(parts)]))
+        return made
+
+    def detail(self, spark: SparkSession) -> DataFrame:
+        return diagnose.detail(self.tables, spark)
 
     def _checked(self, vectors: DataFrame) -> DataFrame:
         if self.config.dim and "vector" in vectors.columns:
@@ -128,7 +159,7 @@ class Index:
 
     def clone(self) -> Index:
         out = type(self)(self.config)
-        out.tables = dict(self.tables)
+        out.tables, out.model = dict(self.tables), self.model
         return out
 
     def set_immutable(self) -> None:
@@ -147,9 +178,23 @@ class Index:
         if r.exclude_ids is not None:
             rows = rows.join(r.exclude_ids.select("id"), "id", "left_anti")
         if r.paths:
-            rows = rows.filter(hierarchy.under("path", "|".join(r.paths)))
+            rows = rows.filter(hierarchy.under(hierarchy.column(rows, r.hierarchy), "|".join(r.paths)))
         return rows
 
+    def _coded(self, rows: DataFrame, r: SearchRequest) -> DataFrame:
+        """Top k by codes; unless precise is None, of factor times as many by codes the best on vectors."""
+        p = self.config.params
+        precise = p.get("precise", "fp32") is not None
+        most = planner.candidates_for(r.k, r.params.get("factor", p.get("factor", 4.0))) if precise else r.k
+        q = r.queries.withColumn("q", self.model.apply(F.col("q"))) if isinstance(self.model, Q.Chain) else r.queries
+        found = search.candidates(rows, q, self.config.metric, most, vector="code", decode=self.model.decoder())
+        found = search.ranked(found, most)
+        if precise:
+            found = search.rerank(found, rows, r.queries, most, self.config.metric)
+        if r.threshold is not None:
+            found = found.filter(F.col("distance") <= r.threshold)
+        return found.filter(F.col("rank") <= r.k).select("qid", "rank", "id", "distance")
+
     def search(self, r: SearchRequest) -> DataFrame:
         """(qid, rank, id, distance), nearest first."""
         rows, m = self._live(r), self.config.metric
@@ -157,21 +202,50 @@ class Index:
             return search.knn_by_expression(rows, r.queries, r.k, r.distance)
         if r.mode == "range":
             return search.range_search(rows, r.queries, r.radius, m, r.limit)
+        if self.model is not None:
+            return self._coded(rows, r)
         return search.knn(rows, r.queries, r.k, m, threshold=r.threshold)
 
+    def _walk(self, edges: DataFrame, within: DataFrame, r: SearchRequest) -> DataFrame:
+        """Search of a graph over some rows; an exact scan where few of them pass, or where the walk met too few."""
+        live = store.checkpointed(self._live(r).select("id"))
+        n = live.count()
+        valid = r.params.get("valid_ratio", n / max(1, within.count()))
+        choice = planner.search_strategy(1 << 62, valid, r.params.get("brute_force_threshold", 0.02), has_graph=True)
+        if choice.strategy == "flat":
+            return Index.search(self, r)
+        beam = r.params.get("ef_search", 40)
+        if beam < 1:
+            raise InvalidArgument("ef_search must be at least 1")
+        found = graph.search(within, edges, r.queries, max(beam, r.k), max(beam, r.k), r.params.get("hops_limit", 12), metric=self.config.metric, among=live)
+        found = store.checkpointed(found.select("qid", "id", "distance"))
+        # queries whose walk met fewer rows than there are get the exact scan
+        enough = found.groupBy("qid").count().filter(F.col("count") >= min(r.k, n)).select("qid")
+        short = r.queries.join(enough, "qid", "left_anti")
+        if n and short.head(1):
+            exact = search.knn(self._live(r), short, r.k, self.config.metric).select("qid", "id", "distance")
+            found = found.join(enough, "qid", "left_semi").select("qid", "id", "distance").union(exact)
+        if r.threshold is not None:
+            found = found.filter(F.col("distance") <= r.threshold)
+        return search.ranked(found, r.k).select("qid", "rank", "id", "distance")
+
     def pages(self, r: SearchRequest):
-        """Yields pages of up to k rows a query, none twice, until they are used up."""
-        found = store.checkpointed(search.candidates(self._live(r), r.queries, self.config.metric, None, float("inf")))
-        cursor: dict[int, tuple[float, int]] = {}
+        """Yields pages of up to k rows a query, none twice, until they are used up. What is searched at a time doubles, so that no more
+        distances are written than about twice those that are read."""
+        rows, cursor, most, served = self._live(r), {}, 4 * r.k, 0
+        found = store.checkpointed(search.ranked(search.candidates(rows, r.queries, self.config.metric, most), most))
         while True:
-            got = search.page(found, r.k, cursor)
-            rows = got.collect()  # k rows a query
-            if not rows:
+            if served + r.k > most:
+                most *= 2
+                found = store.checkpointed(search.ranked(search.candidates(rows, r.queries, self.config.metric, most), most))
+            got = search.page(found.drop("rank"), r.k, cursor).collect()  # k rows a query
+            if not got:
                 return
-            for x in rows:
+            served += r.k
+            for x in got:
                 if x.qid not in cursor or (x.distance, x.id) > cursor[x.qid]:
                     cursor[x.qid] = (x.distance, x.id)
-            yield rows
+            yield got
 
     def distance_by_ids(self, queries: DataFrame, wanted: DataFrame, topk: int | None = None) -> DataFrame:
         return search.distance_by_ids(self.rows, queries, wanted, self.config.metric, topk)
@@ -191,17 +265,23 @@ class Index:
         return live, total - live
 
     def estimate_memory(self, rows: int) -> int:
-        return rows * (8 + 4 * (self.config.dim or 0))
+        """Bytes of ids, vectors by their type, codes, and a graph's edges."""
+        p, dim = self.config.params, self.config.dim or 0
+        each = 8 + dim * {"float32": 4, "float16": 2, "bfloat16": 2, "int8": 1}.get(self.config.dtype, 4)
+        codes = p.get("codes", "fp32").rpartition(",")[2].split(":")[0]
+        each += {"fp32": 0, "sq4": -(-dim // 2), "sq4_uniform": -(-dim // 2), "pq": dim // 8, "pqfs": dim // 8}.get(codes, dim if not codes.startswith("rabitq") else -(-dim * int(codes[6:]) // 8) + 16)
+        return rows * (each + (12 * p.get("degree", 16) if self.config.kind == "hgraph" else 0))
 
     def save(self, spark: SparkSession, path: str, model_only: bool = False) -> None:
         c = self.config
-        manifest = {"kind": c.kind, "dim": c.dim, "metric": c.metric, "dtype": c.dtype, "representation": c.representation, "params": c.params}
-        only = {n for n in self.tables if n not in ("rows", "tombstones", "assigned", "edges", "postings", "members")} if model_only else None
+        manifest = {"kind": c.kind, "dim": c.dim, "metric": c.metric, "dtype": c.dtype, "representation": c.representation, "params": c.params, "model": None if self.model is None else Q.to_json(self.model)}
+        only = {n for n in self.tables if n not in ("rows", "tombstones", "lists", "edges", "postings", "members")} if model_only else None
         store.save(spark, path, self.tables, manifest, only)
 
-    def load(self, spark: SparkSession, path: str) -> None:
+    def load(self, spark: SparkSession, path: str, persist: dict | None = None) -> None:
         store.must_be_empty(self.tables)
-        self.tables, manifest = store.load(spark, path)
+        self.tables, manifest = store.load(spark, path, persist)
+        self.model = Q.from_json(manifest["model"]) if manifest.get("model") else None
         self.config = IndexConfig(manifest["kind"], manifest["dim"], manifest["metric"], manifest["dtype"], manifest["representation"], manifest["params"])
 
 
@@ -212,23 +292,42 @@ class Flat(Index):
 
 @register("ivf")
 class Ivf(Index):
+    """Lists of rows by bucket, side by side; with codes, what is left of a row after its centroid may be coded (use_residual)."""
+
     def train(self, vectors: DataFrame) -> None:
         if "centroids" not in self.tables:
             p = self.config.params
-            self.tables["centroids"] = ivf.kmeans(vectors, p.get("buckets", 16), p.get("rounds", 10), p.get("seed", 42), metric=self.config.metric)
+            self.tables["centroids"] = ivf.kmeans(vectors, p.get("buckets", p.get("degree", 16)), p.get("rounds", 10), p.get("seed", 42), metric=self.config.metric)
+        super().train(vectors)
 
     def _derive(self) -> None:
-        self.tables["assigned"] = store.checkpointed(ivf.assign(self.tables["rows"], self.tables["centroids"], self.config.params.get("buckets_per_data", 1), self.config.metric))
+        super()._derive()
+        self.tables["lists"] = ivf.laid_out(ivf.listed(self.tables["rows"], self.tables["centroids"], self.config.params.get("buckets_per_data", 1), self.config.metric))
+
+    def _limited(self, r: SearchRequest) -> bool:
+        return "tombstones" in self.tables or any(x is not None for x in (r.where, r.keep, r.exclude, r.exclude_ids)) or bool(r.paths)
 
     def search(self, r: SearchRequest) -> DataFrame:
         if r.distance is not None:
             return super().search(r)
-        c = self.tables["centroids"]
-        routed = ivf.chosen(r.queries, r.bucket_ids, c.count()) if r.bucket_ids is not None else ivf.route(r.queries, c, r.params.get("scan_buckets_count", 4), self.config.metric)
-        rows = self._live(r)
+        c, m, p = self.tables["centroids"], self.config.metric, self.config.params
+        routed = ivf.chosen(r.queries, r.bucket_ids, c.count()) if r.bucket_ids is not None else ivf.route(r.queries, c, r.params.get("scan_buckets_count", 4), m)
+        lists = self.tables["lists"]
+        if self._limited(r):
+            lists = lists.join(self._live(r).select("id"), "id", "left_semi").select("bucket_id", "id", "vector")
         if r.mode == "range":
-            return ivf.probe(rows, self.tables["assigned"], routed, r.queries, r.limit if r.limit > 0 else None, self.config.metric, r.radius)
-        return ivf.probe(rows, self.tables["assigned"], routed, r.queries, r.k, self.config.metric, r.threshold)
+            return ivf.probe_lists(lists, routed, r.queries, r.limit if r.limit > 0 else None, m, r.radius)
+        if self.model is not None and not isinstance(self.model, (Q.Chain, Q.Rotated)):
+            name = p["codes"]
+            if p.get("use_residual"):
+                coded, decode = ivf.residual_codes(lists, c, lambda v: Q.fit_codes(v, name))
+            else:
+                inner = self.model.decoder()
+                coded, decode = lists.select("bucket_id", "id", self.model.encode(F.col("vector")).alias("code")), lambda codes, bucket: inner(codes)[0]
+            most = planner.candidates_for(r.k, r.params.get("factor", p.get("factor", 4.0)))
+            found = ivf.probe_lists(coded, routed, r.queries, most, m, vector="code", decode=decode)
+            return search.rerank(found, self.rows, r.queries, r.k, m, r.threshold)
+        return ivf.probe_lists(lists, routed, r.queries, r.k, m, r.threshold)
 
     def merge(self, other: Index, id_map: Column | None = None) -> None:
         if self.tables["centroids"].exceptAll(other.tables["centroids"]).head(1):
@@ -236,7 +335,7 @@ class Ivf(Index):
         super().merge(other, id_map)
 
     def stats(self) -> DataFrame:
-        return ivf.bucket_stats(self.tables["assigned"])
+        return ivf.bucket_stats(self.tables["lists"].select("bucket_id", "id"))
 
 
 @register("hgraph")
@@ -244,6 +343,7 @@ class Graph(Index):
     graph_at = 10_000
 
     def _derive(self) -> None:
+        super()._derive()
         p = self.config.params
         if self.tables["rows"].count() < p.get("transition_threshold", self.graph_at):
             self.tables.pop("edges", None)
@@ -254,26 +354,7 @@ class Graph(Index):
     def search(self, r: SearchRequest) -> DataFrame:
         if "edges" not in self.tables or r.mode == "range" or r.distance is not None:
             return super().search(r)
-        live = store.checkpointed(self._live(r).select("id"))
-        n = live.count()
-        valid = r.params.get("valid_ratio", n / max(1, self.tables["rows"].count()))
-        choice = planner.search_strategy(1 << 62, valid, r.params.get("brute_force_threshold", 0.02), has_graph=True)
-        if choice.strategy == "flat":
-            return super().search(r)
-        beam = r.params.get("ef_search", 40)
-        if beam < 1:
-            raise InvalidArgument("ef_search must be at least 1")
-        found = graph.search(self.tables["rows"], self.tables["edges"], r.queries, max(beam, r.k), max(beam, r.k), r.params.get("hops_limit", 12), metric=self.config.metric, among=live)
-        found = store.checkpointed(found.select("qid", "id", "distance"))
-        # queries whose walk met fewer rows than there are get the exact scan
-        enough = found.groupBy("qid").count().filter(F.col("count") >= min(r.k, n)).select("qid")
-        short = r.queries.join(enough, "qid", "left_anti")
-        if n and short.head(1):
-            exact = search.knn(self._live(r), short, r.k, self.config.metric).select("qid", "id", "distance")
-            found = found.join(enough, "qid", "left_semi").select("qid", "id", "distance").union(exact)
-        if r.threshold is not None:
-            found = found.filter(F.col("distance") <= r.threshold)
-        return search.ranked(found, r.k).select("qid", "rank", "id", "distance")
+        return self._walk(self.tables["edges"], self.tables["rows"], r)
 
 
 @register("lazy_hgraph")
@@ -283,7 +364,31 @@ class LazyGraph(Graph):
 
 @register("pyramid")
 class Pyramid(Index):
-    """Rows carry a path column, or path_<name> for further hierarchies; requests name paths."""
+    """Rows carry a path column, or path_<name> for further hierarchies; requests name paths, and a hierarchy if it is not the first.
+
+    A prefix of at least index_min_size rows, whose depth no_build_levels does not have, gets a graph of its own; other prefixes
+    are scanned, which is exact, so the parameters only say how a prefix is searched.
+    """
+
+    def _derive(self) -> None:
+        super()._derive()
+        p = self.config.params
+        self.tables.pop("edges", None)
+        if p.get("index_min_size") and "path" in self.tables["rows"].columns:
+            rows = self.tables["rows"].filter("vector is not null").select("id", "vector", F.explode(hierarchy.prefixes(F.col("path"))).alias("prefix"))
+            rows = rows.filter(~(F.size(F.split("prefix", "/")) - 1).isin(p.get("no_build_levels", [])))
+            built = rows.groupBy("prefix").count().filter(F.col("count") >= p["index_min_size"]).select("prefix")
+            rows = store.checkpointed(rows.join(built, "prefix").withColumn("bucket_id", F.xxhash64("prefix")))
+            self.tables["edges"] = store.checkpointed(ivf.bucket_edges(rows.select("id", "vector").distinct(), rows.select("bucket_id", "id"), p.get("degree", 16), self.config.metric))
+
+    def search(self, r: SearchRequest) -> DataFrame:
+        path = r.paths[0].strip("/") if r.paths and len(r.paths) == 1 and "|" not in r.paths[0] else ""
+        if not path or r.hierarchy or r.mode != "knn" or r.distance is not None or "edges" not in self.tables:
+            return super().search(r)
+        own = self.tables["edges"].filter(F.col("bucket_id") == F.xxhash64(F.lit(path)))
+        if not own.head(1):
+            return super().search(r)
+        return self._walk(graph.undirected(own.select("src", "dst", "distance")), self.tables["rows"].filter(hierarchy.under("path", path)), r)
 
 
 @register("sindi", "sindi_v2")
@@ -291,11 +396,35 @@ class Sparse(Index):
     """Rows are postings (id, term, weight); queries have (qid, term, weight)."""
 
     def build(self, vectors: DataFrame) -> DataFrame:
-        p = self.config.params
-        rows = vectors.select("id", "term", "weight")
-        self.tables["rows"] = rows
-        self.tables["postings"] = sparse.prune_documents(rows, p["doc_prune_ratio"]) if p.get("doc_prune_ratio") else rows
-        return vectors.select("id").limit(0)
+        self._change()
+        self.tables["rows"] = vectors.limit(0)
+        return self.add(vectors)
+
+    def add(self, vectors: DataFrame) -> DataFrame:
+        """Adds whole documents; fails those whose id is there."""
+        self._change()
+        if "rows" not in self.tables:
+            return self.build(vectors)
+        known = store.checkpointed(self.tables["rows"].select("id").distinct())
+        fresh = vectors.join(known, "id", "left_anti").select(*vectors.columns)
+        self.tables["rows"] = store.checkpointed(self.tables["rows"].unionByName(fresh, allowMissingColumns=True))
+        self._derive()
+        return vectors.select("id").distinct().join(known, "id", "left_semi")
+
+    def _derive(self) -> None:
+        p, rows = self.config.params, self.tables["rows"]
+        if p.get("doc_prune_ratio"):
+            rows = sparse.prune_documents(rows, p["doc_prune_ratio"])
+        if p.get("term_prune_ratio"):
+            rows = sparse.prune_terms(rows, p["term_prune_ratio"])
+        if p.get("codes") == "sq8":
+            rows = sparse.quantize_values(rows).drop("code")
+        # a term's postings side by side, so that a search reads those of its terms
+        self.tables["postings"] = store.checkpointed(rows.repartitionByRange("term", "id").sortWithinPartitions("term"))
+
+    def count(self) -> tuple[int, int]:
+        total, live = (df.select("id").distinct().count() for df in (self.tables["rows"], self.rows))
+        return live, total - live
 
     def search(self, r: SearchRequest) -> DataFrame:
         q = sparse.prune_queries(r.queries, r.params["query_prune_ratio"]) if r.params.get("query_prune_ratio") else r.queries
@@ -344,12 +473,11 @@ class TokenClusters(Warp):
 
 
 def coded_knn(base: DataFrame, model: Q.Scalar | Q.Product, queries: DataFrame, k: int, metric: str = "l2", factor: float = 0.0) -> DataFrame:
-    """Search on decoded codes; with factor > 1 that many times k candidates are scored again on the vectors."""
-    D.distance(metric)
-    decoded = base.withColumn("vector", model.decode(model.encode(F.col("vector"))))
-    if factor <= 1:
-        return search.knn(decoded, queries, k, metric)
-    return search.rerank(search.knn(decoded, queries, planner.candidates_for(k, factor), metric), base, queries, k, metric)
+    """Search on codes; with factor > 1 that many times k candidates are scored again on the vectors."""
+    codes = base.withColumn("code", model.encode(F.col("vector")))
+    most = planner.candidates_for(k, factor) if factor > 1 else k
+    found = search.ranked(search.candidates(codes, queries, metric, most, vector="code", decode=model.decoder()), most)
+    return found.select("qid", "rank", "id", "distance") if factor <= 1 else search.rerank(found, base, queries, k, metric)
 
 
 def dimension_check(queries: DataFrame, dim: int) -> None:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import itertools
+import json
 import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfield.errors import InvalidArgument
+
 
 def recall(result: DataFrame, truth: DataFrame) -> DataFrame:
     """(qid, recall): the share of true ids that the result has."""
@@ -83,3 +86,41 @@ def tune(spark: SparkSession, grid: dict[str, list], run: Callable[[dict], DataF
     good = [r for r in rows if r[1] >= least_recall]
     best = min(good, key=lambda r: r[2])[0] if good else None
     return spark.createDataFrame([(*r, r[0] == best) for r in rows], "params string, recall double, seconds double, chosen boolean")
+
+
+def detail(tables: dict[str, DataFrame], spark: SparkSession) -> DataFrame:
+    """(component, rows, columns): what an index is made of."""
+    return spark.createDataFrame([(name, df.count(), ",".join(df.columns)) for name, df in sorted(tables.items())], "component string, rows long, columns string")
+
+
+def analyze(search: Callable[[], DataFrame], truth: DataFrame) -> dict[str, float]:
+    """Recall of a search, its mean distance, the mean bias against the true distances of the same ranks, and seconds."""
+    began = time.perf_counter()
+    got = search().cache()
+    rows = got.count()
+    spent = time.perf_counter() - began
+    both = got.join(truth.select("qid", "rank", F.col("distance").alias("_t")), ["qid", "rank"])
+    mean = got.agg(F.avg("distance")).first()[0] or 0.0
+    bias = both.agg(F.avg(F.col("distance") - F.col("_t"))).first()[0] or 0.0
+    out = {"recall": recall(got, truth).agg(F.avg("recall")).first()[0] or 0.0, "distance": mean, "bias": bias, "rows": rows, "seconds": spent}
+    got.unpersist()
+    return out
+
+
+def edge_quality(edges: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row: the share of true nearest neighbours among the edges, and the mean distance of edges and of true ones."""
+    hit = exact.select("src", "dst").join(edges.select("src", "dst").withColumn("_hit", F.lit(1)), ["src", "dst"], "left")
+    share = hit.agg(F.avg(F.coalesce("_hit", F.lit(0)).cast("double")).alias("recall"))
+    return share.join(F.broadcast(edges.agg(F.avg("distance").alias("mean_distance")))).join(F.broadcast(exact.agg(F.avg("distance").alias("exact_distance"))))
+
+
+def export(measures: dict[str, float], form: str = "table", name: str = "search", tags: dict[str, str] | None = None) -> str:
+    """Measures as a table, JSON, or a line of name, tags and fields."""
+    if form == "json":
+        return json.dumps({"name": name, **(tags or {}), **measures}, sort_keys=True)
+    if form == "line":
+        return ",".join([name, *(f"{k}={v}" for k, v in sorted((tags or {}).items()))]) + " " + ",".join(f"{k}={v}" for k, v in sorted(measures.items()))
+    if form != "table":
+        raise InvalidArgument("form must be table, json or line")
+    width = max(map(len, measures), default=0)
+    return "\n".join(f"{k:<{width}}  {v:.6g}" for k, v in sorted(measures.items()))

@@ -6,6 +6,7 @@ one join a hop.
 
 from __future__ import annotations
 
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from nearfield.errors import InvalidArgument
 from nearfield.functions import distance as D
-from nearfield.operators.search import candidates, ranked
+from nearfield.operators.search import BLOCK, candidates, parts, ranked
 from nearfield.sources.store import checkpointed
 
 
@@ -97,8 +98,9 @@ def search(base: DataFrame, edges: DataFrame, queries: DataFrame, k: int, beam:
     vectors = base.filter("vector is not null").select("id", "vector")
     starts = vectors.orderBy(F.xxhash64("id")).limit(entry).select("id")
     q = queries.select("qid", "q")
-    if q.limit(4097).count() > 4096:
-        raise InvalidArgument("at most 4096 queries a walk")
+    split = parts(q, BLOCK)
+    if len(split) > 1:
+        return reduce(DataFrame.union, [checkpointed(search(base, edges, part, k, beam, hops, entry, metric, where, among)) for part in split])
 
     def measured(pairs: DataFrame) -> DataFrame:
         return pairs.join(vectors, "id").join(F.broadcast(q), "qid").select("qid", "id", d(F.col("vector"), F.col("q")).alias("distance"))

@@ -23,7 +23,8 @@ def under(column: str, paths: str) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def _column(base: DataFrame, hierarchy: str) -> str:
+def column(base: DataFrame, hierarchy: str) -> str:
+    """The path column of a hierarchy; raises if there is none."""
     name = f"path_{hierarchy}" if hierarchy else "path"
     if name not in base.columns:
         raise InvalidArgument(f"no hierarchy {hierarchy!r}")
@@ -31,12 +32,12 @@ def _column(base: DataFrame, hierarchy: str) -> str:
 
 
 def knn(base: DataFrame, queries: DataFrame, k: int, paths: str, metric: str = "l2", hierarchy: str = "") -> DataFrame:
-    rows = base.filter(under(_column(base, hierarchy), paths))
+    rows = base.filter(under(column(base, hierarchy), paths))
     return ranked(candidates(rows, queries, metric, k), k).select("qid", "rank", "id", "distance")
 
 
 def range_search(base: DataFrame, queries: DataFrame, radius: float, paths: str, metric: str = "l2", hierarchy: str = "") -> DataFrame:
-    rows = base.filter(under(_column(base, hierarchy), paths))
+    rows = base.filter(under(column(base, hierarchy), paths))
     return ranked(candidates(rows, queries, metric, None, radius)).select("qid", "rank", "id", "distance")
 
 
@@ -46,7 +47,7 @@ def combined(base: DataFrame, queries: DataFrame, k: int, wanted: dict[str, str]
         raise InvalidArgument("how must be union or intersection")
     cond = None
     for h, p in wanted.items():
-        c = under(_column(base, h), p)
+        c = under(column(base, h), p)
         cond = c if cond is None else (cond | c if how == "union" else cond & c)
     return ranked(candidates(base.filter(cond), queries, metric, k), k).select("qid", "rank", "id", "distance")
 

@@ -6,7 +6,8 @@ routing, which a limit checks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 
 from nearfield.errors import InvalidArgument
 from nearfield.functions import distance as D
-from nearfield.operators.search import candidates, matrix, ranked, scored
+from nearfield.operators.search import ARROW, BLOCK, Best, candidates, collected, direct, matrix, parts, ranked, scored
+from nearfield.sources.store import checkpointed
 
 MOST_BUCKETS = 1 << 17
 
@@ -106,16 +108,75 @@ def chosen(queries: DataFrame, bucket_ids: list[int], buckets: int) -> DataFrame
     return queries.select("qid", F.explode(F.array(*map(F.lit, bucket_ids)).cast("array<long>")).alias("bucket_id"))
 
 
+def listed(base: DataFrame, centroids: DataFrame, per_row: int = 1, metric: str = "l2") -> DataFrame:
+    """(bucket_id, id, vector): each row under its buckets, in one pass without a shuffle."""
+    ids, c = _collected(centroids)
+    sent = base.sparkSession.sparkContext.broadcast((ids, c))
+    kind = base.schema["vector"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, c = sent.value
+        m = min(per_row, len(ids))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                near = np.argsort(scored(matrix(part.column(1)), c, metric), axis=1, kind="stable")[:, :m]
+                row = np.repeat(np.arange(len(near)), m)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[near.ravel()]), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row))], names=["bucket_id", "id", "vector"])
+
+    return base.filter("vector is not null").select("id", "vector").mapInArrow(run, f"bucket_id long, id long, vector {kind.simpleString()}")
+
+
+def laid_out(lists: DataFrame) -> DataFrame:
+    """lists written with the rows of a bucket side by side, so that a filter on buckets skips what it doesn't need."""
+    return checkpointed(lists.repartitionByRange("bucket_id", "id").sortWithinPartitions("bucket_id"))
+
+
+def probe_lists(lists: DataFrame, routed: DataFrame, queries: DataFrame, k: int | None = 10, metric: str = "l2", radius: float | None = None, vector: str = "vector", decode=None) -> DataFrame:
+    """Scores (bucket_id, id, vector) rows of routed buckets against the queries routed there, a matrix product a batch and bucket; a
+    row that lies in several buckets counts once, at its least distance. Only k rows a query and task are shuffled.
+    decode: from an Arrow column of codes and their bucket to a matrix."""
+    spark = lists.sparkSession
+    out = []
+    split = parts(queries.select("qid", "q"), BLOCK)
+    routed = routed.select("qid", "bucket_id")
+    for part in split:
+        qid, q = collected(part)
+        to = (routed if len(split) == 1 else routed.join(part.select("qid"), "qid", "left_semi")).toArrow()  # at most BLOCK x probes pairs
+        buckets, at = np.unique(to["bucket_id"].to_numpy(), return_inverse=True)
+        row = np.searchsorted(qid, to["qid"].to_numpy()) if len(qid) else np.zeros(0, np.int64)
+        sent = spark.sparkContext.broadcast((qid, q, {int(b): np.sort(row[at == i]) for i, b in enumerate(buckets)}))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            qid, q, wanted = sent.value
+            best = Best(len(qid), k, radius)
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 1024):
+                    rows = batch.slice(lo, 1024)
+                    bucket, ids = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+                    for b in np.unique(bucket):
+                        if (which := wanted.get(int(b))) is not None:
+                            here = np.flatnonzero(bucket == b)
+                            codes = rows.column(2).take(pa.array(here))
+                            best.add(ids[here], matrix(codes) if decode is None else decode(codes, int(b)), q[which], which, metric)
+                    if k is None:
+                        j, ids, d = best.take()
+                        yield pa.RecordBatch.from_arrays([qid[j], ids, d], schema=ARROW)
+            j, ids, d = best.take()
+            yield pa.RecordBatch.from_arrays([qid[j], ids, d], schema=ARROW)
+
+        only = lists.filter(F.col("bucket_id").isin(buckets.tolist())) if len(buckets) <= 1024 else lists
+        rows = only.filter(F.col(vector).isNotNull()).select("bucket_id", "id", vector).mapInArrow(run, "qid long, id long, distance double")
+        found = ranked(rows.groupBy("qid", "id").agg(F.min("distance").alias("distance")), k).select("qid", "rank", "id", "distance")
+        out.append(checkpointed(found) if len(split) > 1 else found)
+    return reduce(DataFrame.union, out)
+
+
 def probe(base: DataFrame, assigned: DataFrame, routed: DataFrame, queries: DataFrame, k: int | None = 10, metric: str = "l2", radius: float | None = None, where=None) -> DataFrame:
-    """Scores the rows of the routed buckets; a row that lies in several counts once, at its least distance."""
-    d = D.distance(metric)
+    """probe_lists() where rows and their buckets are two tables: those of routed buckets are joined first."""
     base = base if where is None else base.filter(where)
-    stored = assigned.join(base.select("id", "vector"), "id")
-    rows = stored.join(routed.select("qid", "bucket_id"), "bucket_id").join(queries.select("qid", "q"), "qid").select("qid", "id", d(F.col("vector"), F.col("q")).alias("distance"))
-    rows = rows.groupBy("qid", "id").agg(F.min("distance").alias("distance")).filter(~F.isnan("distance"))
-    if radius is not None:
-        rows = rows.filter(F.col("distance") <= radius)
-    return ranked(rows, k).select("qid", "rank", "id", "distance")
+    some = assigned.join(routed.select("bucket_id").distinct(), "bucket_id", "left_semi")
+    return probe_lists(some.join(base.select("id", "vector"), "id").select("bucket_id", "id", "vector"), routed, queries, k, metric, radius)
 
 
 def residuals(base: DataFrame, assigned: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -124,6 +185,59 @@ def residuals(base: DataFrame, assigned: DataFrame, centroids: DataFrame) -> Dat
     return rows.select("id", "bucket_id", D.subtract(F.col("vector"), F.col("centroid")).alias("vector"))
 
 
+def residual_codes(lists: DataFrame, centroids: DataFrame, fit) -> tuple[DataFrame, Callable]:
+    """(lists with code in place of vector: what fit, a function from vectors to a quantizer, makes of the residuals; the decode
+    of probe_lists(), which adds the centroids again)."""
+    rest = lists.join(centroids, "bucket_id").select("bucket_id", "id", D.subtract(F.col("vector"), F.col("centroid")).alias("vector"))
+    model = fit(rest)
+    ids, c = _collected(centroids)
+    at, inner = {int(b): v for b, v in zip(ids, c, strict=True)}, model.decoder()
+    return rest.select("bucket_id", "id", model.encode(F.col("vector")).alias("code")), lambda codes, bucket: inner(codes)[0] + at[bucket]
+
+
+def graph_probe(lists: DataFrame, edges: DataFrame, routed: DataFrame, queries: DataFrame, k: int = 10, beam: int = 40, metric: str = "l2") -> DataFrame:
+    """Walks the graph of each routed bucket (bucket_edges()) with a beam from its first rows, in place of a scan; a bucket's rows, edges
+    and queries meet in a task."""
+    schema = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
+    both = edges.select("bucket_id", "src", "dst").union(edges.select("bucket_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    near = both.groupBy("bucket_id", F.col("src").alias("id")).agg(F.collect_list("dst").alias("near"))
+    sent = routed.join(queries.select("qid", "q"), "qid").select("bucket_id", F.col("qid").alias("id"), F.transform("q", lambda x: x.cast("double")).alias("vector"), F.lit(None).cast("array<bigint>").alias("near"), F.lit(True).alias("asks"))
+    rows = lists.join(near, ["bucket_id", "id"], "left").select("bucket_id", "id", F.transform("vector", lambda x: x.cast("double")).alias("vector"), "near", F.lit(False).alias("asks"))
+    rows = rows.join(routed.select("bucket_id").distinct(), "bucket_id", "left_semi")
+
+    def run(t: pa.Table) -> pa.Table:
+        asks = t["asks"].to_numpy()
+        mine, theirs = t.filter(pa.array(~asks)).sort_by("id"), t.filter(pa.array(asks))
+        ids = mine["id"].to_numpy()
+        out: list[tuple[int, int, float]] = []
+        if not len(ids):
+            return schema.empty_table()
+        x = matrix(mine["vector"].combine_chunks())
+        lists_ = [np.searchsorted(ids, v or []).astype(int) for v in mine["near"].to_pylist()]
+        for qid, v in zip(theirs["id"].to_pylist(), theirs["vector"].to_pylist(), strict=True):
+            q = np.array(v)[None]
+            d, done = np.full(len(ids), np.inf), np.zeros(len(ids), bool)
+            start = np.unique(np.linspace(0, len(ids) - 1, 8).astype(int))
+            d[start] = direct(x[start], np.repeat(q, len(start), 0), metric)
+            while True:
+                met = np.flatnonzero(np.isfinite(d))
+                best = met[np.argsort(d[met], kind="stable")[:beam]]
+                go = best[~done[best]]
+                if not len(go):
+                    break
+                done[go] = True
+                new = np.unique(np.concatenate([lists_[i] for i in go]))
+                new = new[~np.isfinite(d[new])]
+                if len(new):
+                    d[new] = direct(x[new], np.repeat(q, len(new), 0), metric)
+            found = np.lexsort((ids, d))[:k]
+            out += [(qid, int(ids[i]), float(d[i])) for i in found if np.isfinite(d[i])]
+        return pa.Table.from_arrays([pa.array([r[c] for r in out], f.type) for c, f in enumerate(schema)], schema=schema)
+
+    found = rows.union(sent).groupBy("bucket_id").applyInArrow(run, "qid long, id long, distance double")
+    return ranked(found.groupBy("qid", "id").agg(F.min("distance").alias("distance")), k).select("qid", "rank", "id", "distance")
+
+
 def two_level(first: DataFrame, second: DataFrame) -> DataFrame:
     """Centroids s + t for every pair; bucket = s * number of second centroids + t. Both sides are small models."""
     t = second.select(F.col("bucket_id").alias("t"), F.col("centroid").alias("ct"))

@@ -47,8 +47,9 @@ def merge(base: DataFrame, other: DataFrame, id_map: Column | None = None) -> Da
 
 
 def apply_log(base: DataFrame, log: DataFrame) -> DataFrame:
-    """log: (id, at, action add or remove, and the columns of base but id). The last action of an id decides."""
-    last = Window.partitionBy("id").orderBy(F.desc("at"))
+    """log: (id, at, action add or remove, and the columns of base but id). The last action of an id decides, of several
+    at one time the one whose columns have the largest hash."""
+    last = Window.partitionBy("id").orderBy(F.desc("at"), F.desc(F.xxhash64(*[F.col(c) for c in sorted(log.columns)])))
     final = log.withColumn("_n", F.row_number().over(last)).filter("_n = 1")
     kept = base.join(final.select("id"), "id", "left_anti")
     return kept.unionByName(final.filter("action = 'add'").select(*base.columns))

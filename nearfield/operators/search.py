@@ -1,14 +1,16 @@
 """Exact search: top k, range, thresholds, pages, distances by id.
 
 The base is a DataFrame with id and vector; a query set has qid and q. The query set is held in blocks of bounded
-size: each task scores its Arrow batches against a block with one matrix product and keeps its best k for each query,
-and a window limit merges the tasks' candidates. So k rows a query and task are shuffled, whatever the base's size.
-Non-finite distances are never returned; ties go by id.
+size: each task scores its Arrow batches against a block with one matrix product, computes the distances of what may be among
+the best again, directly, and keeps its best k for each query; a window limit merges the tasks' candidates. So k rows
+a query and task are shuffled, whatever the base's size. Query sets too large for one plan are answered part by part, each
+written before the next. Non-finite distances are never returned; ties go by id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +19,10 @@ from pyspark.sql import functions as F
 
 from nearfield.errors import InvalidArgument
 from nearfield.functions import distance as D
+from nearfield.sources.store import checkpointed
 
 #: Queries in a block, and blocks that one plan may have.
-BLOCK, BLOCKS = 4096, 64
+BLOCK, BLOCKS = 4096, 16
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -44,52 +47,145 @@ def scored(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return out
 
 
-def _blocks(queries: DataFrame) -> list[tuple[list[int], np.ndarray]]:
-    rows = queries.select("qid", "q").limit(BLOCK * BLOCKS + 1).collect()
-    if len(rows) > BLOCK * BLOCKS:
-        raise InvalidArgument(f"a query set may have {BLOCK * BLOCKS} rows; deal it out into several")
-    rows.sort(key=lambda r: r.qid)
-    return [([r.qid for r in rows[i : i + BLOCK]], np.array([r.q for r in rows[i : i + BLOCK]], np.float64)) for i in range(0, len(rows), BLOCK)]
-
-
-def candidates(base: DataFrame, queries: DataFrame, metric: str, k: int | None, radius: float | None = None, vector: str = "vector") -> DataFrame:
-    """(qid, id, distance): for each query the task-wise best k, or all within radius."""
+def products(x: np.ndarray, q: np.ndarray, metric: str, square: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | float]:
+    """rows x queries distances by one matrix product, and how far they may be from direct sums. square: squared lengths
+    of rows, where they are not those of x."""
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        dot = x @ q.T
+        if metric == "ip":
+            return 1 - dot, 1e-12 * (np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * x.shape[1] + 1)
+        if metric == "cosine":
+            return 1 - dot / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None]), 1e-12
+        xx = np.einsum("ij,ij->i", x, x) if square is None else square
+        qq = np.einsum("ij,ij->i", q, q)
+        return xx[:, None] + qq[None] - 2 * dot, 1e-12 * (xx[:, None] + qq[None] + 1)
+
+
+def direct(x: np.ndarray, q: np.ndarray, metric: str, square: np.ndarray | None = None) -> np.ndarray:
+    """Distances of pairs of rows, each summed in the same order wherever it is computed."""
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        if metric == "l2" and square is None:
+            return ((x - q) ** 2).sum(axis=1)
+        dot = (x * q).sum(axis=1)
+        if metric == "l2":
+            return square + (q * q).sum(axis=1) - 2 * dot
+        return 1 - dot if metric == "ip" else 1 - dot / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum(axis=1)))
+
+
+class Best:
+    """The best k ids of each query seen so far (None: all within radius)."""
+
+    def __init__(self, queries: int, k: int | None, radius: float | None) -> None:
+        self.k, self.radius = k, radius
+        self.held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        self.cut = np.full(queries, np.inf)
+
+    def add(self, ids: np.ndarray, x: np.ndarray, q: np.ndarray, which: np.ndarray, metric: str, square: np.ndarray | None = None) -> None:
+        """Rows against some queries: q is theirs, which their numbers."""
+        d, off = products(x, q, metric, square)
+        with np.errstate(invalid="ignore"):
+            stay = np.isfinite(d)
+            most = np.full(len(which), np.inf) if self.radius is None else np.full(len(which), self.radius)
+            if self.k is not None:
+                most = np.minimum(most, self.cut[which])
+                if len(d) > self.k:
+                    kth = np.partition(np.where(stay, d, np.inf), self.k - 1, axis=0)[self.k - 1]
+                    most = np.minimum(most, kth + (off.max(axis=0) if isinstance(off, np.ndarray) else off))
+            i, j = np.nonzero(stay & (d - off <= most[None]))
+        for at in range(0, len(i), 1 << 16):
+            a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            exact = direct(x[a], q[b], metric, None if square is None else square[a])
+            good = np.isfinite(exact) if self.radius is None else exact <= self.radius
+            self.held = [np.concatenate(z) for z in zip(self.held, (which[b[good]], ids[a[good]], exact[good]), strict=True)]
+            if self.k is not None and len(self.held[0]) > 4 * self.k * len(self.cut) + (1 << 16):
+                self._shrink()
+        if self.k is not None:
+            self._shrink()
+
+    def _shrink(self) -> None:
+        j, ids, d = self.held
+        order = np.lexsort((ids, d, j))
+        j, ids, d = j[order], ids[order], d[order]
+        again = np.zeros(len(j), bool)  # an id that lies in several buckets counts once
+        by = np.lexsort((d, ids, j))
+        again[by[1:]] = (j[by][1:] == j[by][:-1]) & (ids[by][1:] == ids[by][:-1])
+        j, ids, d = j[~again], ids[~again], d[~again]
+        rank = np.arange(len(j)) - np.searchsorted(j, j)
+        keep = rank < self.k
+        self.held = [j[keep], ids[keep], d[keep]]
+        last = rank == self.k - 1
+        self.cut[j[last]] = d[last]
+
+    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        out, self.held = tuple(self.held), [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return out
+
+
+def parts(queries: DataFrame, most: int) -> list[DataFrame]:
+    """The query set whole, or in parts of about so many, by hash of the id."""
+    if queries.limit(most + 1).count() <= most:
+        return [queries]
+    written = checkpointed(queries)
+    n = 2 * (-(-written.count() // most))
+    return [written.filter(F.pmod(F.xxhash64("qid"), F.lit(n)) == i) for i in range(n)]
+
+
+def collected(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a query set that parts() has bounded, by id."""
+    got = queries.select("qid", "q").toArrow()
+    if not got.num_rows:
+        return np.zeros(0, np.int64), np.zeros((0, 0))
+    if got["q"].null_count:
+        raise InvalidArgument("queries must not be null")
+    if len({len(x) for x in got["q"].to_pylist()}) > 1:
+        raise InvalidArgument("queries differ in length")
+    qid, q = got["qid"].to_numpy(), matrix(got["q"].combine_chunks())
+    order = np.argsort(qid, kind="stable")
+    return qid[order].astype(np.int64), q[order]
+
+
+ARROW = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
+
+
+def candidates(base: DataFrame, queries: DataFrame, metric: str, k: int | None, radius: float | None = None, vector: str = "vector", decode: Callable | None = None) -> DataFrame:
+    """(qid, id, distance): for each query the task-wise best k, or all within radius. decode: from an Arrow column of codes to
+    (matrix, squared lengths or None), so that a task reads codes and no vectors are made of them outside it."""
     D.distance(metric)
     spark = base.sparkSession
     schema = "qid long, id long, distance double"
-    arrow = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
-    out = None
-    for qids, q in _blocks(queries):
-        sent = spark.sparkContext.broadcast((np.array(qids, np.int64), q))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            qid, q = sent.value
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(qid)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 2048):
-                    part = batch.slice(at, 2048)
-                    ids = part.column(0).to_numpy(zero_copy_only=False)
-                    x = matrix(part.column(1))
-                    if len(x) and x.shape[1] != q.shape[1]:
-                        raise ValueError(f"queries have {q.shape[1]} dimensions, the base {x.shape[1]}")
-                    for j, d in enumerate(scored(x, q, metric).T if len(x) else ()):
-                        keep = np.isfinite(d) if radius is None else d <= radius
-                        if k is not None and keep.sum() > k:
-                            cut = np.partition(d[keep], k - 1)[k - 1]
-                            keep &= d <= cut
+    rows = base.filter(F.col(vector).isNotNull()).select("id", vector)
+    split = parts(queries, BLOCK * BLOCKS)
+    outs = []
+    for part in split:
+        qids, vectors = collected(part)
+        plans = []
+        for at in range(0, len(qids), BLOCK):
+            sent = spark.sparkContext.broadcast((qids[at : at + BLOCK], vectors[at : at + BLOCK]))  # at most BLOCK vectors
+
+            def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+                qid, q = sent.value
+                best, every = Best(len(qid), k, radius), np.arange(len(qid))
+                step = max(64, min(2048, (1 << 21) // len(qid)))
+                for batch in batches:
+                    for at in range(0, batch.num_rows, step):
+                        part = batch.slice(at, step)
+                        x, square = (matrix(part.column(1)), None) if decode is None else decode(part.column(1))
+                        if len(x) and x.shape[1] != q.shape[1]:
+                            raise ValueError(f"queries have {q.shape[1]} dimensions, the base {x.shape[1]}")
+                        if len(x):
+                            best.add(part.column(0).to_numpy(zero_copy_only=False), x, q, every, metric, square)
                         if k is None:
-                            if keep.any():
-                                yield pa.RecordBatch.from_arrays([np.full(keep.sum(), qid[j]), ids[keep], d[keep]], schema=arrow)
-                            continue
-                        dd, ii = np.concatenate([best[j][0], d[keep]]), np.concatenate([best[j][1], ids[keep]])
-                        order = np.lexsort((ii, dd))[:k]
-                        best[j] = dd[order], ii[order]
-            if k is not None:
-                yield pa.RecordBatch.from_arrays([np.repeat(qid, [len(b[0]) for b in best]), np.concatenate([b[1] for b in best]), np.concatenate([b[0] for b in best])], schema=arrow)
+                            j, ids, d = best.take()
+                            yield pa.RecordBatch.from_arrays([qid[j], ids, d], schema=ARROW)
+                if k is not None:
+                    j, ids, d = best.take()
+                    yield pa.RecordBatch.from_arrays([qid[j], ids, d], schema=ARROW)
 
-        rows = base.filter(F.col(vector).isNotNull()).select("id", vector).mapInArrow(run, schema)
-        out = rows if out is None else out.union(rows)
-    return out if out is not None else spark.createDataFrame([], schema)
+            plans.append(rows.mapInArrow(run, schema))
+        if plans:
+            found = reduce(DataFrame.union, plans)
+            outs.append(checkpointed(found if k is None else ranked(found, k).drop("rank")) if len(split) > 1 else found)
+    return reduce(DataFrame.union, outs) if outs else spark.createDataFrame([], schema)
 
 
 def ranked(scores: DataFrame, k: int | None = None, keys: tuple[str, ...] = ("qid",)) -> DataFrame:
@@ -123,13 +219,15 @@ def range_search(base: DataFrame, queries: DataFrame, radius: float, metric: str
 def knn_by_expression(base: DataFrame, queries: DataFrame, k: int, score: Callable[[Column, Column], Column], vector: str = "vector", where: Column | None = None) -> DataFrame:
     """Top k by any column function of (vector, q), such as a user's own distance or a pandas UDF. Non-finite values raise."""
     base = base if where is None else base.filter(where)
-    small = base.sparkSession.createDataFrame(queries.select("qid", "q").limit(BLOCK + 1).collect(), queries.select("qid", "q").schema)
-    if small.count() > BLOCK:
-        raise InvalidArgument(f"at most {BLOCK} queries")
-    rows = base.select("id", vector).join(F.broadcast(small)).withColumn("distance", score(F.col(vector), F.col("q")))
-    bad = F.isnan("distance") | (F.abs("distance") == float("inf"))
-    rows = rows.withColumn("distance", F.when(bad, F.raise_error(F.lit("the distance function returned a value that is not finite")).cast("double")).otherwise(F.col("distance")))
-    return ranked(rows.select("qid", "id", "distance"), k).select("qid", "rank", "id", "distance")
+    outs = []
+    split = parts(queries.select("qid", "q"), BLOCK)
+    for part in split:
+        rows = base.select("id", vector).join(F.broadcast(part)).withColumn("distance", score(F.col(vector), F.col("q")))  # at most about BLOCK queries
+        bad = F.isnan("distance") | (F.abs("distance") == float("inf"))
+        rows = rows.withColumn("distance", F.when(bad, F.raise_error(F.lit("the distance function returned a value that is not finite")).cast("double")).otherwise(F.col("distance")))
+        found = ranked(rows.select("qid", "id", "distance"), k).select("qid", "rank", "id", "distance")
+        outs.append(checkpointed(found) if len(split) > 1 else found)
+    return reduce(DataFrame.union, outs)
 
 
 def page(scores: DataFrame, k: int, after: dict[int, tuple[float, int]] | None = None, number: int | None = None) -> DataFrame:

@@ -10,10 +10,14 @@ from nearfield.operators.search import ranked
 MOST_TERM = 1_000_000
 
 
-def tokens(docs: DataFrame, key: str, text: str = "text", name: str = "id") -> DataFrame:
-    """(name, term, weight): lower-case runs of a to z of two letters or more, and how often each occurs."""
+def tokens(docs: DataFrame, key: str, text: str = "text", name: str = "id", only: DataFrame | None = None) -> DataFrame:
+    """(name, term, weight): lower-case runs of a to z of two letters or more, and how often each occurs; only: just its terms,
+    the others going before they are counted."""
     words = F.filter(F.split(F.lower(text), "[^a-z]+"), lambda x: F.length(x) >= 2)
-    return docs.select(F.col(key).alias(name), F.explode(words).alias("term")).groupBy(name, "term").agg(F.count("*").cast("double").alias("weight"))
+    each = docs.select(F.col(key).alias(name), F.explode(words).alias("term"))
+    if only is not None:
+        each = each.join(only.select("term").distinct(), "term", "left_semi")
+    return each.groupBy(name, "term").agg(F.count("*").cast("double").alias("weight"))
 
 
 def from_arrays(rows: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from nearfield.errors import InvalidArgument, UnknownField
 
 _TOKEN = re.compile(
     r"""\s+|\#[^\n]*
-    |(?P<number>-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?![0-9A-Za-z_]))
+    |(?P<number>-?(?:(?:0|[1-9][0-9]*)(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?(?![0-9A-Za-z_.]))
     |(?P<string>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')
     |(?P<op>&&|\|\||!=|>=|<=|==|[=<>!()\[\],+\-*/])
     |(?P<name>[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*)""",
@@ -46,6 +46,8 @@ class _Parser:
             if not m:
                 raise InvalidArgument(f"unexpected {text[at:at + 10]!r} at {at}")
             if m.lastgroup:
+                if m.lastgroup == "number" and self.tokens[-1:] == [("op", "+")] and (len(self.tokens) == 1 or self.tokens[-2][0] == "op" and self.tokens[-2][1] not in (")", "]")):
+                    self.tokens.pop()  # a sign, as no operand stands before it
                 self.tokens.append((m.lastgroup, m[0]))
             at = m.end()
         self.tokens.append(("end", ""))
@@ -123,7 +125,7 @@ class _Parser:
         if kind == "name":
             return self.field(text)
         if kind == "number":
-            return float(text) if "." in text else int(text)
+            return _number(text)
         raise InvalidArgument(f"unexpected {text!r}")
 
     @staticmethod
@@ -149,9 +151,9 @@ class _Parser:
     def coerced(f: _Field, text: str, quoted: bool) -> Column:
         if isinstance(f.kind, T.StringType):
             return F.lit(text)
-        if quoted and not re.fullmatch(r"-?[0-9]+(\.[0-9]+)?", text):
+        if quoted and not re.fullmatch(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?", text):
             raise InvalidArgument(f"{text!r} is no number")
-        return F.lit(float(text) if "." in text else int(text))
+        return F.lit(_number(text))
 
     def values(self, f: _Field) -> Column:
         """[a, b] or "a|b" with an optional separator."""
@@ -199,6 +201,10 @@ class _Parser:
         raise InvalidArgument(f"unexpected {op!r}")
 
 
+def _number(text: str) -> float | int:
+    return float(text) if any(c in text for c in ".eE") else int(text)
+
+
 def _overlap(f: _Field, values: Column) -> Column:
     return F.coalesce(F.exists(f.values, lambda x: F.array_contains(values, x)), F.lit(False))
 

@@ -72,6 +72,7 @@ class SearchRequest:
     exclude: Column | None = None
     exclude_ids: DataFrame | None = None
     paths: list[str] | None = None
+    hierarchy: str = ""
     bucket_ids: list[int] | None = None
     distance: Callable[[Column, Column], Column] | None = None
     expected: DataFrame | None = None

@@ -14,7 +14,7 @@ SCHEMA = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("tags
         ("tags = 2", [1, 5]), ("tags != 2", [2, 3, 4]), ("tags IN [1, 3]", [1, 2, 5]), ("tags NOT_IN [1, 3]", [3, 4]), ("tags notin [1]", [2, 3, 4, 5]),
         ('name = "a"', [1]), ("name = 5", [5]), ('name != "a"', [2, 3, 4, 5]), ("id = 1 OR id = 2 AND n = 5", [2]), ("id = 1 OR (id = 2 AND n = 5)", [1, 2]),
         ('multi_in(tags, "1|3", "|")', [1, 2, 5]), ('MULTI_NOTIN(name, "a,b", ",")', [3, 4, 5]), ("n > 5 && n <= 9", [3, 4]), ("!(n = 5) || id = 2", [1, 2, 3, 4]),
-        ("n + 1 = 6 # five", [2, 5]), ("n * 2 - 1 >= 13", [3, 4]), ("n = -5", []), ("(n + 2) * 2 = 14", [2, 5]), ("tags = '2'", [1, 5]),
+        ("n + 1 = 6 # five", [2, 5]), ("n * 2 - 1 >= 13", [3, 4]), ("n = -5", []), ("(n + 2) * 2 = 14", [2, 5]), ("tags = '2'", [1, 5]), ("n = 5.", [2, 5]), ("n > .5e1", [3, 4]), ("n >= +7", [3, 4]), ("n +1 = 6", [2, 5]), ("n < 6E0", [2, 5]),
     ],
 )
 def test_filter(spark, text, ids):
