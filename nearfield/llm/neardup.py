@@ -49,6 +49,8 @@ class Settings:
     sample: int = 4096
     each: int = 32
     levels: int = 8
+    #: Share of a cell's nodes up to which its parts are parts.
+    parted: float = 0.7
     candidates: int = 48
     degree: int = 24
     #: Edges to arbitrary nodes of the cell, and medoids at which a search starts.
@@ -68,6 +70,10 @@ class Settings:
     dealt: int = 8192
 
 
+#: Edges followed at a time.
+EDGES = 1 << 19
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
@@ -145,10 +151,14 @@ def search(x: np.ndarray, starts: np.ndarray, targets: np.ndarray, medoids: np.n
             take = np.where(near.any(axis=1)[:, None], near, go & (best >= fourth[:, None]))
             i, j = np.nonzero(take)
             done[active[i], j] = True
-            size = degree[j]
-            edge = np.repeat(starts[j] - (np.cumsum(size) - size), size) + np.arange(size.sum())
             fresh = np.zeros(take.shape, bool)
-            fresh[np.repeat(i, size), targets[edge]] = True
+            size = degree[j]
+            ends = np.cumsum(size)
+            bound = np.searchsorted(ends, np.arange(0, ends[-1] + EDGES, EDGES), side="right")
+            for a, b in zip(bound, bound[1:], strict=False):  # all of a tight group may be expanded at once
+                part = size[a:b]
+                edge = np.repeat(starts[j[a:b]] - (np.cumsum(part) - part), part) + np.arange(part.sum())
+                fresh[np.repeat(i[a:b], part), targets[edge]] = True
             i, j = np.nonzero(fresh & (now == unseen))
             for k in range(0, len(i), 1 << 16):
                 a, b = active[i[k : k + (1 << 16)]], j[k : k + (1 << 16)]
@@ -190,7 +200,9 @@ def _fit(s: Settings):
             for o, m in enumerate(member):
                 for k in range(0, len(i), 1 << 14):
                     met[o] += np.count_nonzero((m[at + i[k : k + (1 << 14)]] * m[j[k : k + (1 << 14)]]).any(axis=1))
-        overlap = next((o for o, n in zip(tried, met, strict=True) if n >= links * (1 + s.recall) / 2), 0)
+        enough = [n >= links * (1 + s.recall) / 2 for n in met]
+        # a split whose largest cell keeps most of the nodes separates nothing
+        overlap = next((o for o, fine, m in zip(tried, enough, member, strict=True) if fine and m.sum(axis=0).max() <= s.parted * len(x)), 0)
         return pa.table([[block["cell"][0].as_py()], [c.astype(np.float32).tobytes() if overlap else None], [overlap]], schema=schema)
 
     return run, "cell long, centres binary, overlap int"
