@@ -44,7 +44,7 @@ class Settings:
     k: int = 10
     #: Places of an anchor above which its windows are dealt singly, and segments in a reference block, about.
     hot: int = 512
-    block: int = 12_000
+    block: int = 2_000
 
 
 def anchors(h: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
