@@ -15,6 +15,8 @@ duplicate spans. Words are compared themselves, not their hashes.
 The number of blocks follows the number of segments. An anchor with more than `hot` places is no key to deal by: its
 windows are dealt by their own 128-bit digest instead, so a block's reference for them is one window, which is its own
 longest factor, and places are counted by partial aggregation. So no task sees more than a bounded number of segments.
+The places of a window that has a thousandth of all such places or more find their source by broadcast of at most a
+thousand windows, those of others by a join.
 
 Equal texts are parsed once; when there are two or more with at least one window, all of their words go. Null and empty
 texts have no words, shorter texts than a window no window. Repeated rows are equal texts; a doc_id may repeat or be null.
@@ -45,6 +47,8 @@ class Settings:
     #: Places of an anchor above which its windows are dealt singly, and segments in a reference block, about.
     hot: int = 512
     block: int = 2_000
+    #: Most frequent windows of hot anchors that are looked up by broadcast.
+    share: int = 1_000
 
 
 def anchors(h: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -240,8 +244,12 @@ def spans(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> tupl
     single = segments.filter("key is null").select("d1", "d2", "c", "first")
     place = F.struct("c", "first")
     again = single.groupBy("d1", "d2").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("n")).filter("n > 1")
-    again = spill(again.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "low", "high"), "substring-hot")
-    hot = single.join(again, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")))
+    again = spill(again.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "low", "high", "n"), "substring-hot")
+    same = (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))
+    # a window with a `share`-th of all places or more: at most `share` of them exist, so these may be broadcast, and no task gets one's rows
+    most = F.col("n") * s.share >= single.count()
+    frequent = F.broadcast(again.filter(most))
+    hot = single.join(frequent, same).union(single.join(frequent.select("e1", "e2"), same, "left_anti").join(again.filter(~most), same))
     other = F.when(F.col("low") == place, F.col("high")).otherwise(F.col("low"))
     hot = hot.select("c", "first", F.lit(s.window).alias("words"), other["c"].alias("source"), other["first"].alias("source_first"))
     all_spans = cold.union(hot).groupBy("c").agg(F.collect_list(F.struct("first", "words", "source", "source_first")).alias("spans"))

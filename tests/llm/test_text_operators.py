@@ -354,10 +354,10 @@ def brute_substring(rows, window=35):
     return out
 
 
-@pytest.mark.parametrize(("which", "hot"), [("odd", 512), ("odd", 2), ("docs", 512), ("docs", 3)])
-def test_substring_equals_brute_force(request, which, hot):
+@pytest.mark.parametrize(("which", "hot", "share"), [("odd", 512, 1000), ("odd", 2, 1000), ("odd", 2, 1), ("docs", 512, 1000), ("docs", 3, 1000), ("docs", 3, 50)])
+def test_substring_equals_brute_force(request, which, hot, share):
     df = request.getfixturevalue(which)
-    got = substring.remove(df.withColumn("c", F.lit(1)), substring.Settings(hot=hot, block=5 if hot == 2 else 12_000)).collect()
+    got = substring.remove(df.withColumn("c", F.lit(1)), substring.Settings(hot=hot, share=share, block=5 if hot == 2 else 12_000)).collect()
     assert collections.Counter(map(tuple, got)) == brute_substring([(r.doc_id, r.text) for r in df.collect()])
 
 
