@@ -146,7 +146,9 @@ def _meet(s: Settings):
         def look() -> None:
             nonlocal size
             i, j = survivors(sig, sig, np.concatenate(first), np.concatenate(second), s)
-            out.append((node[i], node[j]))
+            # what the pairs connect, as the pairs of large groups of near copies are many
+            names, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+            out.append((node[names], node[names[roots(len(names), at[: len(i)], at[len(i) :])]]))
             first.clear()
             second.clear()
             size = 0
