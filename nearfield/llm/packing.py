@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 from nearfield.llm.common import map_slices, spill
 
 #: Pieces of text between white space, and words in them, that a task keeps; beyond, the older half of the words and all pieces go.
-PIECES, WORDS = 1_500_000, 150_000
-#: Bytes of text whose pieces are found at a time.
-BATCH = 2_000_000
+PIECES, WORDS = 1_500_000, 80_000
+#: Bytes of text whose pieces are found at a time; a task needs about 40 times as many for it.
+BATCH = 500_000
 #: Between these characters (printable ASCII and Latin-1 letters) case folding and composition are one to one, so that
 #: the tokenizer's own word pattern can be applied before it.
 PLAIN = re.compile("[!-~\u00c0-\u00ff]*")
@@ -165,9 +165,11 @@ class Encoder:
             return [b""] * len(texts)
         # a hash of each piece: a random number for each byte and place, added up; capitals count as small letters
         table = _TABLE if not self.folded or b"<|" in data else _FOLDED
-        row = np.repeat(starts, size)
-        at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-        values = table[np.minimum(at, PLACES - 1), codes[row + at]]
+        at = np.arange(size.sum(), dtype=np.int32 if len(data) < 1 << 31 else np.int64)
+        row = np.repeat((starts - (np.cumsum(size) - size)).astype(at.dtype), size)  # from a place among the pieces to its place in data
+        letters = codes[row + at]
+        at -= np.repeat((np.cumsum(size) - size).astype(at.dtype), size)
+        values = table[np.minimum(at, PLACES - 1, out=at), letters]
         h = np.add.reduceat(values, np.r_[0, np.cumsum(size)[:-1]])
         for i in np.flatnonzero(size >= PLACES):
             h[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]])

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -336,6 +337,18 @@ def test_long_texts_are_cut_at_white_space(monkeypatch):
     for t, ids in zip(texts, e.encode(texts, 1), strict=True):
         assert np.frombuffer(ids, "<u2").tolist() == [*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
 
+def test_encoder_needs_little_memory():
+    import public_tokenizers
+
+    e = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"), "<u2")
+    texts = [f"some words of text {i % 50} and more of them " * 40 for i in range(2000)]
+    e.encode(texts[:50], 1)
+    tracemalloc.start()
+    e.encode(texts, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, texts)) > 3_000_000 and peak < 60e6
+
 
 # substring dedup
 
