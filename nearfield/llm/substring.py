@@ -14,9 +14,10 @@ duplicate spans. Words are compared themselves, not their hashes.
 
 The number of blocks follows the number of segments. An anchor with more than `hot` places is no key to deal by: its
 windows are dealt by their own 128-bit digest instead, so a block's reference for them is one window, which is its own
-longest factor, and places are counted by partial aggregation. So no task sees more than a bounded number of segments.
-The places of a window that has a thousandth of all such places or more find their source by broadcast of at most a
-thousand windows, those of others by a join.
+longest factor. An anchor's number of places bounds those of its windows, so it says into how many parts their places
+are dealt by hash; first and last place and number are found for each part and then over the parts, and places are
+joined with their part. So no task sees more than a bounded number of segments or places of one window, and the
+rows that any step makes are at most the places.
 
 Equal texts are parsed once; when there are two or more with at least one window, all of their words go. Null and empty
 texts have no words, shorter texts than a window no window. Repeated rows are equal texts; a doc_id may repeat or be null.
@@ -31,7 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.llm import words
@@ -47,7 +48,7 @@ class Settings:
     #: Places of an anchor above which its windows are dealt singly, and segments in a reference block, about.
     hot: int = 512
     block: int = 2_000
-    #: Most frequent windows of hot anchors that are looked up by broadcast.
+    #: Places of a hot anchor's window in a part, at most about.
     share: int = 1_000
 
 
@@ -91,11 +92,11 @@ def _first_pass(docs: DataFrame, s: Settings) -> DataFrame:
 
 def _segments(staged: DataFrame, s: Settings) -> DataFrame:
     """A row for each place of a repeated anchor in a text: key, c (the text), first (window), windows, words; for hot anchors a row
-    for each window, with its digest (d1, d2) for the words."""
+    for each window, with its digest (d1, d2) for the words and the binary logarithm of its number of parts."""
 
     def make():
         def each(r: dict[str, list]) -> dict[str, list]:
-            out: dict[str, list] = {n: [] for n in ("key", "c", "first", "windows", "words", "d1", "d2")}
+            out: dict[str, list] = {n: [] for n in ("key", "c", "first", "windows", "words", "d1", "d2", "bits")}
 
             def add(*values) -> None:
                 for column, v in zip(out.values(), values, strict=True):
@@ -105,23 +106,23 @@ def _segments(staged: DataFrame, s: Settings) -> DataFrame:
                 w = words.split(text)
                 g, at = anchors(words.hashes(w), s)
                 marks = np.sort(np.array(marks, np.int64))
-                known = marks >> 1
+                known, hot = marks >> 5, marks & 31
                 starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else at
                 ends = np.r_[starts[1:], len(at)]
                 where = np.searchsorted(known, at[starts])
                 for a, b, i in zip(starts.tolist(), ends.tolist(), where.tolist(), strict=True):
                     if i < len(known) and known[i] == at[a]:
-                        if marks[i] & 1:
+                        if hot[i]:
                             for j in range(a, b):
                                 d = xxhash.xxh3_128_digest(b" ".join(w[j : j + s.window]))
-                                add(None, c, j, 1, None, *np.frombuffer(d, np.int64).tolist())
+                                add(None, c, j, 1, None, *np.frombuffer(d, np.int64).tolist(), int(hot[i]) - 1)
                         else:
-                            add(int(g[at[a]].view(np.int64)), c, a, b - a, b" ".join(w[a : b + s.window - 1]), None, None)
+                            add(int(g[at[a]].view(np.int64)), c, a, b - a, b" ".join(w[a : b + s.window - 1]), None, None, None)
             return out
 
         return each
 
-    return map_slices(staged.select("c", "text", "marks"), make, "key long, c long, first int, windows int, words binary, d1 long, d2 long")
+    return map_slices(staged.select("c", "text", "marks"), make, "key long, c long, first int, windows int, words binary, d1 long, d2 long, bits int")
 
 
 def longest(ids: np.ndarray, stops: np.ndarray, begins: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -231,8 +232,9 @@ def spans(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> tupl
     marks = each.select("k1", F.inline(F.arrays_zip("grams", "places")))
     address = F.xxhash64("k1", "places")
     twice = marks.groupBy("grams").agg(F.min(address).alias("low"), F.max(address).alias("high"), F.count("*").alias("n")).filter("low < high")
-    twice = spill(twice.select(F.col("grams").alias("gram"), (F.col("n") > s.hot).cast("int").alias("hot")), "substring-anchors")
-    found = marks.join(twice, F.col("grams") == F.col("gram")).groupBy("k1").agg(F.collect_set(F.col("places").cast("long") * 2 + F.col("hot")).alias("marks"))
+    bits = F.greatest(F.lit(0), F.least(F.lit(30), F.ceil(F.log2(F.col("n") / s.share)).cast("int")))
+    twice = spill(twice.select(F.col("grams").alias("gram"), F.when(F.col("n") > s.hot, bits + 1).otherwise(0).alias("hot")), "substring-anchors")
+    found = marks.join(twice, F.col("grams") == F.col("gram")).groupBy("k1").agg(F.collect_set(F.col("places").cast("long") * 32 + F.col("hot")).alias("marks"))
     wanted = found.withColumnRenamed("k1", "k1_").join(contents.select(F.col("k1").alias("k"), F.col("k2").alias("k2_"), F.col("least"), "c"), F.col("k1_") == F.col("k"))
     wanted = spill(wanted.select("k1_", "k2_", "least", "c", "marks"), "substring-wanted")
     cond = (F.col("k1") == F.col("k1_")) & (F.col("k2") == F.col("k2_")) & F.col("doc_id").eqNullSafe(F.col("least"))
@@ -241,15 +243,13 @@ def spans(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> tupl
     run, schema = _parse(s)
     blocks = max(1, -(-segments.filter("key is not null").count() // s.block))
     cold = segments.filter("key is not null").select(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), "c", "first", "windows", "words").groupBy("block").applyInArrow(run, schema)
-    single = segments.filter("key is null").select("d1", "d2", "c", "first")
+    part = F.pmod(F.xxhash64("c", "first"), F.expr("shiftleft(1L, bits)"))
+    single = segments.filter("key is null").select("d1", "d2", part.alias("part"), "c", "first")
     place = F.struct("c", "first")
-    again = single.groupBy("d1", "d2").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("n")).filter("n > 1")
-    again = spill(again.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "low", "high", "n"), "substring-hot")
-    same = (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))
-    # a window with a `share`-th of all places or more: at most `share` of them exist, so these may be broadcast, and no task gets one's rows
-    most = F.col("n") * s.share >= single.count()
-    frequent = F.broadcast(again.filter(most))
-    hot = single.join(frequent, same).union(single.join(frequent.select("e1", "e2"), same, "left_anti").join(again.filter(~most), same))
+    parts = spill(single.groupBy("d1", "d2", "part").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("n")), "substring-parts")
+    window = Window.partitionBy("d1", "d2")  # of a row for each part
+    again = parts.select("d1", "d2", "part", F.min("low").over(window).alias("low"), F.max("high").over(window).alias("high"), F.sum("n").over(window).alias("n"))
+    hot = single.join(spill(again.filter("n > 1").drop("n"), "substring-hot"), ["d1", "d2", "part"])
     other = F.when(F.col("low") == place, F.col("high")).otherwise(F.col("low"))
     hot = hot.select("c", "first", F.lit(s.window).alias("words"), other["c"].alias("source"), other["first"].alias("source_first"))
     all_spans = cold.union(hot).groupBy("c").agg(F.collect_list(F.struct("first", "words", "source", "source_first")).alias("spans"))

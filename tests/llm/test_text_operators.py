@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearfield.llm import jaccard, langid, linededup, media, mixing, packing, pii, quality, queries, substring
-from nearfield.llm.common import table
+from nearfield.llm.common import spill, table
 from nearfield.llm.components import components
 from nearfield.llm.permute import permuted
 
@@ -418,6 +418,19 @@ def test_substring_within_a_document(spark, none):
     assert substring.remove(none).count() == 0
 
 
+def test_places_of_a_hot_window_lie_in_bounded_parts(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(substring, "spill", lambda df, name: kept.setdefault(name, spill(df, name)))
+    common = " ".join(f"c{i}" for i in range(40))
+    rows = [(i, f"x{i} {common} y{i}") for i in range(600)] + [(1000 + i, f"z{i} " + " ".join(f"r{i % 40}w{j}" for j in range(36))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring.remove(df, substring.Settings(hot=3, share=20)).collect()
+    assert collections.Counter(map(tuple, got)) == brute_substring(rows)
+    parts = kept["substring-parts"].collect()
+    assert max(r.n for r in parts) < 60 and max(collections.Counter((r.d1, r.d2) for r in parts).values()) <= 64
+    assert kept["substring-hot"].select("d1", "d2").distinct().count() == 6 + 40 * 2
+
+
 # mixing
 
 
