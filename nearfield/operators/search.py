@@ -1,9 +1,9 @@
 """Exact search: top k, range, thresholds, pages, distances by id.
 
 The base is a DataFrame with id and vector; a query set has qid and q. The query set is held in blocks of bounded
-size: each task scores its Arrow batches against a block with one matrix product, computes the distances of what may be among
-the best again, directly, and keeps its best k for each query; a window limit merges the tasks' candidates. So k rows
-a query and task are shuffled, whatever the base's size. Query sets too large for one plan are answered part by part, each
+size: each task scores its Arrow batches against a block with one matrix product in single precision, which bounds distances from
+below, computes those of what may be among the best directly in double precision, and keeps its best k for each query; a window limit merges
+the tasks' candidates. So k rows a query and task are shuffled, whatever the base's size. Query sets too large for one plan are answered part by part, each
 written before the next. Non-finite distances are never returned; ties go by id.
 """
 
@@ -14,6 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +22,8 @@ from nearfield.errors import InvalidArgument
 from nearfield.functions import distance as D
 from nearfield.sources.store import checkpointed
 
-#: Queries in a block, and blocks that one plan may have.
-BLOCK, BLOCKS = 4096, 16
+#: Queries in a block, blocks that one plan may have, and tasks that score a block where there are many.
+BLOCK, BLOCKS, SHARES = 4096, 16, 8
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -53,7 +54,7 @@ def products(x: np.ndarray, q: np.ndarray, metric: str, square: np.ndarray | Non
     with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
         dot = x @ q.T
         if metric == "ip":
-            return 1 - dot, 1e-12 * (np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * x.shape[1] + 1)
+            return 1 - dot, 1e-12 * (np.abs(x).max(axis=1, initial=0)[:, None] * np.abs(q).max(axis=1, initial=0)[None] * x.shape[1] + 1)
         if metric == "cosine":
             return 1 - dot / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None]), 1e-12
         xx = np.einsum("ij,ij->i", x, x) if square is None else square
@@ -72,53 +73,150 @@ def direct(x: np.ndarray, q: np.ndarray, metric: str, square: np.ndarray | None
         return 1 - dot if metric == "ip" else 1 - dot / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum(axis=1)))
 
 
+class Asked:
+    """Queries of a block in double precision, and in single precision what gives lower bounds of their distances by one product."""
+
+    def __init__(self, q: np.ndarray, metric: str) -> None:
+        self.q, self.metric = q, metric
+        self.share = (q.shape[1] + 8) * 2.0**-23  # of the squared lengths: how far single precision may be off
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.plain = bool((np.einsum("ij,ij->i", q, q) < 1e30).all())
+        self._of: dict[bool, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self._space = np.zeros((2, 0), np.float32), np.zeros((2, 0), bool)
+
+    def space(self, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where rows x queries bounds and comparisons go, the same memory for each batch."""
+        if len(self._space[0]) < rows or self._space[0].shape[1] != len(self.q):
+            self._space = np.empty((rows, len(self.q)), np.float32), np.empty((rows, len(self.q)), bool)
+        return self._space[0][:rows], self._space[1][:rows]
+
+    def side(self, centred: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The queries' side of the product, what is taken off all vectors before, and squared lengths."""
+        if centred not in self._of:
+            q, c = self.q, self.share
+            if self.metric == "l2":
+                mean = q.mean(axis=0) if centred and len(q) else np.zeros(q.shape[1])
+                q = q - mean
+                qq = np.einsum("ij,ij->i", q, q)
+                side = np.concatenate([-2 * q, np.ones((len(q), 1)), (qq * (1 - c) - 1e-30)[:, None]], axis=1)
+            elif self.metric == "ip":
+                mean, qq = np.zeros(q.shape[1]), np.einsum("ij,ij->i", q, q)
+                side = np.concatenate([-q, np.ones((len(q), 1)), (-c * qq)[:, None]], axis=1)
+            else:
+                mean, qq = np.zeros(q.shape[1]), np.ones(len(q))
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    side = np.concatenate([-q / np.linalg.norm(q, axis=1, keepdims=True), np.ones((len(q), 1)), np.zeros((len(q), 1))], axis=1)
+            self._of[centred] = np.ascontiguousarray(side.T, np.float32), mean, qq
+        return self._of[centred]
+
+    def bounds(self, x: np.ndarray, square: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """rows x queries lower bounds of distances, in single precision, and by how much upper bounds are above them, by query."""
+        c, (side, mean, qq) = self.share, self.side(square is None)
+        one = np.ones((len(x), 1))
+        with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+            xx = np.einsum("ij,ij->i", x, x)
+            if self.metric == "l2":
+                y = x - mean
+                yy = np.einsum("ij,ij->i", y, y)
+                mine = np.concatenate([y, ((yy if square is None else square) - c * (yy if square is None else np.maximum(yy, np.abs(square))))[:, None], one], axis=1)
+                most = yy if square is None else np.maximum(yy, np.abs(square))
+            elif self.metric == "ip":
+                mine, most = np.concatenate([x, (1 - c - c * xx)[:, None], one], axis=1), xx + 1
+            else:
+                mine, most = np.concatenate([x / np.sqrt(xx)[:, None], np.full((len(x), 1), 1 - 2 * c), one], axis=1), np.ones(len(x))
+            return np.matmul(mine.astype(np.float32), side, out=self.space(len(x))[0]), 2 * c * (most.max(initial=0) + qq + 1e-20)
+
+
+def _true(flags: np.ndarray) -> np.ndarray:
+    """Flat places of few true flags, looked for eight at a time."""
+    flat = flags.reshape(-1)
+    whole = len(flat) // 8 * 8
+    at = (np.flatnonzero(flat[:whole].view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+    return np.concatenate([at[flat[at]], whole + np.flatnonzero(flat[whole:])])
+
+
 class Best:
-    """The best k ids of each query seen so far (None: all within radius)."""
-
-    def __init__(self, queries: int, k: int | None, radius: float | None) -> None:
-        self.k, self.radius = k, radius
-        self.held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        self.cut = np.full(queries, np.inf)
-
-    def add(self, ids: np.ndarray, x: np.ndarray, q: np.ndarray, which: np.ndarray, metric: str, square: np.ndarray | None = None) -> None:
-        """Rows against some queries: q is theirs, which their numbers."""
-        d, off = products(x, q, metric, square)
-        with np.errstate(invalid="ignore"):
-            stay = np.isfinite(d)
-            most = np.full(len(which), np.inf) if self.radius is None else np.full(len(which), self.radius)
-            if self.k is not None:
-                most = np.minimum(most, self.cut[which])
-                if len(d) > self.k:
-                    kth = np.partition(np.where(stay, d, np.inf), self.k - 1, axis=0)[self.k - 1]
-                    most = np.minimum(most, kth + (off.max(axis=0) if isinstance(off, np.ndarray) else off))
-            i, j = np.nonzero(stay & (d - off <= most[None]))
-        for at in range(0, len(i), 1 << 16):
-            a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-            exact = direct(x[a], q[b], metric, None if square is None else square[a])
-            good = np.isfinite(exact) if self.radius is None else exact <= self.radius
-            self.held = [np.concatenate(z) for z in zip(self.held, (which[b[good]], ids[a[good]], exact[good]), strict=True)]
-            if self.k is not None and len(self.held[0]) > 4 * self.k * len(self.cut) + (1 << 16):
-                self._shrink()
-        if self.k is not None:
-            self._shrink()
-
-    def _shrink(self) -> None:
-        j, ids, d = self.held
+    """The best k ids of each query seen so far (None: all within radius). cut: distances beyond which a query's rows don't count.
+    repeats: an id may come again, and counts once, at its least distance."""
+
+    NONE = np.iinfo(np.int64).max
+
+    def __init__(self, queries: int, k: int | None, radius: float | None, cut: np.ndarray | None = None, repeats: bool = False) -> None:
+        self.k, self.radius, self.repeats = k, radius, repeats
+        self.cut = np.full(queries, np.inf if radius is None else radius) if cut is None else np.minimum(cut, np.inf if radius is None else radius)
+        self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+        if k is not None:
+            self.d, self.ids = np.full((queries, k), np.inf), np.full((queries, k), self.NONE)
+
+    def add(self, ids: np.ndarray, x: np.ndarray, asked: Asked, which: np.ndarray, square: np.ndarray | None = None) -> None:
+        """Rows against the queries of asked, whose numbers are which."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            long = np.einsum("ij,ij->i", x, x)
+            if not (there := np.isfinite(x).all(axis=1)).all():  # such rows have no finite distance
+                ids, x, long, square = ids[there], x[there], long[there], None if square is None else square[there]
+        if not len(x) or not len(which):
+            return
+        if not asked.plain or not (long < 1e30).all():
+            low, off = products(x, asked.q, asked.metric, square)
+            low, above = low - off, 2 * (off.max(axis=0) if isinstance(off, np.ndarray) else off) * np.ones(len(which))
+        else:
+            low, above = asked.bounds(x, square)
+        with np.errstate(invalid="ignore", over="ignore"):
+            if self.k is not None and len(x) > self.k and not self.repeats and len(open_ := np.flatnonzero(np.isinf(self.cut[which]))):
+                kth = np.partition(np.where(np.isfinite(low[:, open_]), low[:, open_], np.inf), self.k - 1, axis=0)[self.k - 1]
+                self.cut[which[open_]] = kth.astype(np.float64) + above[open_]
+            cut = np.nextafter(self.cut[which].astype(low.dtype), np.array(np.inf, low.dtype))
+            i, j = np.divmod(_true(np.less_equal(low, cut, out=asked.space(len(x))[1])), len(which))
+        for at in range(0, len(i), 1 << 13):
+            a, b = i[at : at + (1 << 13)], j[at : at + (1 << 13)]
+            exact = direct(x[a], asked.q[b], asked.metric, None if square is None else square[a])
+            with np.errstate(invalid="ignore"):
+                good = np.isfinite(exact) & (exact <= self.cut[which[b]])
+            self.new.append((which[b[good]], ids[a[good]], exact[good]))
+            self.waiting += int(good.sum())
+        if self.k is not None and self.waiting > self.d.size // 2 + 1024:
+            self._merge()
+
+    def _merge(self) -> None:
+        """Takes what waits among the best, for the queries that it concerns."""
+        if not self.waiting:
+            return
+        j, ids, d = (np.concatenate(c) for c in zip(*self.new, strict=True))
+        self.new, self.waiting = [], 0
+        if self.repeats:
+            by = np.lexsort((d, ids, j))
+            j, ids, d = j[by], ids[by], d[by]
+            first = np.concatenate([[True], (j[1:] != j[:-1]) | (ids[1:] != ids[:-1])])
+            j, ids, d = j[first], ids[first], d[first]
         order = np.lexsort((ids, d, j))
         j, ids, d = j[order], ids[order], d[order]
-        again = np.zeros(len(j), bool)  # an id that lies in several buckets counts once
-        by = np.lexsort((d, ids, j))
-        again[by[1:]] = (j[by][1:] == j[by][:-1]) & (ids[by][1:] == ids[by][:-1])
-        j, ids, d = j[~again], ids[~again], d[~again]
-        rank = np.arange(len(j)) - np.searchsorted(j, j)
+        some, start = np.unique(j, return_index=True)
+        rank = np.arange(len(j)) - np.repeat(start, np.diff(np.append(start, len(j))))
         keep = rank < self.k
-        self.held = [j[keep], ids[keep], d[keep]]
-        last = rank == self.k - 1
-        self.cut[j[last]] = d[last]
+        row, rank, ids, d = np.searchsorted(some, j[keep]), rank[keep], ids[keep], d[keep]
+        more = (len(some), int(rank.max()) + 1)
+        new_d, new_ids = np.full(more, np.inf), np.full(more, self.NONE)
+        new_d[row, rank], new_ids[row, rank] = d, ids
+        all_d, all_ids = np.concatenate([self.d[some], new_d], axis=1), np.concatenate([self.ids[some], new_ids], axis=1)
+        if self.repeats:
+            by = np.lexsort((all_d, all_ids), axis=1)
+            all_d, all_ids = np.take_along_axis(all_d, by, 1), np.take_along_axis(all_ids, by, 1)
+            again = np.zeros(all_ids.shape, bool)
+            again[:, 1:] = all_ids[:, 1:] == all_ids[:, :-1]
+            all_d[again], all_ids[again] = np.inf, self.NONE
+        order = np.lexsort((all_ids, all_d), axis=1)[:, : self.k]
+        self.d[some], self.ids[some] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_ids, order, 1)
+        self.cut[some] = np.minimum(self.cut[some], self.d[some, -1])
 
     def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        out, self.held = tuple(self.held), [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return out
+        if self.k is None:
+            out = tuple(np.concatenate(c) for c in zip(*self.new, strict=True)) if self.new else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            self.new, self.waiting = [], 0
+            return out
+        self._merge()
+        j, at = np.nonzero(np.isfinite(self.d))
+        return j, self.ids[j, at], self.d[j, at]
 
 
 def parts(queries: DataFrame, most: int) -> list[DataFrame]:
@@ -137,7 +235,7 @@ def collected(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros((0, 0))
     if got["q"].null_count:
         raise InvalidArgument("queries must not be null")
-    if len({len(x) for x in got["q"].to_pylist()}) > 1:
+    if len(pc.unique(pc.list_value_length(got["q"]))) > 1:
         raise InvalidArgument("queries differ in length")
     qid, q = got["qid"].to_numpy(), matrix(got["q"].combine_chunks())
     order = np.argsort(qid, kind="stable")
@@ -147,9 +245,10 @@ def collected(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 ARROW = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
 
 
-def candidates(base: DataFrame, queries: DataFrame, metric: str, k: int | None, radius: float | None = None, vector: str = "vector", decode: Callable | None = None) -> DataFrame:
+def candidates(base: DataFrame, queries: DataFrame, metric: str, k: int | None, radius: float | None = None, vector: str = "vector", decode: Callable | None = None, cuts: DataFrame | None = None) -> DataFrame:
     """(qid, id, distance): for each query the task-wise best k, or all within radius. decode: from an Arrow column of codes to
-    (matrix, squared lengths or None), so that a task reads codes and no vectors are made of them outside it."""
+    (matrix, squared lengths or None), so that a task reads codes and no vectors are made of them outside it. cuts: (qid, distance),
+    beyond which rows of a query don't count."""
     D.distance(metric)
     spark = base.sparkSession
     schema = "qid long, id long, distance double"
@@ -158,14 +257,20 @@ def candidates(base: DataFrame, queries: DataFrame, metric: str, k: int | None,
     outs = []
     for part in split:
         qids, vectors = collected(part)
+        cut = np.full(len(qids), np.inf)
+        if cuts is not None and len(qids):
+            known = (cuts if len(split) == 1 else cuts.join(part.select("qid"), "qid", "left_semi")).select("qid", "distance").toArrow()  # one a query at most
+            cut[np.searchsorted(qids, known["qid"].to_numpy())] = known["distance"].to_numpy()
         plans = []
+        # where there are many blocks, a task scores a larger share of the base: what is shuffled does not grow with the base's partitions
+        share = rows if len(qids) <= 4 * BLOCK else rows.coalesce(SHARES)
         for at in range(0, len(qids), BLOCK):
-            sent = spark.sparkContext.broadcast((qids[at : at + BLOCK], vectors[at : at + BLOCK]))  # at most BLOCK vectors
+            sent = spark.sparkContext.broadcast((qids[at : at + BLOCK], vectors[at : at + BLOCK], cut[at : at + BLOCK]))  # at most BLOCK vectors
 
             def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-                qid, q = sent.value
-                best, every = Best(len(qid), k, radius), np.arange(len(qid))
-                step = max(64, min(2048, (1 << 21) // len(qid)))
+                qid, q, cut = sent.value
+                best, every, asked = Best(len(qid), k, radius, cut), np.arange(len(qid)), Asked(q, metric)
+                step = max(64, min(2048, (1 << 19) // len(qid)))
                 for batch in batches:
                     for at in range(0, batch.num_rows, step):
                         part = batch.slice(at, step)
@@ -173,7 +278,7 @@ def candidates(base: DataFrame, queries: DataFrame, metric: str, k: int | None,
                         if len(x) and x.shape[1] != q.shape[1]:
                             raise ValueError(f"queries have {q.shape[1]} dimensions, the base {x.shape[1]}")
                         if len(x):
-                            best.add(part.column(0).to_numpy(zero_copy_only=False), x, q, every, metric, square)
+                            best.add(part.column(0).to_numpy(zero_copy_only=False), x, asked, every, square)
                         if k is None:
                             j, ids, d = best.take()
                             yield pa.RecordBatch.from_arrays([qid[j], ids, d], schema=ARROW)
@@ -181,7 +286,7 @@ def candidates(base: DataFrame, queries: DataFrame, metric: str, k: int | None,
                     j, ids, d = best.take()
                     yield pa.RecordBatch.from_arrays([qid[j], ids, d], schema=ARROW)
 
-            plans.append(rows.mapInArrow(run, schema))
+            plans.append(share.mapInArrow(run, schema))
         if plans:
             found = reduce(DataFrame.union, plans)
             outs.append(checkpointed(found if k is None else ranked(found, k).drop("rank")) if len(split) > 1 else found)
