@@ -319,3 +319,93 @@ def test_measures(base, queries):
     exact = graph.exact_edges(base, 4)
     r = diagnose.edge_quality(exact.filter("rank <= 2"), exact).first()
     assert r.recall == 0.5 and r.mean_distance < r.exact_distance
+
+
+def test_many_query_blocks_do_not_multiply_shuffled_rows(base, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 4)
+    whole = base.repartition(40).select("id", "vector")
+    q = whole.filter("id < 32").select(F.col("id").alias("qid"), F.col("vector").alias("q"))
+    found = search.candidates(whole, q, "l2", 3)  # was k rows for each of the base's 40 partitions
+    assert found.rdd.getNumPartitions() <= 8 * search.SHARES
+    a = X.astype(float)
+    d = ((a[:32, None] - a[None]) ** 2).sum(2)
+    assert {q: r[:3] for q, r in ids(search.ranked(found, 3)).items()} == {q: np.argsort(d[q], kind="stable")[:3].tolist() for q in range(32)}
+
+
+def test_single_precision_only_bounds():
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(400, 8)), rng.normal(size=(20, 8)) * 1e18, np.full((1, 8), np.nan), np.zeros((1, 8)), rng.normal(size=(30, 8)) * 1e-24, np.ones((9, 8))])
+    for metric in ("l2", "ip", "cosine"):
+        q, number = x[::7], np.arange(len(x))
+        for k, radius in ((5, None), (5, 1.5), (None, 1.5)):
+            best, asked = search.Best(len(q), k, radius), search.Asked(q, metric)
+            for at in range(0, len(x), 64):
+                best.add(number[at : at + 64], x[at : at + 64], asked, np.arange(len(q)))
+            j, found, _ = best.take()
+            for i in range(len(q)):
+                d = search.direct(x, np.repeat(q[i : i + 1], len(x), 0), metric)
+                want = [n for n in np.lexsort((number, d)) if np.isfinite(d[n]) and (radius is None or d[n] <= radius)][:k]
+                assert set(found[j == i].tolist()) == set(want), (metric, k, radius, i)
+
+
+def test_a_walk_misses_nothing(base, queries):
+    """A walk that meets few rows bounds a scan, so the answer is whole."""
+    for params in ({"ef_search": 10, "hops_limit": 1}, {"ef_search": 10, "hops_limit": 3}):
+        i = I.create("hgraph", '{"dim": 16, "index_param": {"transition_threshold": 100, "degree": 4, "rounds": 1}}')
+        i.build(base)
+        assert ids(i.search(SearchRequest(queries, params=params))) == truth("l2")
+    c = ivf.kmeans(base, 2, 2)
+    lists = ivf.listed(base, c)
+    edges = ivf.bucket_edges(base, lists.select("id", "bucket_id"), 1)
+    assert ids(ivf.graph_probe(lists, edges, ivf.route(queries, c, 2), queries, 10, beam=10)) == truth("l2")
+
+
+def test_a_large_bucket_is_dealt_to_tasks(base, queries, monkeypatch):
+    assigned = base.select("id", (F.col("id") % 2).alias("bucket_id"))
+
+    def rows(edges):
+        out = {}
+        for r in sorted(edges.collect(), key=lambda r: (r.distance, r.dst)):
+            out.setdefault((r.bucket_id, r.src), []).append(r.dst)
+        return out
+
+    whole = rows(ivf.bucket_edges(base, assigned, 3))
+    a = X.astype(float)
+    for i in range(0, 300, 37):
+        others = np.array([j for j in range(300) if j % 2 == i % 2 and j != i])
+        assert whole[i % 2, i] == others[np.argsort(((a[others] - a[i]) ** 2).sum(1), kind="stable")[:3]].tolist()
+    monkeypatch.setattr(ivf, "CELL", 40)
+
+    def grouped(*_):
+        raise AssertionError("a bucket of more than CELL rows meets in a task")
+
+    from pyspark.sql import GroupedData
+
+    apply = GroupedData.applyInArrow
+    monkeypatch.setattr(type(base.groupBy("id")), "applyInArrow", lambda self, f, s: apply(self, lambda t: f(t) if t.num_rows <= 40 else grouped(), s))
+    assert rows(ivf.bucket_edges(base, assigned, 3)) == whole
+    lists = base.select((F.col("id") % 2).alias("bucket_id"), "id", "vector")
+    routed = queries.select("qid", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("bucket_id"))
+    monkeypatch.setattr(type(base.groupBy("id")), "applyInArrow", apply)
+    assert ids(ivf.graph_probe(lists, ivf.bucket_edges(base, assigned, 3), routed, queries, 10)) == truth("l2")
+
+
+def test_descent_ships_vectors_by_node_not_by_pair(base):
+    """Rows that have a neighbour in common meet at it: no join of pairs with both ends' vectors."""
+    met = graph._met(base.select((F.col("id") % 7).alias("cell"), "id", "vector", F.lit(None).cast("double").alias("cut"), (F.col("id") % 2 == 0).alias("asks"), F.lit(True).alias("offered")), "l2")
+    got = {(r.src, r.dst): r.distance for r in met.collect()}
+    a = X.astype(float)
+    assert got == {(i, j): ((a[i] - a[j]) ** 2).sum() for i in range(0, 300, 2) for j in range(i % 7, 300, 7) if i != j}
+
+
+def test_pruning_keeps_what_is_not_hidden(base):
+    exact = graph.exact_edges(base, 12)
+    got = {}
+    for r in graph.pruned(base, exact, 6).collect():
+        got.setdefault(r.src, set()).add(r.dst)
+    a, mine = X.astype(float), {}
+    for r in sorted(exact.collect(), key=lambda r: (r.src, r.distance, r.dst)):
+        kept = mine.setdefault(r.src, [])
+        if len(kept) < 6 and not any(1.2 * ((a[s] - a[r.dst]) ** 2).sum() < r.distance for s in kept):
+            kept.append(r.dst)
+    assert got == {s: set(v) for s, v in mine.items()}
