@@ -472,9 +472,7 @@ def maxsim_coarse_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = centroids(spark, sf_dir)
     tokens = docs.select("id", F.posexplode("vectors").alias("at", "vector"))
     members = multivector.cluster(tokens, c)
-    found = multivector.coarse(members, q.select("qid", F.posexplode("vectors").alias("at", "vector")), c, 3, 1 << 30)
-    order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "id")
-    found = found.withColumn("r", F.row_number().over(order)).filter("r <= 40")
+    found = multivector.coarse(members, q.select("qid", F.posexplode("vectors").alias("at", "vector")), c, 3, 40, digits=9)
     return rounded(multivector.rerank(found, docs, q, 10))
 
 

@@ -40,6 +40,9 @@ def cosine(a: Column, b: Column) -> Column:
     return F.lit(1.0) - F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
+l2.metric, ip.metric, cosine.metric = METRICS  # what search may take products for
+
+
 def distance(metric: str) -> Callable[[Column, Column], Column]:
     if metric not in METRICS:
         raise InvalidArgument(f"metric must be one of {METRICS}, not {metric!r}")

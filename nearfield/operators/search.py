@@ -173,8 +173,12 @@ class Best:
             exact = direct(x[a], asked.q[b], asked.metric, None if square is None else square[a])
             with np.errstate(invalid="ignore"):
                 good = np.isfinite(exact) & (exact <= self.cut[which[b]])
-            self.new.append((which[b[good]], ids[a[good]], exact[good]))
-            self.waiting += int(good.sum())
+            self.give(which[b[good]], ids[a[good]], exact[good])
+
+    def give(self, j: np.ndarray, ids: np.ndarray, d: np.ndarray) -> None:
+        """Rows with their distances from the queries j."""
+        self.new.append((j, ids, d))
+        self.waiting += len(j)
         if self.k is not None and self.waiting > self.d.size // 2 + 1024:
             self._merge()
 
@@ -322,19 +326,50 @@ def range_search(base: DataFrame, queries: DataFrame, radius: float, metric: str
 
 
 def knn_by_expression(base: DataFrame, queries: DataFrame, k: int, score: Callable[[Column, Column], Column], vector: str = "vector", where: Column | None = None) -> DataFrame:
-    """Top k by any column function of (vector, q), such as a user's own distance or a pandas UDF. Non-finite values raise."""
-    base = base if where is None else base.filter(where)
+    """Top k by any column function of (vector, q), such as a user's own distance or a pandas UDF. Non-finite values raise. A function that
+    names its metric (D.l2, D.ip, D.cosine) is searched by products; tasks return their best k of any other."""
+    base = (base if where is None else base.filter(where)).filter(F.col(vector).isNotNull())
+    if (metric := getattr(score, "metric", None)) is not None:
+        wrong = F.exists(vector, lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
+        fail = F.raise_error(F.lit(NOT_FINITE)).cast(base.schema[vector].dataType)
+        rows = base.select("id", F.when(wrong, fail).otherwise(F.col(vector)).alias(vector))
+        return ranked(candidates(rows, queries, metric, k, vector=vector), k).select("qid", "rank", "id", "distance")
     outs = []
     split = parts(queries.select("qid", "q"), BLOCK)
     for part in split:
         rows = base.select("id", vector).join(F.broadcast(part)).withColumn("distance", score(F.col(vector), F.col("q")))  # at most about BLOCK queries
         bad = F.isnan("distance") | (F.abs("distance") == float("inf"))
-        rows = rows.withColumn("distance", F.when(bad, F.raise_error(F.lit("the distance function returned a value that is not finite")).cast("double")).otherwise(F.col("distance")))
-        found = ranked(rows.select("qid", "id", "distance"), k).select("qid", "rank", "id", "distance")
+        rows = rows.withColumn("distance", F.when(bad, F.raise_error(F.lit(NOT_FINITE)).cast("double")).otherwise(F.col("distance").cast("double")))
+        found = ranked(_narrowed(rows.select("qid", "id", "distance"), k), k).select("qid", "rank", "id", "distance")
         outs.append(checkpointed(found) if len(split) > 1 else found)
     return reduce(DataFrame.union, outs)
 
 
+NOT_FINITE = "the distance function returned a value that is not finite"
+
+
+def _narrowed(scores: DataFrame, k: int) -> DataFrame:
+    """The task-wise best k of each query, without a sort or shuffle of all rows (qid, id, distance)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            qid, ids, d = (batch.column(i).to_numpy() for i in range(3))
+            if held is not None:
+                qid, ids, d = (np.concatenate(c) for c in zip(held, (qid, ids, d), strict=True))
+            if held is None or len(qid) > 2 * kept + 50_000:
+                order = np.lexsort((ids, d, qid))
+                qid, ids, d = qid[order], ids[order], d[order]
+                best = np.arange(len(qid)) - np.searchsorted(qid, qid) < k
+                qid, ids, d = qid[best], ids[best], d[best]
+                kept = len(qid)
+            held = qid, ids, d
+        if held is not None:
+            yield pa.RecordBatch.from_arrays(list(held), schema=ARROW)
+
+    return scores.select(F.col("qid").cast("long"), F.col("id").cast("long"), "distance").filter("distance is not null").mapInArrow(run, "qid long, id long, distance double")
+
+
 def page(scores: DataFrame, k: int, after: dict[int, tuple[float, int]] | None = None, number: int | None = None) -> DataFrame:
     """The next k rows of each query after a cursor (distance, id), or page number (from 1) of a candidates() frame."""
     if number is not None:
