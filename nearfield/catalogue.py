@@ -339,9 +339,7 @@ sq AS (SELECT item_id AS qid, term, count(*)::DOUBLE AS weight FROM (SELECT item
 
 def terms(spark: SparkSession, sf_dir: str, asked_only: bool = False) -> tuple[DataFrame, DataFrame]:
     """Postings and queries; asked_only: postings of the queries' terms alone, for what needs no others."""
-    q = sparse.tokens(read(spark, sf_dir, "benchmark").filter("item_id % 100 = 0"), "item_id", name="qid")
-    if asked_only:
-        q = store.checkpointed(q)
+    q = store.checkpointed(sparse.tokens(read(spark, sf_dir, "benchmark").filter("item_id % 100 = 0"), "item_id", name="qid"))
     return sparse.tokens(read(spark, sf_dir, "documents"), "doc_id", only=q if asked_only else None), q
 
 
@@ -413,7 +411,7 @@ def sparse_add_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_TOKENS} SELECT \"window\", term, id, rank FROM (SELECT id // 100 AS \"window\", term, id, row_number() OVER (PARTITION BY id // 100, term ORDER BY weight DESC, id) AS rank FROM t)")
 def sparse_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sparse.posting_rank(terms(spark, sf_dir)[0], 100)
+    rows = sparse.posting_rank(sparse.tokens(read(spark, sf_dir, "documents"), "doc_id", window_size=100))
     return rows.select("window", "term", "id", F.col("rank").cast("long").alias("rank"))
 
 

@@ -6,18 +6,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.operators.search import ranked
+from nearfield.sources.store import checkpointed
 
 MOST_TERM = 1_000_000
 
+#: Bytes of documents, as stored, whose terms a task counts.
+DEALT = 16 << 20
 
-def tokens(docs: DataFrame, key: str, text: str = "text", name: str = "id", only: DataFrame | None = None) -> DataFrame:
+
+def tokens(docs: DataFrame, key: str, text: str = "text", name: str = "id", only: DataFrame | None = None, window_size: int | None = None) -> DataFrame:
     """(name, term, weight): lower-case runs of a to z of two letters or more, and how often each occurs; only: just its terms,
-    the others going before they are counted."""
-    words = F.filter(F.split(F.lower(text), "[^a-z]+"), lambda x: F.length(x) >= 2)
-    each = docs.select(F.col(key).alias(name), F.explode(words).alias("term"))
+    the others going before they are counted. Documents are dealt by id before they are split, so that terms are counted, and what
+    goes by id finds them, where they are; window_size: with the window of so many ids, by which they are dealt then."""
+    keys = [name] if window_size is None else ["window", name]
+    rows = docs.select(F.col(key).alias(name), F.col(text).alias("_text"))
+    rows = rows if window_size is None else rows.withColumn("window", _window(name, window_size))
+    if only is None:
+        bytes_ = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartition(max(most, min(1 << 13, bytes_ // DEALT)), keys[0])
+    words = F.filter(F.split(F.lower("_text"), "[^a-z]+"), lambda x: F.length(x) >= 2)
+    each = rows.select(*keys, F.explode(words).alias("term"))
     if only is not None:
         each = each.join(only.select("term").distinct(), "term", "left_semi")
-    return each.groupBy(name, "term").agg(F.count("*").cast("double").alias("weight"))
+    return each.groupBy(*keys, "term").agg(F.count("*").cast("double").alias("weight"))
+
+
+def _window(id_: str, size: int) -> Column:
+    return F.floor(F.col(id_) / size).cast("long")
 
 
 def from_arrays(rows: DataFrame) -> DataFrame:
@@ -33,8 +49,8 @@ def remap(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def posting_rank(postings: DataFrame, window_size: int = 50_000) -> DataFrame:
-    """Adds window and rank, the place in a term's list of its window: heaviest first, then by id."""
-    out = postings.withColumn("window", F.floor(F.col("id") / window_size).cast("long"))
+    """Adds window (unless tokens() has) and rank, the place in a term's list of its window: heaviest first, then by id."""
+    out = postings if "window" in postings.columns else postings.withColumn("window", _window("id", window_size))
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("window", "term").orderBy(F.desc("weight"), "id")))
 
 
@@ -86,7 +102,8 @@ def range_search(postings: DataFrame, queries: DataFrame, radius: float) -> Data
 
 def rerank(coarse: DataFrame, postings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Exact inner products, with the unpruned query, of coarse candidates."""
-    kept = coarse.select("qid", "id").distinct()
+    kept = checkpointed(coarse.select("qid", "id").distinct())
+    postings = postings.join(kept.select("id").distinct(), "id", "left_semi")  # which goes before documents are split
     q = queries.select("qid", "term", F.col("weight").alias("_qw"))
     rows = kept.join(postings, "id").join(q, ["qid", "term"]).groupBy("qid", "id").agg(F.sum(F.col("_qw") * F.col("weight")).alias("ip"))
     return ranked(rows.filter("ip > 0").select("qid", "id", (F.lit(1.0) - F.col("ip")).alias("distance")), k).select("qid", "rank", "id", "distance")
