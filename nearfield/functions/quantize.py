@@ -137,7 +137,8 @@ class Product:
             if not len(s):
                 return pd.Series([], dtype=object)
             x = np.stack(s.to_numpy()).astype(float).reshape(len(s), len(c), -1)
-            return pd.Series([r.tolist() for r in ((x[:, :, None] - c[None]) ** 2).sum(axis=3).argmin(axis=2)])
+            step = max(1, (1 << 20) // c.size)  # rows x parts x centres x dimensions at a time
+            return pd.Series([r.tolist() for at in range(0, len(x), step) for r in ((x[at : at + step, :, None] - c[None]) ** 2).sum(axis=3).argmin(axis=2)])
 
         return run(v)
 

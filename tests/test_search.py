@@ -409,3 +409,71 @@ def test_pruning_keeps_what_is_not_hidden(base):
         if len(kept) < 6 and not any(1.2 * ((a[s] - a[r.dst]) ** 2).sum() < r.distance for s in kept):
             kept.append(r.dst)
     assert got == {s: set(v) for s, v in mine.items()}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_are_counted_with_one_exchange(spark):
+    docs = spark.createDataFrame([(1, "aa bb aa c"), (120, "bb aa cc"), (1, "aa dd"), (7, None), (8, "x 1"), (3, "dd dd aa")], "doc_id long, text string")
+    lists = sparse.posting_rank(sparse.tokens(docs, "doc_id", window_size=100))
+    assert plan(lists).count("Exchange hashpartitioning") == 1
+    got = {(r.window, r.term, r.id, r.weight, r["rank"]) for r in lists.collect()}
+    assert got == {(0, "aa", 1, 3.0, 1), (0, "aa", 3, 1.0, 2), (0, "bb", 1, 1.0, 1), (0, "dd", 1, 1.0, 2), (0, "dd", 3, 2.0, 1), (1, "aa", 120, 1.0, 1), (1, "bb", 120, 1.0, 1), (1, "cc", 120, 1.0, 1)}
+    pruned = sparse.prune_documents(sparse.tokens(docs, "doc_id"), 0.4)
+    assert plan(pruned).count("Exchange hashpartitioning") == 1
+    assert {(r.id, r.term, r.weight) for r in pruned.collect()} == {(1, "aa", 3.0), (120, "aa", 1.0), (120, "bb", 1.0), (3, "dd", 2.0)}
+
+
+def test_maxsim_by_products(spark):
+    from nearfield.operators import multivector
+
+    rng = np.random.default_rng(9)
+    docs = [rng.normal(size=(1 + i % 5, 8)).astype(np.float32) for i in range(120)] + [np.zeros((0, 8), np.float32)]
+    frame = spark.createDataFrame([(i, d.tolist()) for i, d in enumerate(docs)], "id long, vectors array<array<float>>").repartition(3)
+    q = frame.filter("id % 20 = 3").select(F.col("id").alias("qid"), "vectors")
+    for metric in ("ip", "l2"):
+        d = {}
+        for i in range(3, 120, 20):
+            for j, x in enumerate(docs[:120]):
+                a, b = docs[i].astype(float), x.astype(float)
+                d[i, j] = (1 - a @ b.T if metric == "ip" else ((a[:, None] - b[None]) ** 2).sum(2)).min(axis=1).sum()
+        want = {i: sorted(range(120), key=lambda j: (d[i, j], j)) for i in range(3, 120, 20)}
+        assert ids(multivector.knn(frame, q, 5, metric)) == {i: w[:5] for i, w in want.items()}
+        assert multivector.scored(frame, q, metric, 5).count() <= 6 * 5 * 3  # not a row for each pair
+        radius = 0.5 if metric == "ip" else 12.0
+        assert {(r.qid, r.id) for r in multivector.range_search(frame, q, radius, metric).collect()} == {p for p, v in d.items() if v <= radius}
+        assert multivector.range_search(frame, q, radius, metric).filter("abs(distance) > 1e9").count() == 0
+    tokens = frame.select("id", F.posexplode("vectors").alias("at", "vector"))
+    c = ivf.kmeans(tokens.select(F.xxhash64("id", "at").alias("id"), "vector"), 4, 2)
+    members = multivector.cluster(tokens, c).cache()
+    found = multivector.coarse(members, q.select("qid", F.posexplode("vectors").alias("at", "vector")), c, 2, 7)
+    cents = np.array([r.centroid for r in c.orderBy("bucket_id").collect()])
+    held = {}
+    for r in members.collect():
+        held.setdefault(r.id, set()).add(r.bucket_id)
+    for i in range(3, 120, 20):
+        dist = 1 - docs[i].astype(float) @ cents.T
+        score = {j: sum(max(1 - row[b] for b in near & held[j]) for row in dist if (near := set(np.argsort(row, kind="stable")[:2].tolist())) & held[j]) for j in held if any(set(np.argsort(row, kind="stable")[:2].tolist()) & held[j] for row in dist)}
+        got = [(r.id, r.score) for r in found.filter(F.col("qid") == i).orderBy(F.desc("score"), "id").collect()]
+        assert np.allclose([s for _, s in got], sorted(score.values(), reverse=True)[:7]) and all(abs(score[j] - s) < 1e-9 for j, s in got)
+
+
+def test_own_distances_return_the_best_of_a_task(base, queries):
+    assert "Cartesian" not in plan(search.knn_by_expression(base, queries, 5, D.cosine)) and "NestedLoop" not in plan(search.knn_by_expression(base, queries, 5, D.cosine))
+    every = base.join(F.broadcast(queries)).select("qid", "id", D.l2(F.col("vector"), F.col("q")).alias("distance")).repartition(3)
+    assert search._narrowed(every, 4).count() <= 6 * 4 * 3
+    assert ids(search.knn_by_expression(base, queries, 10, lambda a, b: D.l2(a, b))) == truth("l2")
+    bad = base.select("id", F.when(F.col("id") == 7, F.array_repeat(F.lit(float("nan")).cast("float"), 16)).otherwise(F.col("vector")).alias("vector"))
+    with pytest.raises(Exception, match="not finite"):
+        search.knn_by_expression(bad, queries, 5, D.cosine).collect()
+
+
+def test_product_codes_of_many_rows(base):
+    """Codes do not depend on how many rows are measured at a time."""
+    m = Q.fit_product(base, 4, 64)
+    x = X.astype(float).reshape(300, 4, -1)
+    want = ((x[:, :, None] - m.centroids[None]) ** 2).sum(axis=3).argmin(axis=2)
+    got = {r.id: r.c for r in base.coalesce(1).select("id", m.encode(F.col("vector")).alias("c")).collect()}
+    assert [got[i] for i in range(300)] == want.tolist()
